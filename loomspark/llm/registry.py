@@ -14,6 +14,13 @@ def op1_mix_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl"]
+    return judge(load(spark, sf_dir, "documents")).select(*cols)
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_rules import judge
 
@@ -30,10 +37,18 @@ def op8_shard_hypergeometric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode_and_check
+
+    return encode_and_check(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix_sainte_lague": op1_mix_sainte_lague,
+    "op4_quality_perplexity": op4_quality_perplexity,
     "op6_url_rules": op6_url_rules,
     "op8_shard_hypergeometric": op8_shard_hypergeometric,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 
