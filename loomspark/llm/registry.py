@@ -37,6 +37,12 @@ def op8_shard_hypergeometric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find
+
+    return find(load(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode_and_check
 
@@ -48,6 +54,7 @@ QUERIES = {
     "op4_quality_perplexity": op4_quality_perplexity,
     "op6_url_rules": op6_url_rules,
     "op8_shard_hypergeometric": op8_shard_hypergeometric,
+    "op9_secret_spans": op9_secret_spans,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
