@@ -21,6 +21,12 @@ def op4_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(load(spark, sf_dir, "documents")).select(*cols)
 
 
+def op5_minhash_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import find
+
+    return find(load(spark, sf_dir, "documents"), shingle=4)
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_rules import judge
 
@@ -52,6 +58,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sainte_lague": op1_mix_sainte_lague,
     "op4_quality_perplexity": op4_quality_perplexity,
+    "op5_minhash_chosen_path": op5_minhash_chosen_path,
     "op6_url_rules": op6_url_rules,
     "op8_shard_hypergeometric": op8_shard_hypergeometric,
     "op9_secret_spans": op9_secret_spans,
