@@ -33,6 +33,12 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(load(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import find
+
+    return find(load(spark, sf_dir, "embeddings"))
+
+
 def op8_shard_hypergeometric(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shuffle
 
@@ -60,6 +66,7 @@ QUERIES = {
     "op4_quality_perplexity": op4_quality_perplexity,
     "op5_minhash_chosen_path": op5_minhash_chosen_path,
     "op6_url_rules": op6_url_rules,
+    "op7_cross_polytope": op7_cross_polytope,
     "op8_shard_hypergeometric": op8_shard_hypergeometric,
     "op9_secret_spans": op9_secret_spans,
     "op10_sentencepiece": op10_sentencepiece,
