@@ -14,6 +14,24 @@ def op1_mix_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _held_out(key: str = "doc_id"):
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 0
+
+
+def op2_toxicity_deobfuscated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score
+
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    out = score(docs.select("doc_id", "text"), labels.filter(~_held_out()).select("doc_id", "toxic"))
+    return out.select("doc_id", _held_out().alias("held_out"), "score", "predicted")
+
+
+def op3_suffix_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import dedup
+
+    return dedup(load(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op4_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -63,6 +81,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sainte_lague": op1_mix_sainte_lague,
+    "op2_toxicity_deobfuscated": op2_toxicity_deobfuscated,
+    "op3_suffix_cover": op3_suffix_cover,
     "op4_quality_perplexity": op4_quality_perplexity,
     "op5_minhash_chosen_path": op5_minhash_chosen_path,
     "op6_url_rules": op6_url_rules,
