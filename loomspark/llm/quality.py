@@ -29,7 +29,7 @@ from .common import WORD, stash
 
 WORDS = re.compile(WORD)
 SYMBOLS = "#*$%&|<>"
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _M64 = 0x9E3779B97F4A7C15, (1 << 64) - 1
 #: Probability of a symbol that was never seen, before back-off.
 _NOVEL = 1.0 / 65536
 _KEEP = 400_000
@@ -71,22 +71,36 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, word, at - prev
 
 
+def _packed(codes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The k symbols that end at each place, 16 bits each; for codes below 2 ** 16."""
+    out = codes[at - k + 1].astype(np.uint64)
+    for j in range(k - 2, -1, -1):
+        out = (out << np.uint64(16)) | codes[at - j].astype(np.uint64)
+    return out
+
+
 def _tally(words: dict[str, int], order: int, into: Counter) -> None:
-    """Add the n-grams of counted words: all of the highest order, and the shorter ones that begin a word."""
+    """Add the n-grams of counted words: all of the highest order (4 at most), and the shorter ones that begin a word."""
+    wide = [w for w in words if not w.isascii() and max(w) > "\ufffe"]
+    for w in wide:
+        n, padded = words.pop(w), " " + w + " "
+        for i in range(1, len(padded)):
+            if i < order - 1:
+                into[padded[: i + 1]] += n
+            else:
+                into[padded[i - order + 1 : i + 1]] += n
     if not words:
         return
     codes, word, context = _codes(list(words))
     weight = np.fromiter(words.values(), dtype=np.int64, count=len(words))
     at = np.arange(len(codes))
-    for k in range(1, order + 1):
+    for k in range(2, order + 1):
         here = at[1:][(context[1:] >= order - 1) if k == order else (context[1:] == k - 1)]
-        if k == 1 or not len(here):
-            continue
-        grams = np.stack([codes[here - k + 1 + j] for j in range(k)], axis=1)
-        found, which = np.unique(np.ascontiguousarray(grams).view(np.dtype((np.void, 4 * k))).ravel(), return_inverse=True)
-        n = np.bincount(which, weights=weight[word[here]])
-        for g, c in zip(found.tolist(), n.tolist()):
-            into[g.decode("utf-32-le", "surrogatepass")] += int(c)
+        if len(here):
+            found, which = np.unique(_packed(codes, here, k), return_inverse=True)
+            n = np.bincount(which, weights=weight[word[here]])
+            for g, c in zip(found.tolist(), n.tolist()):
+                into["".join(chr(g >> 16 * j & 0xFFFF) for j in range(k - 1, -1, -1))] += int(c)
 
 
 def count_ngrams(docs: DataFrame, order: int) -> DataFrame:
@@ -124,6 +138,7 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
     occurrences where it begins a word. Discounts come from the counts of counts,
     for each language and order.
     """
+    counts = stash(counts, "kn-grams")
     size = F.char_length("gram")
     levels = {order: counts.filter(size == order)}
     for k in range(order - 1, 0, -1):
@@ -146,7 +161,8 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
     d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     x = x.withColumn("d", d)
     ctx = x.groupBy("lang", "k", "ctx").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("bow"))
-    x = x.join(ctx, ["lang", "k", "ctx"]).select("lang", "k", "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"), "bow")
+    ctx = stash(ctx, "kn-contexts")
+    x = stash(x.join(ctx, ["lang", "k", "ctx"]).select("lang", "k", "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"), "bow"), "kn-own")
     done = x.filter("k = 1").select("lang", "gram", (F.col("own") + F.col("bow") * _NOVEL).alias("p"))
     parts = [done]
     for k in range(2, order + 1):
@@ -161,23 +177,25 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
     return probs.select("lang", "gram", F.log("p").alias("lp")).join(bows, ["lang", "gram"], "full_outer")
 
 
-def _seed(lang: str) -> np.uint64:
-    h = np.uint64(14695981039346656037)
-    with np.errstate(over="ignore"):
-        for b in lang.encode():
-            h = (h ^ np.uint64(b)) * np.uint64(1099511628211)
+def gram_hash(lang: str, gram: str) -> int:
+    """64-bit hash of the symbols of an n-gram, begun from its language."""
+    h = 14695981039346656037
+    for b in lang.encode("utf-8", "surrogatepass"):
+        h = (h ^ b) * 1099511628211 & _M64
+    for c in gram:
+        h = (h ^ (ord(c) + 1)) * _MIX & _M64
+        h ^= h >> 29
     return h
 
 
-def _fold(h: np.ndarray, code: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (h ^ (code.astype(np.uint64) + np.uint64(1))) * _MIX
-        return h ^ (h >> np.uint64(29))
+def gram_key(lang: str, gram: str, bits: int) -> int:
+    return (gram_hash(lang, gram) * _MIX & _M64) >> (64 - bits)
 
 
-def _key(h: np.ndarray, bits: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((h * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
+def _fold(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """``gram_hash`` by one symbol, for arrays."""
+    h = (h ^ (code.astype(np.uint64) + np.uint64(1))) * np.uint64(_MIX)
+    return h ^ (h >> np.uint64(29))
 
 
 def hash_arrays(model: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,12 +203,7 @@ def hash_arrays(model: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, np
 
     def run(batches):
         for batch in batches:
-            keys = []
-            for lang, gram in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = np.array([_seed(lang)], dtype=np.uint64)
-                for c in gram:
-                    h = _fold(h, np.array([ord(c)]))
-                keys.append(int(_key(h, bits)[0]))
+            keys = [gram_key(lang, gram, bits) for lang, gram in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), batch.column(2), batch.column(3)], names=["key", "lp", "bow"])
 
     folded = model.select("lang", "gram", "lp", "bow").mapInArrow(run, "key int, lp double, bow double")
@@ -201,42 +214,73 @@ def hash_arrays(model: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, np
     return key[at].astype(np.int32), as_float("lp"), as_float("bow")
 
 
-def word_scores(words: list[str], lang: str, arrays, order: int, bits: int) -> np.ndarray:
-    """Log probability of each word, its end included."""
-    keys, lps, bows = arrays
-    codes, word, context = _codes(words)
-
-    def look(h, values, default):
-        if not len(keys):
-            return np.full(len(h), default, dtype=np.float64)
-        k = _key(h, bits)
-        i = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-        v = values[i].astype(np.float64)
-        v[(keys[i] != k)] = np.nan
-        return np.where(np.isnan(v), default, v)
-
-    seed = _seed(lang)
-    at = np.arange(1, len(codes))
-    # Lowest order first: each longer n-gram that the model has replaces the backed-off value.
-    empty = np.array([seed], dtype=np.uint64)
-    novel = float(look(empty, bows, 0.0)[0]) + np.log(_NOVEL)
-    h = _fold(np.full(len(at), seed, dtype=np.uint64), codes[at])
-    lp = look(h, lps, novel)
-    for k in range(2, order + 1):
-        has = context[at] >= k - 1
-        idx = at[has]
-        if not len(idx):
-            break
-        h = np.full(len(idx), seed, dtype=np.uint64)
-        for j in range(k - 1, 0, -1):
-            h = _fold(h, codes[idx - j])
-        bow = look(h, bows, 0.0)
-        lp[has] = _or(look(_fold(h, codes[idx]), lps, np.nan), lp[has] + bow)
-    return np.bincount(word[1:], weights=lp, minlength=len(words))
-
-
-def _or(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.where(np.isnan(a), b, a)
+class Scorer:
+    """Log probabilities of words of a language; remembers the last symbols it has met."""
+
+    def __init__(self, lang: str, arrays, order: int, bits: int):
+        self.keys, self.lps, self.bows = arrays
+        self.lang, self.order, self.bits = lang, order, bits
+        self.seed = np.uint64(gram_hash(lang, ""))
+        at = self._find(np.array([self.seed], dtype=np.uint64))[0]
+        self.novel = (0.0 if at < 0 or np.isnan(self.bows[at]) else float(self.bows[at])) + float(np.log(_NOVEL))
+        self.met, self.met_lp = np.empty(0, dtype=np.uint64), np.empty(0)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Places of hashes in the arrays, -1 for those that are not there."""
+        if not len(self.keys):
+            return np.full(len(h), -1)
+        k = ((h * np.uint64(_MIX)) >> np.uint64(64 - self.bits)).astype(np.int32)
+        i = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
+        return np.where(self.keys[i] == k, i, -1)
+
+    def last(self, codes: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Log probability of the last of up to ``order`` symbols (right-aligned rows of ``codes``), given those before it.
+
+        Lowest order first: each longer n-gram that the model has replaces the backed-off value.
+        """
+        n = len(codes)
+        lp = np.full(n, self.novel)
+        for k in range(1, min(self.order, codes.shape[1]) + 1):
+            rows = np.flatnonzero(length >= k)
+            h = np.full(len(rows), self.seed, dtype=np.uint64)
+            for j in range(k, 1, -1):
+                h = _fold(h, codes[rows, -j])
+            if k > 1:
+                at = self._find(h)
+                bow = np.where(at >= 0, self.bows[at], 0.0)
+                lp[rows] += np.where(np.isnan(bow), 0.0, bow)
+            at = self._find(_fold(h, codes[rows, -1]))
+            own = np.where(at >= 0, self.lps[at], np.nan) if len(self.keys) else np.full(len(rows), np.nan)
+            lp[rows] = np.where(np.isnan(own), lp[rows], own)
+        return lp
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log probability of each word, its end included."""
+        codes, word, context = _codes(words)
+        at = np.arange(1, len(codes))
+        length = np.minimum(context[1:] + 1, self.order)
+        if self.order > 4 or codes.max() > 0xFFFE:
+            rows = np.stack([codes[np.maximum(at - j, 0)] for j in range(self.order - 1, -1, -1)], axis=1)
+            return np.bincount(word[1:], weights=self.last(rows, length), minlength=len(words))
+        key = np.zeros(len(at), dtype=np.uint64)  # codes are one up, so that 0 is an absent symbol
+        for j in range(self.order - 1, -1, -1):
+            key = (key << np.uint64(16)) | np.where(length > j, codes[np.maximum(at - j, 0)] + 1, 0).astype(np.uint64)
+        i = np.searchsorted(self.met, key)
+        new = np.ones(len(key), dtype=bool) if not len(self.met) else self.met[np.minimum(i, len(self.met) - 1)] != key
+        if new.any():
+            fresh = np.unique(key[new])
+            parts = np.stack([(fresh >> np.uint64(16 * j)) & np.uint64(0xFFFF) for j in range(self.order - 1, -1, -1)], axis=1).astype(np.int64)
+            lp = self.last(np.maximum(parts - 1, 0), (parts > 0).sum(axis=1))
+            if len(self.met) > 1_000_000:
+                self.met, self.met_lp = np.empty(0, dtype=np.uint64), np.empty(0)
+                fresh = np.unique(key)
+                parts = np.stack([(fresh >> np.uint64(16 * j)) & np.uint64(0xFFFF) for j in range(self.order - 1, -1, -1)], axis=1).astype(np.int64)
+                lp = self.last(np.maximum(parts - 1, 0), (parts > 0).sum(axis=1))
+            both = np.concatenate([self.met, fresh])
+            order = np.argsort(both, kind="stable")
+            self.met, self.met_lp = both[order], np.concatenate([self.met_lp, lp])[order]
+            i = np.searchsorted(self.met, key)
+        return np.bincount(word[1:], weights=self.met_lp[i], minlength=len(words))
 
 
 def score(docs: DataFrame, arrays, order: int, bits: int, key: str = "doc_id") -> DataFrame:
@@ -246,6 +290,7 @@ def score(docs: DataFrame, arrays, order: int, bits: int, key: str = "doc_id") -
 
     def run(batches):
         known: dict[str, dict[str, float]] = {}
+        scorers: dict[str, Scorer] = {}
         size = 0
         for batch in batches:
             langs = [x or "" for x in batch.column(1).to_pylist()]
@@ -258,7 +303,9 @@ def score(docs: DataFrame, arrays, order: int, bits: int, key: str = "doc_id") -
                 for lang, words in fresh.items():
                     own = known.setdefault(lang, {})
                     if new := sorted(words.difference(own)):
-                        own.update(zip(new, word_scores(new, lang, model.value, order, bits).tolist()))
+                        if lang not in scorers:
+                            scorers[lang] = Scorer(lang, model.value, order, bits)
+                        own.update(zip(new, scorers[lang].words(new).tolist()))
                         size += len(new)
                 ppl = []
                 for lang, b in zip(part, base):
