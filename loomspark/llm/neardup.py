@@ -11,7 +11,10 @@ Sets equal to one another are one class, so exact copies cost one set. Links
 are first sought between the members of a node and its smallest member, which
 joins large groups of near copies without listing their pairs; nodes whose
 members are all in one component by then have nothing left to say. In the
-others, pairs of different components are compared.
+others members of different components are compared: in small nodes pair by
+pair; large ones branch, and those that branching doesn't part (groups of like
+sets) are compared in blocks that hold whole sets and give only the links that
+join components. ``wide`` trees do so; small nodes of all ``trees`` do.
 
 An estimate from the embedded coordinates, five standard deviations below the
 threshold, drops pairs before the exact check on the whole sets.
@@ -136,7 +139,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, trees: int = 10, fan: int = 3, coords: int = 64, leaf: int = 24, depth: int = 4, seed: int = 5) -> DataFrame:
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, trees: int = 10, fan: int = 3, coords: int = 64, leaf: int = 24, depth: int = 4, wide: int = 6, chunk: int = 1024, seed: int = 5) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row.
 
     Two documents are linked if 100 * intersection >= ``percent`` * union of their
@@ -155,7 +158,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     sigs = stash(full.join(classes, (full["cls"] == classes["cls"]) & (full["id"] == classes["rep"]), "left_semi").select("id", "sig").dropDuplicates(["id"]), "dup-reps")
 
     roots = F.array(*[F.xxhash64(F.lit(seed), F.lit(r), F.col("sig")[r]) for r in range(trees)])
-    node = stash(sigs.select("id", F.explode(roots).alias("node")), "dup-nodes")
+    node = stash(sigs.select("id", F.posexplode(roots).alias("tree", "node")), "dup-nodes")
     size = node.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).filter("size > 1")
     node = stash(node.join(size, "node"), "dup-nodes")
 
@@ -165,26 +168,37 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
 
     def placed(x: DataFrame) -> DataFrame:
         """Members of nodes with more than one component, with theirs."""
-        x = x.select("node", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        x = x.select("node", "tree", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         s = x.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("node", "size")
         return x.join(s, "node")
 
-    pairs = None
     level = stash(placed(node), "dup-level")
+    pairs, blocks = None, None
     for d in range(depth + 1):
-        small = level if d == depth else level.filter(F.col("size") <= leaf)
-        found = _pairs(small, leaf)
+        found = _small(level.filter(F.col("size") <= leaf))
         pairs = found if pairs is None else pairs.union(found)
-        large = level.filter(F.col("size") > leaf)
-        if d == depth or large.isEmpty():
+        large = level.filter((F.col("size") > leaf) & (F.col("tree") < wide))
+        if large.isEmpty():
             break
         picks = F.array(*[F.pmod(F.xxhash64("node", F.lit(seed + 1), F.lit(j)), F.lit(coords)).cast("int") for j in range(fan)])
-        child = large.select("node", "id").join(sigs, "id").select("id", F.explode(F.transform(picks, lambda i: F.xxhash64(F.col("node"), i, F.get(F.col("sig"), i)))).alias("node")).distinct()
-        size = child.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
-        level = stash(placed(child.join(size, "node")), "dup-level")
-    more = stash(pairs.distinct(), "dup-pairs")
+        child = large.select("node", "tree", "size", "id", "c").join(sigs, "id")
+        child = stash(child.select("node", "tree", "size", "id", "c", F.posexplode(F.transform(picks, lambda i: F.xxhash64(F.col("node"), i, F.get(F.col("sig"), i)))).alias("j", "child")), "dup-children")
+        sizes = child.groupBy("node", "j", "child").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+        # A node most of whose members go down one branch is a group of like sets: branching says no more about it.
+        tight = sizes.groupBy("node").agg((F.max("n") >= 0.4 * F.first("size")).alias("tight"))
+        tight = tight.withColumn("tight", F.lit(True)) if d == depth else tight
+        tight = stash(tight, "dup-tight")
+        block = large.join(tight.filter("tight"), "node").select("node", "size", "id", "c")
+        blocks = block if blocks is None else blocks.union(block)
+        if d < depth:
+            grown = sizes.filter("n > 1").select("child").join(child.join(tight.filter("not tight"), "node"), "child")
+            level = stash(placed(grown.select(F.col("child").alias("node"), "tree", "id").distinct()), "dup-level")
+    near = _close(stash(pairs.distinct(), "dup-pairs"), sigs, coords, percent)
+    if blocks is not None:
+        near = near.union(_compare_blocks(stash(blocks, "dup-blocks"), rows, shingle, percent, chunk)).distinct()
+    more = stash(near, "dup-pairs")
     if not more.isEmpty():
-        more = stash(_confirm(stash(_close(more, sigs, coords, percent), "dup-pairs"), rows, shingle, percent), "dup-links")
+        more = stash(_confirm(more, rows, shingle, percent), "dup-links")
         comp = stash(components(links.union(more).union(_same_key(full, classes))), "dup-comps")
 
     # A document's component is that of its class's representative.
@@ -200,12 +214,79 @@ def _same_key(full: DataFrame, classes: DataFrame) -> DataFrame:
     return y.distinct()
 
 
-def _pairs(members: DataFrame, leaf: int) -> DataFrame:
-    """Pairs of different components in the same node: lists for small nodes, and a join by node for those that no branching made small."""
-    x = F.struct("id", "c")
-    lists = members.filter(F.col("size") <= leaf).groupBy("node").agg(F.collect_list(x).alias("m"))
+def _small(members: DataFrame) -> DataFrame:
+    """Pairs of different components in small nodes."""
+    lists = members.groupBy("node").agg(F.collect_list(F.struct("id", "c")).alias("m"))
     flat = F.flatten(F.transform("m", lambda p: F.transform(F.filter("m", lambda q: (q["id"] < p["id"]) & (q["c"] != p["c"])), lambda q: F.struct(p["id"].alias("a"), q["id"].alias("b")))))
-    few = lists.select(F.explode(flat).alias("p")).select("p.a", "p.b")
-    big = members.filter(F.col("size") > leaf)
-    p, q = big.select("node", F.col("id").alias("a"), F.col("c").alias("ca")), big.select("node", F.col("id").alias("b"), F.col("c").alias("cb"))
-    return few.union(p.join(q, "node").filter("b < a and ca <> cb").select("a", "b"))
+    return lists.select(F.explode(flat).alias("p")).select("p.a", "p.b")
+
+
+def block_links(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (larger, smaller id) between different components, as few as join them.
+
+    Shingles are compared by 32-bit hashes, which can only make intersections larger.
+    """
+    sizes = np.array([len(x) for x in sets])
+    names, counts = np.unique(comps, return_counts=True)
+    minor = np.flatnonzero(comps != names[np.argmax(counts)])
+    flat = np.concatenate(sets)
+    doc = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+    order = np.argsort(flat, kind="stable")
+    shingles, starts = np.unique(flat[order], return_index=True)
+    ends = np.append(starts[1:], len(flat))
+    doc = doc[order]
+    own = {int(c): int(c) for c in names}
+
+    def root(x: int) -> int:
+        while own[x] != x:
+            own[x] = own[own[x]]
+            x = own[x]
+        return x
+
+    out = []
+    for i in minor.tolist():
+        at = np.searchsorted(shingles, sets[i])
+        both = np.bincount(np.concatenate([doc[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]), minlength=len(sets))
+        for j in np.flatnonzero(100 * both >= percent * (sizes + sizes[i] - both)).tolist():
+            a, b = root(int(comps[i])), root(int(comps[j]))
+            if a != b:
+                own[max(a, b)] = min(a, b)
+                out.append((max(int(ids[i]), int(ids[j])), min(int(ids[i]), int(ids[j]))))
+    return out
+
+
+def _compare_blocks(members: DataFrame, docs: DataFrame, shingle: int, percent: int, chunk: int) -> DataFrame:
+    """Candidate links (a, b) in large nodes (node, size, id, c): each is cut in chunks, and pairs of chunks are compared whole."""
+
+    def sets(batches):
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                h = {xxhash.xxh32_intdigest(" ".join(s).encode("utf-8", "surrogatepass")) for s in shingle_set(text, shingle)}
+                out.append(np.sort(np.fromiter(h, dtype=np.uint32, count=len(h))).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "own"])
+
+    ids = stash(members.select("id").distinct(), "dup-ids")
+    own = stash(_texts(docs, ids).dropDuplicates(["id"]).mapInArrow(sets, "id long, own binary"), "dup-block-sets")
+    x = members.withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int")).withColumn("k", F.pmod(F.xxhash64("id", "node"), F.col("chunks")).cast("int"))
+    x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    x = x.select("node", F.least("k", "o").alias("lo"), F.greatest("k", "o").alias("hi"), "id", "c").join(own, "id")
+    x = x.select("node", "lo", "hi", "id", "c", "own").repartition("node", "lo", "hi").sortWithinPartitions("node", "lo", "hi")
+
+    def run(batches):
+        held: list[tuple] = []
+
+        def settle():
+            found = block_links(np.array([r[3] for r in held]), np.array([r[4] for r in held]), [np.frombuffer(r[5], dtype=np.uint32) for r in held], percent) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and r[:3] != held[0][:3]:
+                    yield settle()
+                    held = []
+                held.append(r)
+        if held:
+            yield settle()
+
+    return x.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
