@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 CJK = "[\\u4e00-\\u9fff\\u3400-\\u4dbf\\uf900-\\ufaff]"
 CODE = (r"\b(function|class|interface|type|const|let|var|import|export|async|await)\b", r"```[\s\S]*?```", r"`[^`]+`", r"(?i)\b(?:ts|js|py|go|rs|java|json|yaml|sql|sh)\b")
 DECISION = (r"(?i)\b(decided?|decision|choose|chosen|agreed|confirmed?|approved?|finalized?|settled?)\b", r"(?i)\b(will|going to|should|must|need to)\s+\w+", r"(?i)\b(action item|next step|todo|plan|approach|strategy)\b", r"\b(done|completed?|resolved?|fixed?)\b")
-ENTITY = (r"(?i)\b(?:claw-ctx|claw-mem|claw|openclaw|gateway|plugin|neoclaw|edith|friday|jarvis)\b", r"\bv?\d+\.\d+\.\d+\b", r"\b(?:https?://|www\.)[^\s]+", r"\b(?:[A-Z][a-z]+(?:[A-Z][a-z]+)+)\b", r"\b(?:[\w.-]+\.(?:ts|js|py|json|md|yml|yaml))\b")
+ENTITY = (r"(?i)\b(?:gateway|plugin|edith|friday|jarvis)\b", r"\bv?\d+\.\d+\.\d+\b", r"\b(?:https?://|www\.)[^\s]+", r"\b(?:[A-Z][a-z]+(?:[A-Z][a-z]+)+)\b", r"\b(?:[\w.-]+\.(?:ts|js|py|json|md|yml|yaml))\b")
 QUESTION = (r"(?m)\?$", r"(?i)\b(what|how|why|when|where|who|which|could you|can you|would you|please)\b.*\?")
-TOPICS = ("code", "bug", "fix", "deploy", "test", "refactor", "build", "config", "error", "performance", "api", "database", "task", "version", "release", "review", "compile", "compact", "compaction", "context", "token", "memory", "session", "plugin", "gateway", "TypeScript", "openclaw", "claw-ctx", "claw-mem", "devclaw", "integration", "verification", "design", "architecture")
+TOPICS = ("code", "bug", "fix", "deploy", "test", "refactor", "build", "config", "error", "performance", "api", "database", "task", "version", "release", "review", "compile", "compact", "compaction", "context", "token", "memory", "session", "plugin", "gateway", "TypeScript", "integration", "verification", "design", "architecture")
 STATE_WORDS = ("decided", "decision", "resolved", "fixed", "root cause", "blocked", "error", "failed", "regression", "breaking", "depends on", "invariant")
 ACTION_WORDS = ("next step", "next action", "todo", "follow-up", "will ", "should ", "plan to", "continue", "run ", "deploy", "verify")
 IMPORTANCE = ((r"(?i)\b(important|critical|essential|key|vital|crucial)\b", 0.3), (r"(?i)\b(must|should|required|necessary|mandatory)\b", 0.25), (r"(?i)\b(error|bug|fix|broken|issue|problem)\b", 0.2), (r"(?i)\b(architecture|design|pattern|structure)\b", 0.15), (r"(?i)\b(task|TODO|action|next|step|plan)\b", 0.15), (r"(?i)\b(decision|choose|select|prefer|preference)\b", 0.2), (r"(?i)\b(code|function|class|module|API|endpoint)\b", 0.1))
@@ -68,10 +68,20 @@ def rough_tokens(text: Column) -> Column:
     return F.ceil(F.char_length(text) / 4).cast("long")
 
 
+def js(pattern: str) -> str:
+    """The pattern with word boundaries of ASCII letters, digits and underscore; the JVM's own take in all scripts."""
+    w = "[A-Za-z0-9_]"
+    return pattern.replace(r"\b", f"(?:(?<!{w})(?={w})|(?<={w})(?!{w}))")
+
+
+def like(text: Column, pattern: str) -> Column:
+    return text.rlike(js(pattern))
+
+
 def any_of(text: Column, patterns) -> Column:
     out = F.lit(False)
     for p in patterns:
-        out = out | text.rlike(p)
+        out = out | like(text, p)
     return out
 
 
@@ -97,12 +107,12 @@ def factors(text: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """I2 for one message: matches of the patterns in order, lower-cased, distinct."""
-    return F.array_distinct(F.transform(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in ENTITY]), F.lower))
+    return F.array_distinct(F.transform(F.concat(*[F.regexp_extract_all(text, F.lit(js(p)), F.lit(0)) for p in ENTITY]), F.lower))
 
 
 def decision_sentences(text: Column, least: int = 10, most: int = 150) -> Column:
     """I3 for one message: sentences with a decision mark, trimmed and cut."""
-    parts = F.transform(F.split(text, r"[.!?\n]+"), F.trim)
+    parts = F.transform(F.split(text, r"[.!?\n]+"), lambda s: F.trim(s))
     return F.transform(F.filter(parts, lambda s: any_of(s, DECISION) & (F.char_length(s) > least)), lambda s: F.substring(s, 1, most))
 
 
@@ -127,7 +137,7 @@ def position_importance(text: Column) -> Column:
     """I24."""
     s = F.lit(0.0)
     for p, w in IMPORTANCE:
-        s = s + F.least(F.lit(3 * w), F.regexp_count(text, F.lit(p)) * w)
+        s = s + F.least(F.lit(3 * w), F.regexp_count(text, F.lit(js(p))) * w)
     n = F.char_length(text)
     s = s + F.when((n > 100) & (n < 2000), 0.1).otherwise(0.0)
     return F.least(F.lit(1.0), round2(s))
@@ -135,7 +145,7 @@ def position_importance(text: Column) -> Column:
 
 def task_scores(text: Column) -> dict[str, Column]:
     """Every pattern that matches adds its match and its group: two, or one without a group."""
-    return {t: sum((F.when(text.rlike(p), 2).otherwise(0) for p in ps), F.lit(0)) for t, ps in TASK.items()}
+    return {t: sum((F.when(like(text, p), 2).otherwise(0) for p in ps), F.lit(0)) for t, ps in TASK.items()}
 
 
 def task_type(text: Column) -> Column:
@@ -170,9 +180,9 @@ def prompt_task(text: Column) -> Column:
     low = F.lower(text)
     out = F.lit("quick-answer")
     for p, t in reversed(PROMPT_TASK_UNGROUPED):
-        out = F.when(low.rlike(p), t).otherwise(out)
+        out = F.when(like(low, p), t).otherwise(out)
     for p, t in reversed(PROMPT_TASK):
-        out = F.when(low.rlike(p), t).otherwise(out)
+        out = F.when(like(low, p), t).otherwise(out)
     return out
 
 
@@ -183,14 +193,14 @@ def complexity(text: Column) -> Column:
     m = F.size(F.filter(F.split(text, "[.!?]+"), lambda x: F.char_length(F.trim(x)) > 10))
     s = s + F.when(m > 5, 0.2).when(m > 2, 0.1).otherwise(0.0)
     for p, w in COMPLEX:
-        s = s + F.when(text.rlike(p), w).otherwise(0.0)
+        s = s + F.when(like(text, p), w).otherwise(0.0)
     return F.least(F.lit(1.0), round2(s))
 
 
 def sanitize(text: Column) -> Column:
     """Volatile parts of a text replaced by marks."""
     for p, r in SANITIZE:
-        text = F.regexp_replace(text, p, r)
+        text = F.regexp_replace(text, js(p), r)
     return text
 
 
@@ -201,7 +211,7 @@ def session_hash(session: Column) -> Column:
 
 def lineage_ids(ids: Column, most: int = 50) -> Column:
     """Trimmed, non-empty, distinct ids in order, at most so many."""
-    return F.slice(F.array_distinct(F.filter(F.transform(ids, F.trim), lambda x: x != "")), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(ids, lambda x: F.trim(x)), lambda x: x != "")), 1, most)
 
 
 def structured_kind(text: Column) -> Column:
@@ -213,8 +223,8 @@ def structured_kind(text: Column) -> Column:
     csv = (F.size(lines) >= 2) & (first > 0) & F.forall(F.slice(lines, 2, 4), lambda x: commas(x) == first)
     return (
         F.when(t == "", None).when(t.rlike(r"^[\{\[]") & F.try_parse_json(t).isNotNull(), "json").when(csv, "csv")
-        .when(t.rlike(r"\|.*\|") & t.rlike(r"\|[-:\s|]+\|"), "table").when(t.rlike(r"(?i)^(SELECT|INSERT|UPDATE|DELETE|CREATE)\b"), "sql-result")
-        .when(t.rlike(r"(?i)\b\w+\s+(is|has|contains|relates|connected)\s+\w+"), "kg")
+        .when(t.rlike(r"\|.*\|") & t.rlike(r"\|[-:\s|]+\|"), "table").when(like(t, r"(?i)^(SELECT|INSERT|UPDATE|DELETE|CREATE)\b"), "sql-result")
+        .when(like(t, r"(?i)\b\w+\s+(is|has|contains|relates|connected)\s+\w+"), "kg")
     )
 
 

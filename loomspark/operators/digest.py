@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of
+from ..functions.text import any_of, js, like
 
 # --- fixed values -------------------------------------------------------------
 CONFIRMED = (r"(?i)\b(?:decided|agreed|settled on|went with|chose|chosen|selected|opted for|will use)\b",)
@@ -28,23 +28,23 @@ def sentences(messages: DataFrame, text: str = "content") -> DataFrame:
 
 
 def actor(s: Column) -> Column:
-    return F.when(s.rlike(r"(?i)\b(I|me|my)\b"), "user").when(s.rlike(r"(?i)\b(AI|assistant|agent|Jarvis|EDITH|Friday)\b"), "agent").when(s.rlike(r"(?i)\b(we|our|us|let's|lets)\b"), "team").otherwise("unknown")
+    return F.when(like(s, r"(?i)\b(I|me|my)\b"), "user").when(like(s, r"(?i)\b(AI|assistant|agent|Jarvis|EDITH|Friday)\b"), "agent").when(like(s, r"(?i)\b(we|our|us|let's|lets)\b"), "team").otherwise("unknown")
 
 
 def confirmed(sents: DataFrame) -> DataFrame:
     """I16: facts with confidence: strong signs from 0.85, weak ones 0.75 if a reason is given and nothing takes them back."""
     s = F.col("sentence")
     strong, weak = any_of(s, CONFIRMED), any_of(s, CONFIRMED_WEAK)
-    link = F.when(s.rlike(LINKER), 0.1).otherwise(0.0)
-    c = F.when(strong, F.least(F.lit(0.95), F.floor((0.85 + link + F.when(F.char_length(s) > 50, 0.05).otherwise(0.0)) * 100 + 0.5) / 100)).when(weak & ~any_of(s, SUPPRESS) & s.rlike(LINKER), 0.75)
+    link = F.when(like(s, LINKER), 0.1).otherwise(0.0)
+    c = F.when(strong, F.least(F.lit(0.95), F.floor((0.85 + link + F.when(F.char_length(s) > 50, 0.05).otherwise(0.0)) * 100 + 0.5) / 100)).when(weak & ~any_of(s, SUPPRESS) & like(s, LINKER), 0.75)
     return sents.withColumn("confidence", c).filter(F.col("confidence").isNotNull() & ~s.endswith("?") & (F.char_length(s) >= 12)).withColumn("actor", actor(s))
 
 
 def rejected(sents: DataFrame) -> DataFrame:
     """Approach and reason, parted at the first reason word."""
     s = F.col("sentence")
-    at = F.regexp_instr(s, F.lit(REASON))
-    word = F.regexp_substr(s, F.lit(REASON))
+    at = F.regexp_instr(s, F.lit(js(REASON)))
+    word = F.regexp_substr(s, F.lit(js(REASON)))
     head = F.when(at > 1, F.regexp_replace(F.trim(F.expr("substring(sentence, 1, _at - 1)")), r"[,;:]\s*$", "")).otherwise(s)
     tail = F.when(at > 1, F.trim(F.expr("substring(sentence, _at + char_length(_word))"))).otherwise("")
     x = sents.filter(any_of(s, REJECTED)).withColumns({"_at": at, "_word": word})
@@ -54,16 +54,16 @@ def rejected(sents: DataFrame) -> DataFrame:
 def pitfalls(sents: DataFrame) -> DataFrame:
     """Api symbol and workaround of sentences that name a failure."""
     s = F.col("sentence")
-    dotted, ticked = F.regexp_extract(s, SYMBOL, 1), F.regexp_extract(s, TICKED, 1)
+    dotted, ticked = F.regexp_extract(s, js(SYMBOL), 1), F.regexp_extract(s, js(TICKED), 1)
     symbol = F.when(dotted != "", dotted).when(ticked != "", ticked)
-    return sents.filter(s.rlike(NEGATIVE)).withColumn("symbol", symbol).filter(F.col("symbol").isNotNull()).withColumn("workaround", F.trim(F.regexp_extract(s, WORKAROUND, 1)))
+    return sents.filter(like(s, NEGATIVE)).withColumn("symbol", symbol).filter(F.col("symbol").isNotNull()).withColumn("workaround", F.trim(F.regexp_extract(s, js(WORKAROUND), 1)))
 
 
 def claims(sents: DataFrame, by: list[str], order: list[str], most: int = 20) -> DataFrame:
     """The strongest sentence of each message, the ``most`` strongest of a session in the order of the source."""
     s = F.col("sentence")
-    base = F.greatest(F.when(any_of(s, REJECTED), 3).otherwise(0), F.when(s.rlike(NEGATIVE), 2).otherwise(0), F.when(s.rlike(r"(?i)\b(todo|pending|next step|unresolved|blocked)\b"), 3).otherwise(0), F.when(any_of(s, CONFIRMED), 2).otherwise(0))
-    ident = F.when(s.rlike(SYMBOL) | s.rlike(TICKED), 1).otherwise(0)
+    base = F.greatest(F.when(any_of(s, REJECTED), 3).otherwise(0), F.when(like(s, NEGATIVE), 2).otherwise(0), F.when(like(s, r"(?i)\b(todo|pending|next step|unresolved|blocked)\b"), 3).otherwise(0), F.when(any_of(s, CONFIRMED), 2).otherwise(0))
+    ident = F.when(like(s, SYMBOL) | like(s, TICKED), 1).otherwise(0)
     x = sents.withColumn("strength", base + ident).filter("strength > 0")
     x = x.withColumn("_best", F.row_number().over(Window.partitionBy(*by, *order).orderBy(F.desc("strength"), "pos"))).filter("_best = 1")
     x = x.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("strength"), *order))).filter(F.col("_rank") <= most)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import js
+
 # --- fixed values -------------------------------------------------------------
 STOP = (
     "the a an is are was were be been being have has had do does did will would could should may might can shall to of in for on with at by from as into through during before after above "
@@ -17,13 +19,13 @@ TECH = (
     "javascript python rust java go function class module import export interface type component service endpoint request response token context memory session plugin gateway compaction "
     "budget encoding tiktoken drift node npm package dependency install update"
 ).split()
-WORD = r"(?<![A-Za-z0-9_])[a-z][a-z0-9\-_]{1,30}(?![A-Za-z0-9_])"
+WORD = r"\b[a-z][a-z0-9\-_]{1,30}\b"
 # ------------------------------------------------------------------------------
 
 
 def turn_topics(messages: DataFrame, by: list[str], text: str = "content", most: int = 20) -> DataFrame:
     """(by..., keyword, weight): share of the turn's messages with the word, half as much again for technical words, the best ``most``."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(js(WORD)), F.lit(0)))
     n = messages.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     x = messages.select(*by, F.explode(words).alias("keyword")).filter(~F.col("keyword").isin(STOP) & ((F.char_length("keyword") >= 3) | F.col("keyword").isin(TECH)))
     x = x.groupBy(*by, "keyword").agg(F.count(F.lit(1)).alias("_c")).join(n, by)

@@ -25,9 +25,11 @@ def greedy_fill(df: DataFrame, by: list[str], idx: str, score: str, tokens: str,
     zero = F.struct(used.alias("used"), F.expr("cast(array() as array<bigint>)").alias("ids"))
     step = lambda a, r: F.when(a["used"] + r["t"] <= budget, F.struct((a["used"] + r["t"]).alias("used"), F.concat(a["ids"], F.array(r["i"].cast("bigint"))).alias("ids"))).otherwise(a)
     fold = F.aggregate(F.filter("items", lambda r: ~r["new"]), zero, step)
-    kept = x.select(*by, F.explode(F.concat(fold["ids"], F.transform(F.filter("items", lambda r: r["new"]), lambda r: r["i"].cast("bigint")))).alias("_kept"))
-    on = [df[c] == kept[c] for c in by] + [df[idx] == kept["_kept"]]
-    return df.join(kept, on, "left").select(*[df[c] for c in df.columns], F.col("_kept").isNotNull().alias("kept"))
+    kept = x.select(*[F.col(c).alias(f"_{c}") for c in by], F.explode(F.concat(fold["ids"], F.transform(F.filter("items", lambda r: r["new"]), lambda r: r["i"].cast("bigint")))).alias("_kept"))
+    on = F.col(idx) == F.col("_kept")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return df.join(kept, on, "left").select(*df.columns, F.col("_kept").isNotNull().alias("kept"))
 
 
 def suffix_keep(df: DataFrame, by: list[str], idx: str, tokens: str, target: int, least: int = 20) -> DataFrame:

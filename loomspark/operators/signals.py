@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # --- fixed values -------------------------------------------------------------
 ROLE_PRIORITY = {"authority": 1, "constraint": 2, "rubric": 3, "exemplar": 4, "metadata": 5}
 ROLES = {"governance": "authority", "constitution": "authority", "rl": "exemplar", "ci": "constraint", "crossdomain": "constraint", "drift": "rubric"}
-DOMAINS = (("memory", r"(?i)memory|mem_|claw-mem"), ("governance", r"(?i)governance|gov_|policy|rule"), ("ci", r"(?i)ci_|pipeline|deploy|workflow"), ("cross-domain", r"(?i)cross_domain|pillar|neoclaw"), ("session", r"(?i)session|conversation"))
+DOMAINS = (("memory", r"(?i)memory|mem_"), ("governance", r"(?i)governance|gov_|policy|rule"), ("ci", r"(?i)ci_|pipeline|deploy|workflow"), ("cross-domain", r"(?i)cross_domain|pillar"), ("session", r"(?i)session|conversation"))
 # ------------------------------------------------------------------------------
 
 

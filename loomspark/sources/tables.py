@@ -104,11 +104,11 @@ _AT = "CAST(floor(epoch_us(ts) / 1000) AS BIGINT)"
 SQL = {
     "messages": f"messages AS (SELECT conv_id AS session_id, turn AS idx, role, coalesce(text, '') || ' ' || {_pick(PHRASES, 'conv_id * 8 + turn')} AS content FROM conversations)",
     "memories": "memories AS (SELECT doc_id AS id, doc_id % 50 AS session_id, lang AS kind, coalesce(text, '') AS content, CASE WHEN doc_id % 11 = 0 THEN 0.5::DOUBLE ELSE (doc_id * 37 % 100) / 100.0::DOUBLE END AS score, doc_id % 11 = 0 AS score_missing, doc_id * 7 % 400 AS age_hours FROM documents)",
-    "ledger": f"""ledger AS (SELECT {_AT} AS at, user_id AS session_id, event_type AS trigger, event_id,
+    "ledger": f"""ledger AS (SELECT {_AT} AS "at", user_id AS session_id, event_type AS trigger, event_id,
         CAST(floor(value * 100 + 0.5) AS BIGINT) + 1000 AS input_tokens, CAST(floor(value * 100 + 0.5) AS BIGINT) % 700 + 300 AS output_tokens,
         CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 = 0 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS INTEGER) / 100.0::DOUBLE END AS share,
         'v' || CAST(event_id % 3 AS VARCHAR) AS version FROM events)""",
-    "signals": f"signals AS (SELECT event_id AS id, user_id AS session_id, {_pick(SOURCES, 'event_id')} AS source, event_type || ' on ' || {_pick(SOURCES, 'event_id')} AS content, (event_id * 13 % 100) / 100.0::DOUBLE AS conf, {_AT} AS at FROM events)",
+    "signals": f"signals AS (SELECT event_id AS id, user_id AS session_id, {_pick(SOURCES, 'event_id')} AS source, event_type || ' on ' || {_pick(SOURCES, 'event_id')} AS content, (event_id * 13 % 100) / 100.0::DOUBLE AS conf, {_AT} AS \"at\" FROM events)",
     "summaries": f"""summaries AS (SELECT user_id AS session_id, event_id, {_AT} AS ts, {_pick(TOPICS, 'event_id')} || ' ' || {_pick(TOPICS, 'event_id * 7')} AS theme,
         ['point about ' || {_pick(TOPICS, 'event_id')}, 'note on ' || {_pick(TOPICS, 'event_id * 3')}] AS key_points, ['task ' || CAST(event_id % 9 AS VARCHAR)] AS tasks,
         [{_pick(ENTITIES, 'event_id')}, {_pick(ENTITIES, 'event_id * 5')}] AS entities, event_id % 20 + 3 AS n_messages FROM events WHERE event_id % 4 = 0)""",
