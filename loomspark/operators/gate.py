@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def adaptive_threshold(mean: Column, std: Column, threshold: float = 0.5, pressure: float = 0.3) -> Column:
     """Lower for weak groups, a little higher for scattered ones; two places."""
     x = threshold - F.greatest(F.lit(0.0), threshold - mean) * pressure + F.least(0.1 * std, F.lit(0.05))
-    return F.coalesce(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) * 100 + 0.5) / 100, F.lit(threshold))
+    return F.when(mean.isNull(), threshold).otherwise(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) * 100 + 0.5) / 100)
 
 
 def gate(df: DataFrame, by: list[str], score: str, tie: str, mode: str = "adaptive", threshold: float = 0.5, least: int = 0, pressure: float = 0.3) -> DataFrame:
