@@ -233,3 +233,127 @@ def media_refs(text: Column) -> Column:
     urls = F.regexp_extract_all(text, F.lit(r"https?://[^\s\"'<>)]+"), F.lit(0))
     kind = lambda u: F.when(F.lower(u).rlike(r"\.(png|jpe?g|gif|webp|svg)$"), "image").when(F.lower(u).rlike(r"\.(mp3|wav|ogg|m4a)$"), "audio").when(F.lower(u).rlike(r"\.(mp4|webm|mov|avi)$"), "video").otherwise("link")
     return F.transform(urls, lambda u: F.struct(u.alias("url"), kind(u).alias("kind")))
+
+
+# --- message parts, predicates, styles ------------------------------------------------------------
+
+REASONING = {"code-generation": "chain-of-thought", "code-review": "tree-of-thoughts", "code-debugging": "tree-of-thoughts", "architecture-design": "graph-of-thoughts", "data-analysis": "chain-of-thought", "documentation": "direct", "testing": "tree-of-thoughts", "deployment": "direct", "security-audit": "graph-of-thoughts", "refactoring": "chain-of-thought", "quick-answer": "direct", "creative-writing": "tree-of-thoughts"}
+TASK_MAP = {"code-generation": "coding", "code-debugging": "debugging", "code-review": "review", "architecture-design": "planning", "refactoring": "coding", "testing": "coding", "deployment": "coding", "security-audit": "review", "data-analysis": "planning", "documentation": "planning", "quick-answer": "question", "creative-writing": "conversation"}
+LOOKUP_TASK = (("simple_lookup", ("find", "search", "get", "retrieve", "lookup", "show", "what is", "where is")), ("multi_lookup", ("list all", "find all", "count all", "sum all", "all of", "every")), ("summarization", ("summarize", "overview", "summary", "brief", "tldr", "synopsis")), ("complex_reasoning", ("analyze", "compare", "sort", "rank", "prioritize", "evaluate", "why", "how", "explain", "reason")))
+CONTEXT_WORDS = "typescript compile build deploy test refactor error bug fix security performance api database memory session token context config".split()
+STYLES = {"descriptive": "[Context] Relevant information:\n{items}", "prescriptive": "[Context] Use the following to answer:\n{items}", "prohibitive": "[Context] Available (DO NOT use items tagged [exclude]):\n{items}", "explanatory": "[Context] Selected because: {reasons}\n\nRelevant items:\n{items}", "conditional": "[Context] If the request involves: {conditions}\nConsider:\n{items}"}
+STYLE_OF_TASK = {"coding": "prescriptive", "review": "explanatory", "debugging": "conditional", "planning": "descriptive", "question": "descriptive", "conversation": "descriptive"}
+MODALITY_ORDER = ("image", "audio", "video", "text")
+
+
+def blocks_text(blocks: Column, sep: str = " ") -> Column:
+    """B1: the blocks' texts, or thoughts, joined."""
+    return F.array_join(F.transform(blocks, lambda b: F.coalesce(b["text"], b["thinking"], F.lit(""))), sep)
+
+
+def is_derived(content: Column, schema_version: Column, by: Column, source: Column, prefix: str = "[Compacted History") -> Column:
+    """An entry that compaction wrote."""
+    return ((schema_version == 1) & by.isNotNull() & source.isNotNull()) | content.startswith(prefix)
+
+
+def legacy_theme(text: Column) -> Column:
+    """The theme of a stored summary: of its JSON, else what follows 'Working on:', else the default."""
+    said = F.regexp_extract(text, r"Working on:\s*([^.]*)", 1)
+    return F.coalesce(F.get_json_object(text, "$.theme"), F.when(F.trim(said) != "", F.trim(said)), F.lit("General discussion"))
+
+
+def status_key(task: Column, stage: Column, errors: Column, fallback: Column) -> Column:
+    """Task or fallback, stage and the first five error ids, those that are given."""
+    parts = F.concat(F.array(F.coalesce(F.when(task != "", task), fallback, F.lit("")), F.coalesce(stage, F.lit(""))), F.slice(F.coalesce(errors, F.expr("cast(array() as array<string>)")), 1, 5))
+    return F.array_join(F.filter(parts, lambda x: x != ""), " ")
+
+
+def without_scaffold(text: Column, fragments=("[Compacted History", "Topics:", "decisions:", "entities:", "general discussion")) -> Column:
+    """A summary without its template's fixed parts."""
+    for f in fragments:
+        text = F.replace(text, F.lit(f), F.lit(""))
+    return text
+
+
+def capped(text: Column, most: int) -> Column:
+    """B15."""
+    return F.substring(text, 1, most)
+
+
+def message_tokens(text: Column, blocks: Column) -> Column:
+    """Tokens of a text, or of its blocks' texts and inputs; blocks without any count ten."""
+    b = F.aggregate(F.transform(blocks, lambda x: heuristic_tokens(F.coalesce(x["text"], x["input"], F.lit("")))), F.lit(0).cast("long"), lambda s, x: s + x)
+    return F.when(text.isNotNull(), heuristic_tokens(text)).otherwise(F.when(b == 0, 10).otherwise(b))
+
+
+def lookup_task(query: Column) -> Column:
+    """The class with the most keywords, the first of equals."""
+    low, kind, best = F.lower(query), F.lit("simple_lookup"), F.lit(0)
+    for name, words in LOOKUP_TASK:
+        n = sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
+        kind, best = F.when(n > best, name).otherwise(kind), F.greatest(best, n)
+    return kind
+
+
+def reasoning(task: Column, complex_: Column) -> Column:
+    """The strategy of a task, else by complexity."""
+    out = F.when(complex_ >= 0.7, "graph-of-thoughts").when(complex_ >= 0.5, "tree-of-thoughts").otherwise("chain-of-thought")
+    for t, s in REASONING.items():
+        out = F.when(task == t, s).otherwise(out)
+    return out
+
+
+def mapped_task(task: Column) -> Column:
+    """J8."""
+    out = F.lit("unknown")
+    for a, b in TASK_MAP.items():
+        out = F.when(task == a, b).otherwise(out)
+    return out
+
+
+def context_words(text: Column) -> Column:
+    """Listed keywords that occur as substrings."""
+    low = F.lower(text)
+    return F.filter(F.array(*map(F.lit, CONTEXT_WORDS)), lambda w: F.contains(low, w))
+
+
+def styled(items: Column, style: str, reasons: Column | None = None, conditions: Column | None = None) -> Column:
+    """An array of texts in a style's template."""
+    out = F.lit(STYLES[style])
+    out = F.replace(out, F.lit("{items}"), F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n"))
+    out = F.replace(out, F.lit("{reasons}"), reasons if reasons is not None else F.lit("general relevance"))
+    return F.replace(out, F.lit("{conditions}"), conditions if conditions is not None else F.lit("any of the above topics"))
+
+
+def modality_rank(kind: Column) -> Column:
+    """Image, audio, video, text, others last."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, MODALITY_ORDER)), kind), F.lit(0)), F.lit(99))
+
+
+def preload_rank(kind: Column, priority: Column) -> Column:
+    """Place in the model's list; unknown last."""
+    return F.coalesce(F.nullif(F.array_position(priority, kind), F.lit(0)) - 1, F.lit(999))
+
+
+def position_marker(text: Column, i: Column, n: Column) -> Column:
+    """A mark before every message but the first and the last, in sessions of more than two."""
+    return F.when((n > 2) & (i > 0) & (i < n - 1), F.concat(F.lit("[Position "), (i + 1).cast("string"), F.lit("/"), n.cast("string"), F.lit("] "), text)).otherwise(text)
+
+
+def describe_media(kind: Column, url: Column) -> Column:
+    """A fixed line for a medium."""
+    return F.when(kind == "image", F.concat(F.lit("[Image: "), url, F.lit("]"))).when(kind == "audio", F.concat(F.lit("[Audio transcript unavailable: "), url, F.lit("]"))).when(kind == "video", F.concat(F.lit("[Video: "), url, F.lit("]"))).otherwise(url)
+
+
+def json_summary(text: Column) -> Column:
+    """What a JSON text is: an array and its length, an object and its fields, or itself."""
+    keys, size = F.json_object_keys(text), F.json_array_length(text)
+    names = F.array_join(F.slice(keys, 1, 5), ", ")
+    obj = F.when(F.size(keys) == 0, "Empty object").when(F.size(keys) <= 5, F.concat(F.lit("Object with fields: "), names)).otherwise(F.concat(F.lit("Object with "), F.size(keys).cast("string"), F.lit(" fields: "), names, F.lit("... and "), (F.size(keys) - 5).cast("string"), F.lit(" more")))
+    return F.when(size == 0, "Empty array").when(size.isNotNull(), F.concat(F.lit("Array with "), size.cast("string"), F.lit(" items"))).when(keys.isNotNull(), obj).otherwise(text)
+
+
+def recovery_overlap(text: Column, summary: Column, least: int = 3) -> Column:
+    """I32: a message that restates a summary: so many common words of six letters and more."""
+    words = lambda t: F.array_distinct(F.filter(F.split(F.lower(t), r"[^a-z0-9_./-]+"), lambda w: F.char_length(w) >= 6))
+    return F.size(F.array_intersect(words(text), words(summary))) >= least
