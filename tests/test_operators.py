@@ -160,3 +160,65 @@ def test_ingest_and_windows(spark, tmp_path):
     assert [r["idx"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
     e = spark.sql("select timestamp_ntz'2024-01-01 00:10:00' ts, 'a' event_type, 1.0 value, 1L user_id union all select timestamp_ntz'2024-01-01 00:20:00', 'a', 2.0, 1L")
     assert sessions.windowed_counts(e).first()["total"] == 3 and sessions.session_windows(e).first()["n"] == 2
+
+
+def test_state_of_a_session(spark):
+    from loomspark.operators import state
+
+    m = spark.createDataFrame([("s", 0, "user", "We decided to use docker because it is simple. See src/a.ts"), ("s", 1, "assistant", "Alice tested src/a.ts with Docker"), ("s", 2, "user", "The Ledger Service fixed #12")], "session_id string, idx int, role string, content string")
+    got = {r["key"]: (r["type"], r["mentions"]) for r in state.typed_entities(m, ["session_id"]).collect()}
+    assert got == {"src/a.ts": ("file", 2), "docker": ("tool", 2), "alice": ("person", 1), "the ledger service": ("concept", 1)}
+    d = state.decisions(m, ["session_id"]).first()
+    assert (d["actor"], d["confidence"]) == ("unknown", 0.9) and d["description"].startswith("decided to use docker")
+    assert {(r["type"], r["description"]) for r in state.actions(m, ["session_id"]).collect()} == {("test", "tested"), ("code", "fixed")}
+    s = state.summaries(m, ["session_id"]).first()
+    assert s["n_messages"] == 3 and s["entities"][0] == "Docker" or s["entities"][0] == "docker"
+    ids = {(r["kind"], r["value"]): r["rank"] for r in state.handoff(m, ["session_id"]).collect()}
+    assert ids == {("file", "src/a.ts"): 1}
+    assert json.loads(state.handoff_record(m, ["session_id"]).first()["record"])["recent_user_messages"][1].endswith("#12")
+
+
+def test_search_prefers_rare_shared_terms(spark):
+    from loomspark.operators import recall
+
+    items = spark.createDataFrame([(1, "the cat sat"), (2, "the dog sat down"), (3, "zebra"), (4, "")], "id long, content string")
+    q = spark.createDataFrame([(9, "the zebra"), (8, "nothing shared")], "query_id long, query string")
+    assert [(r["query_id"], r["id"], r["rank"]) for r in recall.search(items, q, k=1).collect()] == [(9, 3, 1)]
+
+
+def test_bpe_counts_round_trip_texts(spark):
+    import os
+
+    import pytest
+
+    from loomspark.functions import bpe
+
+    if not os.path.exists(bpe.RANKS):
+        pytest.skip("no vocabulary file")
+    df = spark.createDataFrame([("hello world",), ("hello world",), (None,), ("",)], "content string")
+    got = bpe.count_distinct_texts(df).collect()
+    assert sorted(r["tokens"] for r in got) == [0, 0, 2, 2]
+
+
+def test_message_parts(spark):
+    assert one(spark, tx.legacy_theme(F.lit("Working on: the plan. more"))) == "the plan"
+    assert one(spark, tx.legacy_theme(F.lit('{"theme":"x"}'))) == "x" and one(spark, tx.legacy_theme(F.lit("?"))) == "General discussion"
+    assert one(spark, tx.status_key(F.lit(""), F.lit("build"), F.array(*[F.lit(f"e{i}") for i in range(7)]), F.lit("fb"))) == "fb build e0 e1 e2 e3 e4"
+    assert one(spark, tx.json_summary(F.lit("[]"))) == "Empty array" and one(spark, tx.json_summary(F.lit("x"))) == "x"
+    assert one(spark, tx.lineage_ids(F.array(F.lit(" a"), F.lit("a"), F.lit(""), F.lit("b")))) == ["a", "b"]
+    assert one(spark, tx.styled(F.array(F.lit("x")), "explanatory")) == "[Context] Selected because: general relevance\n\nRelevant items:\n- x"
+
+
+def test_engine(spark):
+    from loomspark.api import ContextEngine
+
+    m = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", f"we fix the bug number {i} in the code") for i in range(6)], "session_id long, idx long, role string, content string")
+    mem = spark.createDataFrame([(i, 1, f"memory {i}", (i + 5) / 10) for i in range(5)], "id long, session_id long, content string, score double")
+    e = ContextEngine(spark, m, mem)
+    assert e.build(50).first()["block"].startswith("[Memory 10000000]\n- memory 4")
+    kept, gone = e.compact(keep=2)
+    assert kept.count() == 2 and gone.first()["removed"] == 4
+    assert e.inject(50).filter("role = 'system'").count() == 1 and e.close(1).messages.count() == 0
+    assert e.budget(1000).first()["task"] == "coding" and e.signals() is None and e.drift().count() >= 1
+    e.providers.register("ci", lambda s: s.range(2))
+    assert e.signals().filter("provider = 'ci'").count() == 2

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from loomspark.plans import more_queries  # noqa: F401
 from loomspark.plans import queries as plans
 
 from .conftest import SF
