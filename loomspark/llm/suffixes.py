@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import slices, stash
 
 ANCHOR = 32
 #: Bytes of text that are looked at at once, about.
@@ -165,7 +165,7 @@ def _cover_buckets(rows: DataFrame, length: int, buckets: int) -> DataFrame:
                 raw = lambda c, t: pa.array([np.ascontiguousarray(x, dtype=t).tobytes() for x in c], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), raw(cols[1], "<u8"), raw(cols[2], "<u8"), raw(cols[3], "<i8"), raw(cols[4], "<i4"), raw(cols[5], "<i4")], names=["bucket", "h", "name", "rid", "p", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text is not None and len(text) >= length:
                     texts.append(text)
@@ -234,7 +234,7 @@ def _boundary_texts(found: DataFrame, length: int, crowd: int) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             key, ids, ps, data = [], [], [], []
             crowds: dict[int, list] = {}
             for rid, raw, edges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -287,8 +287,6 @@ def _sort_windows(rows: DataFrame, length: int) -> DataFrame:
         order = np.lexsort((p, rid, b, a))
         a, b, rid, p = a[order], b[order], rid[order], p[order]
         again = np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])
-        # Rows of one document and place are one start, not a repeat of itself.
-        again[1:] &= ~((rid[1:] == rid[:-1]) & (p[1:] == p[:-1]) & ~again[:-1])
         r, q, n = _runs(rid[again], p[again], np.ones(int(again.sum()), dtype=np.int64))
         return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(q, pa.int64()), pa.array(n, pa.int64())], names=["rid", "p", "n"])
 
@@ -325,17 +323,19 @@ def cut(raw: bytes, runs, length: int) -> tuple[bytes, int, int, list[tuple[int,
     return b"".join(left), sum(b - a for a, b in spans), len(spans), [tuple(s) for s in spans]
 
 
-def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(rid, id, raw): rid orders the documents. It is the key itself if that tells rows apart, else a number by key and text."""
+def _numbered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(rid, id, raw) of every row and of every document: rid orders the documents. It is the key itself if that tells rows apart, else a number by key and text."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("raw"))
     n, d = rows.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
     if n == d:
-        return rows.withColumn("rid", F.col("id"))
+        rows = rows.withColumn("rid", F.col("id"))
+        return rows, rows
     tagged = rows.withColumn("th", F.xxhash64("raw"))
     pairs = stash(tagged.select("id", "th").distinct().repartitionByRange(F.col("id").asc_nulls_first(), "th").sortWithinPartitions(F.col("id").asc_nulls_first(), "th").withColumn("part", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)), "sfx-pairs")
     before = pairs.groupBy("part").agg(F.count(F.lit(1)).alias("c")).withColumn("off", F.coalesce(F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     num = pairs.join(F.broadcast(before.select("part", "off")), "part").select(F.col("id").alias("_id"), F.col("th").alias("_th"), (F.col("i") + F.col("off")).alias("rid"))
-    return tagged.join(num, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("id", "raw", "rid")
+    rows = tagged.join(num, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("id", "raw", "rid")
+    return rows, rows.dropDuplicates(["rid"])
 
 
 def repeated_runs(rows: DataFrame, length: int = 100, bucket_bytes: int = 4_000_000, crowd: int = 1000) -> DataFrame:
@@ -363,8 +363,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     the text; null keys come first. An empty table gives an empty result. Other
     columns are not read.
     """
-    rows = _numbered(docs, key, text)
-    runs = repeated_runs(rows, length).groupBy("rid").agg(F.collect_list(F.struct("p", "n")).alias("runs"))
+    rows, documents = _numbered(docs, key, text)
+    runs = repeated_runs(documents, length).groupBy("rid").agg(F.collect_list(F.struct("p", "n")).alias("runs"))
     schema = f"{key} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<start:long,end:long>>, kept binary" * keep_text
 
     def run(batches):
