@@ -25,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, stash
+from .common import WORD, slices, stash
 
 WORDS = re.compile(WORD)
 SYMBOLS = "#*$%&|<>"
 _MIX, _M64 = 0x9E3779B97F4A7C15, (1 << 64) - 1
 #: Probability of a symbol that was never seen, before back-off.
 _NOVEL = 1.0 / 65536
-_KEEP = 400_000
+#: Words that a worker holds at once, at most, and those whose n-grams it makes at once.
+_KEEP, _PART = 150_000, 50_000
 
 
 def base_counts(text: str | None) -> tuple[list[str], int, int, int, int]:
@@ -103,31 +104,85 @@ def _tally(words: dict[str, int], order: int, into: Counter) -> None:
                 into["".join(chr(g >> 16 * j & 0xFFFF) for j in range(k - 1, -1, -1))] += int(c)
 
 
-def count_ngrams(docs: DataFrame, order: int) -> DataFrame:
-    """(lang, gram, n) over all documents of (lang, text)."""
+class _Table:
+    """Exact counts of 64-bit n-gram keys by direct address: the first key of a slot is counted there, others of the slot by sorting."""
+
+    def __init__(self, bits: int = 19):
+        self.shift, self.n = np.uint64(64 - bits), 1 << bits
+        self.key, self.count = np.zeros(self.n, dtype=np.uint64), np.zeros(self.n, dtype=np.int64)
+        self.rest: dict[int, int] = {}
+
+    def add(self, keys: np.ndarray) -> None:
+        at = ((keys * np.uint64(_MIX)) >> self.shift).astype(np.int64)
+        free = self.key[at] == 0
+        self.key[at[free]] = keys[free]
+        own = self.key[at] == keys
+        self.count += np.bincount(at[own], minlength=self.n)
+        if not own.all():
+            for k, n in zip(*(x.tolist() for x in np.unique(keys[~own], return_counts=True))):
+                self.rest[k] = self.rest.get(k, 0) + n
+
+    def items(self):
+        used = np.flatnonzero(self.count)
+        yield from zip(self.key[used].tolist(), self.count[used].tolist())
+        yield from self.rest.items()
+
+
+def _last_symbols(texts: list[str], order: int) -> np.ndarray:
+    """Keys of every symbol of the words of the texts with those before it in its word, 16 bits each, one up, 0 for none."""
+    codes = np.frombuffer((" " + " ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    space = (codes == 32) | ((codes >= 9) & (codes <= 13))
+    keep = np.ones(len(codes), dtype=bool)
+    keep[1:] = ~(space[1:] & space[:-1])
+    codes, space = np.where(space, 32, codes)[keep].astype(np.uint64) + np.uint64(1), space[keep]
+    at = np.arange(len(codes))
+    last = np.maximum.accumulate(np.where(space, at, 0))
+    context = at[1:] - last[:-1]
+    key = codes[1:].copy()
+    for j in range(1, order):
+        before = np.zeros(len(key), dtype=np.uint64)
+        before[j - 1 :] = codes[: len(key) - j + 1]
+        key |= np.where(context >= j, before, np.uint64(0)) << np.uint64(16 * j)
+    return key[context > 0]
 
-    def run(batches):
-        grams: dict[str, Counter] = {}
-        words: dict[str, Counter] = {}
 
-        def settle(lang):
-            _tally(words.pop(lang), order, grams.setdefault(lang, Counter()))
+def count_ngrams(docs: DataFrame, order: int) -> DataFrame:
+    """(lang, gram, n) over all documents of (lang, text): n-grams of the order (4 at most), and shorter ones that begin a word."""
 
-        for batch in batches:
+    def run(batches):
+        tables: dict[str, _Table] = {}
+        wide: dict[str, Counter] = {}
+
+        def flush():
+            for lang in tables.keys() | wide.keys():
+                grams = wide.get(lang, Counter())
+                for key, n in tables[lang].items() if lang in tables else ():
+                    grams["".join(chr((key >> 16 * j & 0xFFFF) - 1) for j in range(order - 1, -1, -1) if key >> 16 * j & 0xFFFF)] += n
+                g, n = list(grams), list(grams.values())
+                for i in range(0, len(g), 50_000):
+                    part = g[i : i + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(n[i : i + 50_000], pa.int64())], names=["lang", "gram", "n"])
+            tables.clear()
+            wide.clear()
+
+        for batch in slices(batches):
+            by: dict[str, list[str]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text:
-                    own = words.setdefault(lang or "", Counter())
-                    own.update(WORDS.findall(text))
-                    if len(own) > _KEEP:
-                        settle(lang or "")
-        for lang in list(words):
-            settle(lang)
-        for lang, own in grams.items():
-            g, n = list(own), list(own.values())
-            for i in range(0, len(g), 50_000):
-                part = g[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(n[i : i + 50_000], pa.int64())], names=["lang", "gram", "n"])
-
+                    if text.isascii() or max(text) <= "\ufffd":
+                        by.setdefault(lang or "", []).append(text)
+                    else:  # symbols of more than 16 bits
+                        _tally(dict(Counter(WORDS.findall(text))), order, wide.setdefault(lang or "", Counter()))
+            for lang, texts in by.items():
+                if lang not in tables:
+                    if len(tables) > 8:  # a table takes 8 MB
+                        yield from flush()
+                    tables[lang] = _Table()
+                tables[lang].add(_last_symbols(texts, order))
+        yield from flush()
+
+    if order > 4:
+        raise ValueError("n-grams of up to four symbols are packed in 64 bits")
     return docs.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -271,7 +326,7 @@ class Scorer:
             fresh = np.unique(key[new])
             parts = np.stack([(fresh >> np.uint64(16 * j)) & np.uint64(0xFFFF) for j in range(self.order - 1, -1, -1)], axis=1).astype(np.int64)
             lp = self.last(np.maximum(parts - 1, 0), (parts > 0).sum(axis=1))
-            if len(self.met) > 1_000_000:
+            if len(self.met) > 500_000:
                 self.met, self.met_lp = np.empty(0, dtype=np.uint64), np.empty(0)
                 fresh = np.unique(key)
                 parts = np.stack([(fresh >> np.uint64(16 * j)) & np.uint64(0xFFFF) for j in range(self.order - 1, -1, -1)], axis=1).astype(np.int64)
@@ -292,31 +347,30 @@ def score(docs: DataFrame, arrays, order: int, bits: int, key: str = "doc_id") -
         known: dict[str, dict[str, float]] = {}
         scorers: dict[str, Scorer] = {}
         size = 0
-        for batch in batches:
-            langs = [x or "" for x in batch.column(1).to_pylist()]
-            for at in range(0, len(langs), 500):
-                part = langs[at : at + 500]
-                base = [base_counts(t) for t in batch.column(2).slice(at, 500).to_pylist()]
-                fresh: dict[str, set[str]] = {}
-                for lang, b in zip(part, base):
-                    fresh.setdefault(lang, set()).update(b[0])
-                for lang, words in fresh.items():
-                    own = known.setdefault(lang, {})
-                    if new := sorted(words.difference(own)):
-                        if lang not in scorers:
-                            scorers[lang] = Scorer(lang, model.value, order, bits)
-                        own.update(zip(new, scorers[lang].words(new).tolist()))
-                        size += len(new)
-                ppl = []
-                for lang, b in zip(part, base):
-                    n = b[1] + len(b[0])
-                    ppl.append(-sum(map(known[lang].__getitem__, b[0])) / n if n else None)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 500), batch.column(1).slice(at, 500), pa.array([len(b[0]) for b in base], pa.int64())] + [pa.array([b[i] for b in base], pa.int64()) for i in (1, 2, 3, 4)] + [pa.array(ppl, pa.float64())],
-                    names=[key, "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"],
-                )
-                if size > _KEEP:
-                    known, size = {}, 0
+        for batch in slices(batches):
+            part = [x or "" for x in batch.column(1).to_pylist()]
+            base = [base_counts(t) for t in batch.column(2).to_pylist()]
+            fresh: dict[str, set[str]] = {}
+            for lang, b in zip(part, base):
+                fresh.setdefault(lang, set()).update(b[0])
+            for lang, words in fresh.items():
+                own = known.setdefault(lang, {})
+                if new := sorted(words.difference(own)):
+                    if lang not in scorers:
+                        scorers[lang] = Scorer(lang, model.value, order, bits)
+                    for i in range(0, len(new), _PART):
+                        own.update(zip(new[i : i + _PART], scorers[lang].words(new[i : i + _PART]).tolist()))
+                    size += len(new)
+            ppl = []
+            for lang, b in zip(part, base):
+                n = b[1] + len(b[0])
+                ppl.append(-sum(map(known[lang].__getitem__, b[0])) / n if n else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([len(b[0]) for b in base], pa.int64())] + [pa.array([b[i] for b in base], pa.int64()) for i in (1, 2, 3, 4)] + [pa.array(ppl, pa.float64())],
+                names=[key, "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"],
+            )
+            if size > _KEEP:
+                known, size = {}, 0
 
     return docs.select(F.col(key).cast("long").alias(key), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
