@@ -12,7 +12,7 @@ from .sources import files
 
 
 class ContextEngine:
-    """Capabilities over ``messages`` (session_id, idx, role, content) and ``memories`` (id, session_id, content, score)."""
+    """Capabilities over ``messages`` (session_id, idx, role, content) and ``memories`` (id, session_id, content, score)."""
 
     def __init__(self, spark: SparkSession, messages: DataFrame, memories: DataFrame, providers: files.Providers | None = None):
         self.spark, self.messages, self.memories, self.providers = spark, messages, memories, providers or files.Providers()

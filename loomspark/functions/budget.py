@@ -122,3 +122,34 @@ def recall_strategy(drift: Column, budget: Column, weight: Column) -> Column:
 def completeness_action(score: Column) -> Column:
     """What to do about a context's completeness."""
     return F.when(score.isNull() | (score >= 0.4), "use").when(score >= 0.2, "expand").otherwise("max_expand")
+
+
+def remaining(budget: Column, used: Column) -> Column:
+    """What is left of a category's budget."""
+    return F.greatest(F.lit(0), budget - used)
+
+
+def can_fit(budget: Column, used: Column, asked: Column) -> Column:
+    """C10."""
+    return used + asked <= budget
+
+
+def incremental_adjust(task: Column, quality: Column) -> Column:
+    """C14: struct of base and buffer percent of a task after the shift that its quality asks for."""
+    p = [lookup(task, {k: v[i] for k, v in PROFILES.items()}, PROFILES["unknown"][i]) for i in range(4)]
+    return budget_shift(p[0], p[3], p[1], p[2], quality_adjustment(quality))
+
+
+def should_compress(tokens: Column, threshold: Column) -> Column:
+    """C20."""
+    return tokens >= threshold
+
+
+def usage_ratio(tokens: Column, most: Column) -> Column:
+    """C20: 0 for no window."""
+    return F.when(most == 0, 0.0).otherwise(tokens / most)
+
+
+def assembly_strategy(task: Column) -> Column:
+    """How history is put together for a task."""
+    return lookup(task, ASSEMBLY, "balanced")

@@ -165,3 +165,17 @@ def signal_block(signals: DataFrame, by: list[str], title: str, line: Column, or
 def resume_block(session: Column, block: Column) -> Column:
     """A block under its session's hash, with what changes from turn to turn taken out."""
     return F.concat(F.lit("[Session "), session_hash(session), F.lit("]\n"), sanitize(block))
+
+
+def error_cards(cards: DataFrame, keys: DataFrame, by: list[str], most_chars: int = 1024) -> DataFrame:
+    """The cards (key, card, seq) of each session's status key (by..., key), as one block cut at 256 tokens of four characters."""
+    g = keys.join(cards, "key").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seq", "card"))).alias("l"))
+    return g.select(*by, F.substring(F.array_join(F.transform("l", lambda r: r["card"]), "\n"), 1, most_chars).alias("block"))
+
+
+def bootstrap(sessions: DataFrame, checkpoints: DataFrame, history: DataFrame, by: list[str]) -> DataFrame:
+    """For each session whether a checkpoint and a history were found, and their texts."""
+    c = checkpoints.select(*by, F.to_json(F.struct(*[x for x in checkpoints.columns if x not in by])).alias("checkpoint"))
+    h = history.select(*by, F.col("block").alias("history"))
+    x = sessions.select(*by).distinct().join(c, by, "left").join(h, by, "left")
+    return x.select(*by, F.col("checkpoint").isNotNull().alias("checkpoint_ok"), F.col("history").isNotNull().alias("history_ok"), "checkpoint", "history")

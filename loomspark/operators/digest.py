@@ -94,3 +94,9 @@ def parse(digests: DataFrame, by: list[str], text: str = "digest") -> DataFrame:
     x = digests.select(*by, F.posexplode(F.split(text, "\n")).alias("seq", "line")).filter(F.col("line").startswith("- ["))
     part = lambda i: F.regexp_extract("line", r"^- \[(\w+)\] (.*) \((\d\.\d\d)\)$", i)
     return x.select(*by, "seq", part(1).alias("kind"), part(2).alias("text"), part(3).cast("double").alias("confidence"))
+
+
+def newest_digest(entries: DataFrame, by: list[str], idx: str = "idx", text: str = "content", prefix: str = "[Structural Digest") -> tuple[DataFrame, DataFrame]:
+    """The newest digest entry of each session, and the entries that are none."""
+    is_digest = F.col(text).startswith(prefix)
+    return entries.filter(is_digest).groupBy(*by).agg(F.max_by(text, idx).alias("digest"), F.max(idx).alias(idx)), entries.filter(~is_digest)

@@ -28,3 +28,8 @@ def report(df: DataFrame, by: list[str], score: str, missing: str, threshold: fl
     g = g.withColumn("threshold", adaptive_threshold(F.col("mean"), F.col("_std"), threshold, pressure))
     passed = F.size(F.filter("_scores", lambda s: s >= F.col("threshold")))
     return g.select(*by, "total", passed.cast("long").alias("passed"), F.round("mean", 6).alias("mean"), "threshold", "missing", (F.col("total") - passed).alias("dropped"))
+
+
+def legacy_filter(df: DataFrame, score: str = "score", least: float = 0.3) -> DataFrame:
+    """B2: rows of a score of at least 0.3, where no gate is set."""
+    return df.filter(F.col(score) >= least)

@@ -69,3 +69,14 @@ def frequent(history: DataFrame, task: str, key: str, k: int) -> DataFrame:
     w = Window.partitionBy(task)
     g = g.withColumn("confidence", F.least(F.lit(0.95), F.col("n") / F.sum("n").over(w))).withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), key)))
     return g.filter(F.col("rank") <= k)
+
+
+def union_predictions(parts: list[DataFrame], by: list[str], key: str = "key", k: int = 10) -> DataFrame:
+    """H1: predictions (by..., key, confidence) of several sources: of a key's the first source's counts, then the k most confident."""
+    out = None
+    for rank, p in enumerate(parts):
+        x = p.select(*by, key, "confidence", F.lit(rank).alias("_s"))
+        out = x if out is None else out.unionByName(x)
+    g = out.groupBy(*by, key).agg(F.min_by("confidence", "_s").alias("confidence"), F.min("_s").alias("source"))
+    w = Window.partitionBy(*by).orderBy(F.desc("confidence"), key)
+    return g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

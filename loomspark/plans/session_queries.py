@@ -142,3 +142,59 @@ def f18_source_listing(spark, d):
     from ..operators import ledger
 
     return ledger.share_of(t.signals(spark, d), "source")
+
+
+@query("SELECT id, score FROM memories WHERE score >= 0.3", "memories")
+def b2_legacy_filter(spark, d):
+    from ..operators import gate
+
+    return gate.legacy_filter(t.memories(spark, d).select("id", "score"))
+
+
+@query("SELECT session_id, arg_max(content, idx) AS digest, max(idx) AS idx FROM (SELECT session_id, idx, CASE WHEN idx % 3 = 1 THEN '[Structural Digest v2] ' || CAST(idx AS VARCHAR) ELSE role END AS content FROM messages) WHERE starts_with(content, '[Structural Digest') GROUP BY 1", "messages")
+def b8_newest_digest(spark, d):
+    from ..operators import digest
+
+    m = t.messages(spark, d).select("session_id", "idx", F.when(F.col("idx") % 3 == 1, F.concat(F.lit("[Structural Digest v2] "), F.col("idx").cast("string"))).otherwise(F.col("role")).alias("content"))
+    return digest.newest_digest(m, ["session_id"])[0]
+
+
+@query("SELECT event_id, greatest(0, 1000 - u) AS remaining, u + 300 <= 1000 AS fits, u >= 800 AS compress, u / 1000.0::DOUBLE AS ratio FROM (SELECT event_id, event_id * 37 % 1300 AS u FROM events)")
+def c10_budget_checks(spark, d):
+    u = F.pmod(F.col("event_id") * 37, F.lit(1300))
+    x = t.load(spark, d, "events")
+    return x.select("event_id", bg.remaining(F.lit(1000), u).alias("remaining"), bg.can_fit(F.lit(1000), u, F.lit(300)).alias("fits"), bg.should_compress(u, F.lit(800)).alias("compress"), bg.usage_ratio(u, F.lit(1000)).alias("ratio"))
+
+
+@query("""WITH f AS (SELECT event_type AS task, user_id AS key, count(*) AS n FROM events GROUP BY 1, 2), a AS (SELECT task, key, round(n / CAST(sum(n) OVER (PARTITION BY task) AS DOUBLE), 9) AS confidence, 0 AS s FROM f),
+b AS (SELECT DISTINCT event_type AS task, user_id AS key, 0.01::DOUBLE AS confidence, 1 AS s FROM events WHERE user_id % 3 = 0), c AS (SELECT * FROM a WHERE key % 2 = 0 UNION ALL SELECT * FROM b),
+g AS (SELECT task, key, arg_min(confidence, s) AS confidence, min(s) AS source FROM c GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY confidence DESC, key) AS rank FROM g) SELECT task, key, confidence, source, rank FROM r WHERE rank <= 10""")
+def h1_union_predictions(spark, d):
+    from pyspark.sql import Window
+
+    e = t.load(spark, d, "events").select(F.col("event_type").alias("task"), F.col("user_id").alias("key"))
+    f = e.groupBy("task", "key").agg(F.count(F.lit(1)).alias("n")).withColumn("confidence", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("task")), 9)).filter("key % 2 = 0")
+    b = e.filter("key % 3 = 0").distinct().withColumn("confidence", F.lit(0.01))
+    return graph.union_predictions([f, b], ["task"])
+
+
+@query("~ g AS (SELECT trigger, session_id AS key, max(\"at\") AS \"at\" FROM ledger WHERE \"at\" <= 1706000000000 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY trigger ORDER BY \"at\" DESC, key) AS rank FROM g WHERE \"at\" > 1706000000000 - 86400000) SELECT trigger, key, \"at\", rank FROM r WHERE rank <= 32", "ledger")
+def l4_cache_entries(spark, d):
+    from ..operators import caches
+
+    x = t.ledger(spark, d).select("trigger", F.col("session_id").alias("key"), "at")
+    return caches.alive(x, ["trigger"], 1706000000000, 86_400_000, 32)
+
+
+@query(None)
+def k15_bootstrap(spark, d):
+    s = t.summaries(spark, d)
+    c = resume.checkpoint_record(s, ["session_id"], [F.desc("ts"), F.col("event_id")])
+    return blocks.bootstrap(s, c, resume.history_block(s, ["session_id"], NOW, max_age_hours=96), ["session_id"])
+
+
+@query("SELECT user_id AS session_id, 'card ' || CAST(user_id % 5 AS VARCHAR) AS block FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 5 < 3")
+def k11_error_cards(spark, d):
+    cards = spark.createDataFrame([(f"k{i}", f"card {i}", 0) for i in range(3)], "key string, card string, seq int")
+    keys = t.load(spark, d, "events").select(F.col("user_id").alias("session_id")).distinct().withColumn("key", F.concat(F.lit("k"), F.pmod("session_id", F.lit(5)).cast("string")))
+    return blocks.error_cards(cards, keys, ["session_id"])

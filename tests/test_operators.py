@@ -222,3 +222,23 @@ def test_engine(spark):
     assert e.budget(1000).first()["task"] == "coding" and e.signals() is None and e.drift().count() >= 1
     e.providers.register("ci", lambda s: s.range(2))
     assert e.signals().filter("provider = 'ci'").count() == 2
+
+
+def test_caches(spark, tmp_path):
+    from loomspark.operators import caches
+
+    puts = spark.createDataFrame([("c", "a", 10), ("c", "a", 50), ("c", "b", 60), ("c", "old", 1), ("c", "late", 99)], "c string, key string, at long")
+    assert [r["key"] for r in caches.alive(puts, ["c"], 70, 40, 1).collect()] == ["b"]
+    p = spark.createDataFrame([("x", 50), ("y", 55)], "task string, at long")
+    inv = spark.createDataFrame([("x", 52)], "task string, at long")
+    assert [r["task"] for r in caches.preloaded(p, inv, "task", 60, 100).collect()] == ["y"]
+    assert caches.preloaded(p, spark.createDataFrame([(None, 56)], "task string, at long"), "task", 60, 100).count() == 0
+    caches.emit(p, "preloaded", str(tmp_path / "e"))
+    assert {json.loads(r["payload"])["task"] for r in spark.read.parquet(str(tmp_path / "e")).collect()} == {"x", "y"}
+
+
+def test_unseen_rows_of_a_stream(spark, tmp_path):
+    from loomspark.operators import caches
+
+    e = spark.sql("select timestamp'2024-01-01 00:00:01' ts, 'a' k union all select timestamp'2024-01-01 00:00:02', 'a' union all select timestamp'2024-01-01 00:00:03', 'b'")
+    assert sorted(r["k"] for r in _drain(caches.unseen(_stream(spark, tmp_path, e), ["k"]), "unseen", "append")) == ["a", "b"]
