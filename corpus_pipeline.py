@@ -22,7 +22,7 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Documents whose id is among ``ids``; null ids match null."""
     ids = stash(ids.select(F.col("doc_id").alias("_id")).distinct(), "kept-ids")
     n = ids.count()
-    return docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     times = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
     counts = stash(taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max(times).alias("_times")).filter("_times > 0"), "mix-times")
     n = counts.count()
-    out = docs.join(F.broadcast(counts) if n <= BROADCAST_IDS else counts, F.col("doc_id").eqNullSafe(F.col("_id")))
+    out = docs.select(*COLUMNS).join(F.broadcast(counts) if n <= BROADCAST_IDS else counts, F.col("doc_id").eqNullSafe(F.col("_id")))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*COLUMNS)
 
 

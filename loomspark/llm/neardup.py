@@ -31,14 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, stash
+from .common import WORD, slices, stash
 from .components import components
 
 WORDS = re.compile(WORD)
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Ids up to this number may be broadcast to pick out texts; more are joined by shuffle.
 BROADCAST_IDS = 200_000
-_REMEMBER = 500_000
+_REMEMBER = 150_000
 
 
 def shingle_set(text: str | None, k: int) -> set[tuple[str, ...]]:
@@ -71,33 +71,32 @@ def embed(docs: DataFrame, shingle: int, coords: int, seed: int) -> DataFrame:
         spread = rng.integers(1, 2**63, size=coords, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         step = rng.integers(1, 2**63, size=shingle, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         known: dict[str, int] = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                cls, n, sig = [], [], []
-                for text in batch.column(1).slice(at, 500).to_pylist():
-                    words = WORDS.findall(text.translate(LOWER)) if text else []
-                    if not words:
-                        cls.append(None)
-                        n.append(0)
-                        sig.append(None)
-                        continue
-                    if len(known) > _REMEMBER:
-                        known.clear()
-                    for w in set(words).difference(known):
-                        known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-                    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-                    m = max(1, len(h) - shingle + 1)
-                    total = np.full(m, np.uint64(min(len(h), shingle)), dtype=np.uint64)
-                    for j in range(min(shingle, len(h))):
-                        total = _mix(total + h[j : j + m] * step[j])
-                    own = np.unique(total)
-                    low = np.full(coords, np.uint64(2**64 - 1), dtype=np.uint64)
-                    for i in range(0, len(own), 2048):
-                        low = np.minimum(low, (own[i : i + 2048, None] * spread[None, :]).min(axis=0))
-                    cls.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                    n.append(len(own))
-                    sig.append((_mix(low) & np.uint64(0x7FFFFFFF)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.list_(pa.int32()))], names=["id", "cls", "n", "sig"])
+        for batch in slices(batches):
+            cls, n, sig = [], [], []
+            for text in batch.column(1).to_pylist():
+                words = WORDS.findall(text.translate(LOWER)) if text else []
+                if not words:
+                    cls.append(None)
+                    n.append(0)
+                    sig.append(None)
+                    continue
+                if len(known) > _REMEMBER:
+                    known.clear()
+                for w in set(words).difference(known):
+                    known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+                h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+                m = max(1, len(h) - shingle + 1)
+                total = np.full(m, np.uint64(min(len(h), shingle)), dtype=np.uint64)
+                for j in range(min(shingle, len(h))):
+                    total = _mix(total + h[j : j + m] * step[j])
+                own = np.unique(total)
+                low = np.full(coords, np.uint64(2**64 - 1), dtype=np.uint64)
+                for i in range(0, len(own), 2048):
+                    low = np.minimum(low, (own[i : i + 2048, None] * spread[None, :]).min(axis=0))
+                cls.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                n.append(len(own))
+                sig.append((_mix(low) & np.uint64(0x7FFFFFFF)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.list_(pa.int32()))], names=["id", "cls", "n", "sig"])
 
     return docs.mapInArrow(run, "id long, cls binary, n long, sig array<int>")
 
@@ -124,7 +123,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
 
     def run(batches):
         met: dict[int, set] = {}
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for i, (bid, ta, tb) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 sb = met.get(bid)
@@ -259,7 +258,7 @@ def _compare_blocks(members: DataFrame, docs: DataFrame, shingle: int, percent:
     """Candidate links (a, b) in large nodes (node, size, id, c): each is cut in chunks, and pairs of chunks are compared whole."""
 
     def sets(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 h = {xxhash.xxh32_intdigest(" ".join(s).encode("utf-8", "surrogatepass")) for s in shingle_set(text, shingle)}

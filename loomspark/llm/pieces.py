@@ -26,11 +26,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SIGN = "▁"
 #: Segments that a worker remembers, at most.
-REMEMBER = 400_000
+REMEMBER = 100_000
+#: Followed failure links that an automaton keeps, at most.
+SHORTCUTS = 200_000
 
 
 def read_vocabulary(path: str = MODEL) -> list[tuple[str, float, str]]:
@@ -101,16 +106,19 @@ class Codec:
         for state in queue:
             back = self.fail[state]
             self.out[state] = back if self.piece[back] >= 0 else self.out[back]
-        self.step = [dict(x) for x in self.children]  # filled with followed failure links as they are met
+        self.room = SHORTCUTS
+        self.step = self.children  # from here on also holds followed failure links, as they are met
 
     def _next(self, state: int, c: str) -> int:
         if c not in self.alphabet:
             return 0
         back = state
-        while back and c not in self.children[back]:
+        while back and c not in self.step[back]:
             back = self.fail[back]
-        to = self.children[back].get(c, 0)
-        self.step[state][c] = to
+        to = self.step[back].get(c, 0)
+        if self.room:
+            self.room -= 1
+            self.step[state][c] = to
         return to
 
     def path(self, segment: str) -> tuple[int, ...]:
@@ -183,28 +191,31 @@ def _shared(spark, model: str):
     return spark.sparkContext.broadcast(vocabulary), hashlib.sha256(repr(vocabulary).encode()).hexdigest()
 
 
-def encode(docs: DataFrame, model: str = MODEL, text: str = "text", out: str = "ids") -> DataFrame:
-    """Add ``out``, the ids of the text; null for a null text, empty for an empty one. A column of that name is replaced."""
+def _with_column(docs: DataFrame, source: str, out: str, kind: str, arrow: pa.DataType, model: str, of) -> DataFrame:
+    """Add a column made row by row from another, in slices small enough that long texts don't add up."""
     vocabulary, name = _shared(docs.sparkSession, model)
+    kept = [c for c in docs.columns if c != out or c == source]
+    at = kept.index(source)
 
-    @F.pandas_udf("array<int>")
-    def run(texts):
+    def run(batches):
         codec = codec_for(vocabulary.value, name)
-        return texts.map(lambda t: None if t is None else np.array(codec.encode(t), dtype=np.int32))
+        for part in slices(batches, 200):
+            made = pa.array([None if x is None else of(codec, x) for x in part.column(at).to_pylist()], arrow)
+            yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*kept, "_made"])
 
-    return docs.withColumn(out, run(F.col(text)))
+    x = docs.select(*kept)
+    schema = T.StructType([*x.schema.fields, T.StructField("_made", T._parse_datatype_string(kind))])
+    return x.mapInArrow(run, schema).select(*[c for c in kept if c != out], F.col("_made").alias(out))
 
 
-def decode(docs: DataFrame, model: str = MODEL, ids: str = "ids", out: str = "text") -> DataFrame:
-    """Add ``out``, the text of the ids; null for null."""
-    vocabulary, name = _shared(docs.sparkSession, model)
+def encode(docs: DataFrame, model: str = MODEL, text: str = "text", out: str = "ids") -> DataFrame:
+    """Add ``out``, the ids of the text; null for a null text, empty for an empty one. A column of that name is replaced."""
+    return _with_column(docs, text, out, "array<int>", pa.list_(pa.int32()), model, lambda codec, t: np.array(codec.encode(t), dtype=np.int32))
 
-    @F.pandas_udf("string")
-    def run(rows):
-        codec = codec_for(vocabulary.value, name)
-        return rows.map(lambda x: None if x is None else codec.decode(x))
 
-    return docs.withColumn(out, run(F.col(ids)))
+def decode(docs: DataFrame, model: str = MODEL, ids: str = "ids", out: str = "text") -> DataFrame:
+    """Add ``out``, the text of the ids; null for null. A column of that name is replaced."""
+    return _with_column(docs, ids, out, "string", pa.string(), model, lambda codec, x: codec.decode(x))
 
 
 def encode_and_check(docs: DataFrame, model: str = MODEL, key: str = "doc_id", keep_ids: bool = False) -> DataFrame:
@@ -222,20 +233,19 @@ def encode_and_check(docs: DataFrame, model: str = MODEL, key: str = "doc_id", k
         codec = codec_for(vocabulary.value, name)
         is_byte = np.zeros(len(codec.bytes_of), dtype=bool)
         is_byte[list(codec.byte_id.values())] = True
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                n, nb, sha, same, kept = [], [], [], [], []
-                for t in batch.column(1).slice(at, 200).to_pylist():
-                    ids = codec.encode(t or "")
-                    packed = np.array(ids, dtype="<i4")
-                    n.append(len(ids))
-                    nb.append(int(is_byte[packed].sum()))
-                    sha.append(hashlib.sha256(packed.tobytes()).hexdigest())
-                    same.append(codec.decode(ids) == (t or ""))
-                    if keep_ids:
-                        kept.append(packed)
-                cols = [batch.column(0).slice(at, 200), pa.array(n, pa.int64()), pa.array(nb, pa.int64()), pa.array(sha), pa.array(same)]
-                names = [key, "n_tokens", "n_byte_tokens", "ids_sha256", "round_trip"]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.list_(pa.int32()))] * keep_ids, names=names + ["ids"] * keep_ids)
+        for batch in slices(batches, 200):
+            n, nb, sha, same, kept = [], [], [], [], []
+            for t in batch.column(1).to_pylist():
+                ids = codec.encode(t or "")
+                packed = np.array(ids, dtype="<i4")
+                n.append(len(ids))
+                nb.append(int(is_byte[packed].sum()))
+                sha.append(hashlib.sha256(packed.tobytes()).hexdigest())
+                same.append(codec.decode(ids) == (t or ""))
+                if keep_ids:
+                    kept.append(packed)
+            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(nb, pa.int64()), pa.array(sha), pa.array(same)]
+            names = [key, "n_tokens", "n_byte_tokens", "ids_sha256", "round_trip"]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.list_(pa.int32()))] * keep_ids, names=names + ["ids"] * keep_ids)
 
     return docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
@@ -145,7 +147,7 @@ def find(docs: DataFrame, key: str = "doc_id", min_cost: float = 10.0) -> DataFr
     schema = f"{key} long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [scan(t, min_cost) for t in batch.column(1).to_pylist()]
             counts = [[sum(k == kind for _, _, k in s) for s in found] for kind in KINDS]
             base = [hashlib.sha256(joined(x for x in s if x[2] != "guess").encode()).hexdigest() for s in found]

@@ -53,6 +53,17 @@ def test_empty_tables(spark, none):
         assert df.collect() == []
 
 
+def test_release_deletes_what_was_written(spark):
+    from loomspark.llm import common
+
+    x = common.stash(spark.range(5), "test")
+    assert x.count() == 5
+    path = common._WRITTEN[-1].removeprefix("file://")
+    import os
+
+    assert os.path.isdir(path) and common.release(spark) > 0 and not os.path.isdir(path)
+
+
 # --- 1 mixing ------------------------------------------------------------------------------------
 
 
@@ -122,7 +133,8 @@ def test_restores_disguised_words(spark):
     r = toxicity.Restorer(arrays)
     for seen, want in (("1d10t", "idiot"), ("id!ot", "idiot"), ("idiooooot", "idiot"), ("i.d.i.o.t", "idiot"), ("$tup1d", "stupid"), ("Clown,", "clown"), ("market", "market"), ("!!!", "")):
         assert r.plain(seen) == want
-    assert toxicity.document_words("go i d i o t now")[0] >= {"idiot"}
+    assert toxicity.document_words("go i d i o t now")[0] >= {"idiot"} and toxicity.document_words("is a i d i o t")[0] >= {"idiot"}
+    assert r.plain("1x" * 500) == "1x" * 500
 
 
 def test_scores_held_out_and_leaves_labels_alone(spark):
