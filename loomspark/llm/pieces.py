@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,9 @@ from .common import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SIGN = "▁"
 #: Segments that a worker remembers, at most.
-REMEMBER = 100_000
+REMEMBER = 300_000
 #: Followed failure links that an automaton keeps, at most.
-SHORTCUTS = 200_000
+SHORTCUTS = 400_000
 
 
 def read_vocabulary(path: str = MODEL) -> list[tuple[str, float, str]]:
@@ -47,6 +48,9 @@ def read_vocabulary(path: str = MODEL) -> list[tuple[str, float, str]]:
     return [(p.id_to_piece(i), p.get_score(i), kind(i)) for i in range(p.get_piece_size())]
 
 
+_LEAST = float("-inf")
+
+
 class Codec:
     """Encoder and decoder for a vocabulary."""
 
@@ -106,6 +110,9 @@ class Codec:
         for state in queue:
             back = self.fail[state]
             self.out[state] = back if self.piece[back] >= 0 else self.out[back]
+        self.ends = [state if self.piece[state] >= 0 else self.out[state] for state in range(n)]  # the longest piece that ends in a state
+        self.value = [self.score[p] if p >= 0 else 0.0 for p in self.piece]
+        self.singles = {c for c, to in self.children[0].items() if self.piece[to] >= 0}
         self.room = SHORTCUTS
         self.step = self.children  # from here on also holds followed failure links, as they are met
 
@@ -123,32 +130,34 @@ class Codec:
 
     def path(self, segment: str) -> tuple[int, ...]:
         """The ids of the best segmentation; of equal ones, that with the longer last piece."""
-        step, out, piece, depth, score, penalty = self.step, self.out, self.piece, self.depth, self.score, self.penalty
-        best, back = [0.0], [(0, -1)]
-        state = 0
-        for i, c in enumerate(segment, 1):
+        step, out, depth, value, ends, singles = self.step, self.out, self.depth, self.value, self.ends, self.singles
+        best, back = [0.0], [(0, 0)]
+        state = i = 0
+        for c in segment:
+            i += 1
             to = step[state].get(c)
             state = self._next(state, c) if to is None else to
-            top, come = best[i - 1] + penalty * len(c.encode("utf-8", "surrogatepass")), (i - 1, -1)
-            at = state if piece[state] >= 0 else out[state]
+            # Bytes never beat the piece of the character itself.
+            top, come = (_LEAST, None) if c in singles else (best[i - 1] + self.penalty * len(c.encode("utf-8", "surrogatepass")), (i - 1, 0))
+            at = ends[state]
             while at:
-                p = piece[at]
-                s = best[i - depth[at]] + score[p]
+                j = i - depth[at]
+                s = best[j] + value[at]
                 if s > top:
-                    top, come = s, (i - depth[at], p)
+                    top, come = s, (j, at)
                 at = out[at]
             best.append(top)
             back.append(come)
         ids: list[int] = []
-        i = len(segment)
         while i:
-            j, p = back[i]
-            if p >= 0:
-                ids.append(p)
+            j, at = back[i]
+            if at:
+                ids.append(self.piece[at])
             else:
                 ids.extend(self.byte_id[b] for b in reversed(segment[j:i].encode("utf-8", "surrogatepass")))
             i = j
-        return tuple(reversed(ids))
+        ids.reverse()
+        return tuple(ids)
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; none for an empty one."""
@@ -156,20 +165,14 @@ class Codec:
             return []
         known = self.known
         parts = self.segments.findall(" " + text)
-        try:
-            paths = list(map(known.__getitem__, parts))
-        except KeyError:
-            if len(known) > REMEMBER:
-                known.clear()
-            paths = []
-            for p in parts:
-                ids = known.get(p)
-                if ids is None:
-                    ids = self.path(p)
-                    if len(p) < 64:
-                        known[p] = ids
-                paths.append(ids)
-        return [i for ids in paths for i in ids]
+        if len(known) > REMEMBER:
+            known.clear()
+        long: dict[str, tuple[int, ...]] = {}
+        for p in set(parts).difference(known):
+            (known if len(p) < 64 else long)[p] = self.path(p)
+        if long:
+            return [i for p in parts for i in (known[p] if len(p) < 64 else long[p])]
+        return list(chain.from_iterable(map(known.__getitem__, parts)))
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.bytes_of.__getitem__, ids))
