@@ -15,7 +15,7 @@ def op1_mix_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _held_out(key: str = "doc_id"):
-    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 0
+    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
 def op2_toxicity_deobfuscated(spark: SparkSession, sf_dir: str) -> DataFrame:
