@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,10 +70,24 @@ def rough_tokens(text: Column) -> Column:
     return F.ceil(F.char_length(text) / 4).cast("long")
 
 
+_W = "[A-Za-z0-9_]"
+
+
+def _words_only(group: str) -> tuple[bool, bool]:
+    """Whether all alternatives of a group's inside begin, and end, with a word character."""
+    parts = re.sub(r"\([^()]*\)", "x", group).split("|")
+    return all(re.match(_W, a) for a in parts), all(re.search(rf"{_W}(?:{_W}\?)?$", a) for a in parts)
+
+
 def js(pattern: str) -> str:
-    """The pattern with word boundaries of ASCII letters, digits and underscore; the JVM's own take in all scripts."""
-    w = "[A-Za-z0-9_]"
-    return pattern.replace(r"\b", f"(?:(?<!{w})(?={w})|(?<={w})(?!{w}))")
+    """The pattern with word boundaries of ASCII letters, digits and underscore; the JVM's own take in all scripts.
+
+    Around a group of words a look to one side is enough.
+    """
+    m = re.fullmatch(r"(\(\?i\))?\\b\((\?:)?([^()]*)\)\\b", pattern)
+    if m and _words_only(m[3]) == (True, True):
+        return f"{m[1] or ''}(?<!{_W})({m[2] or ''}{m[3]})(?!{_W})"
+    return pattern.replace(r"\b", f"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))")
 
 
 def like(text: Column, pattern: str) -> Column:
