@@ -115,6 +115,14 @@ def a4_search_bm25(spark, d):
     return recall.search(items, queries, k=5).withColumn("score", F.round("score", 4))
 
 
+@query(None)
+def a4_search_bm25_whole(spark, d):
+    """Every row of the benchmark is a query; the SQL of ``a4_search_bm25`` holds the first 20."""
+    items = t.load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"))
+    queries = t.load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return recall.search(items, queries, k=5).withColumn("score", F.round("score", 4))
+
+
 @query("""~ a AS (SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, id) AS r FROM memories),
 x AS (SELECT session_id, id FROM a WHERE r <= 3), y AS (SELECT session_id, id FROM memories WHERE id % 7 = 0) SELECT * FROM x UNION ALL SELECT * FROM y WHERE id NOT IN (SELECT id FROM x)""", "memories")
 def e15_expanded_hits(spark, d):
@@ -161,6 +169,13 @@ def f17_strategy_feedback(spark, d):
     return reports.strategy_feedback(x.select(F.col("trigger").alias("strategy"), F.col("share").alias("reward")))
 
 
+@query(None)
+def f17_strategy_feedback_whole(spark, d):
+    """The whole ledger; the SQL of ``f17_strategy_feedback`` holds its first 40 rows."""
+    x = t.ledger(spark, d).filter("share is not null")
+    return reports.strategy_feedback(x.select(F.col("trigger").alias("strategy"), F.col("share").alias("reward")))
+
+
 @query("SELECT session_id, count(*) AS turns, count_if(score > 0.6) AS drifted, round(avg(score), 6) AS mean, max(score) AS peak FROM (SELECT user_id AS session_id, (event_id * 29 % 100) / 100.0::DOUBLE AS score FROM events) GROUP BY 1")
 def g6_drift_report(spark, d):
     x = t.load(spark, d, "events").select(F.col("user_id").alias("session_id"), (F.pmod(F.col("event_id") * 29, F.lit(100)) / 100.0).alias("score"))
@@ -184,6 +199,13 @@ def j21_predict_cooccurring(spark, d):
     return reports.cooccurring(h, "task", "unit", "key").withColumn("confidence", F.round("confidence", 6))
 
 
+@query(None)
+def j21_predict_cooccurring_whole(spark, d):
+    """All events; the SQL of ``j21_predict_cooccurring`` holds the first 2,000."""
+    h = t.load(spark, d, "events").select(F.col("event_type").alias("task"), F.floor(F.col("event_id") / 5).alias("unit"), F.col("user_id").alias("key")).distinct()
+    return reports.cooccurring(h, "task", "unit", "key").withColumn("confidence", F.round("confidence", 6))
+
+
 # --- message parts --------------------------------------------------------------------------------
 
 _LOOK = [(n, " + ".join(f"CAST(contains(lower(content), '{w}') AS INTEGER)" for w in ws)) for n, ws in tx.LOOKUP_TASK]
@@ -249,6 +271,13 @@ def j20_prompt_style(spark, d):
     return m.select("session_id", tx.styled(F.transform("l", lambda r: r["line"]), tx.STYLE_OF_TASK["coding"]).alias("block"))
 
 
+@query(None)
+def j20_prompt_style_whole(spark, d):
+    """All memories; the SQL of ``j20_prompt_style`` holds the first 500."""
+    m = t.memories(spark, d).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("id", F.concat_ws(" ", "kind", F.col("id").cast("string")).alias("line")))).alias("l"))
+    return m.select("session_id", tx.styled(F.transform("l", lambda r: r["line"]), tx.STYLE_OF_TASK["coding"]).alias("block"))
+
+
 @query("SELECT event_id, CASE kind WHEN 'image' THEN 1 WHEN 'audio' THEN 2 WHEN 'video' THEN 3 WHEN 'text' THEN 4 ELSE 99 END AS modality, CASE kind WHEN 'text' THEN 0 WHEN 'image' THEN 1 ELSE 999 END AS preload FROM (SELECT event_id, list_extract(['text','video','image','other','audio'], CAST(event_id % 5 + 1 AS INTEGER)) AS kind FROM events)")
 def d11_modality_rank(spark, d):
     kind = F.element_at(F.array(*map(F.lit, ("text", "video", "image", "other", "audio"))), (F.pmod("event_id", F.lit(5)) + 1).cast("int"))

@@ -68,6 +68,15 @@ def d15_uniform_subsample(spark, d):
     return x.select("doc_id", F.array_join(select.uniform_subsample(F.col("l"), 0.25), " ").alias("kept"))
 
 
+@query(None)
+def d15_uniform_subsample_whole(spark, d):
+    """All documents and whole texts; the SQL of ``d15_uniform_subsample`` holds a prefix of both."""
+    from ..operators import select
+
+    x = t.load(spark, d, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), " ").alias("l"))
+    return x.select("doc_id", F.array_join(select.uniform_subsample(F.col("l"), 0.25), " ").alias("kept"))
+
+
 @query("SELECT id, session_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY \"at\" DESC, id DESC) AS r FROM signals) WHERE r <= 20", "signals")
 def a13_snapshot_store(spark, d):
     return files.keep_last(t.signals(spark, d), most=20).select("id", "session_id")
