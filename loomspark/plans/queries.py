@@ -228,6 +228,12 @@ def b3_confidence_gate(spark, d):
     return gate.gate(m, ["session_id"], "score", "id", least=3)
 
 
+@query(None)
+def b3_confidence_gate_whole(spark, d):
+    """All memories; the SQL of ``b3_confidence_gate`` drops every third of a score of 0.4 or more."""
+    return gate.gate(t.memories(spark, d).select("session_id", "id", "score"), ["session_id"], "score", "id", least=3)
+
+
 @query(f"""~ g AS (SELECT session_id, count(*) AS total, avg(score) AS m, {_THRESH.format(m="avg(score)", s="stddev_pop(score)")} AS threshold, count_if(score_missing) AS missing, list(score) AS l FROM memories GROUP BY 1)
 SELECT session_id, total, len(list_filter(l, lambda s: s >= threshold)) AS passed, round(m, 6) AS mean, threshold, missing, total - len(list_filter(l, lambda s: s >= threshold)) AS dropped FROM g""", "memories")
 def b5_gate_report(spark, d):
@@ -666,6 +672,12 @@ def j18_fusion(spark, d):
     return signals.fusion(t.signals(spark, d).filter("id % 9 = 0"), ["session_id"])
 
 
+@query(None)
+def j18_fusion_whole(spark, d):
+    """All signals; the SQL of ``j18_fusion`` holds every ninth."""
+    return signals.fusion(t.signals(spark, d), ["session_id"])
+
+
 @query(f"SELECT session_id, {_DOM} AS domain, round(avg(conf), 6) AS weight, count(*) AS n FROM signals GROUP BY 1, 2", "signals")
 def f16_domain_weights(spark, d):
     return signals.domain_weights(t.signals(spark, d), ["session_id"])
@@ -677,8 +689,10 @@ hr AS (SELECT *, CASE source WHEN 'governance' THEN 'authority' WHEN 'rl' THEN '
 hp AS (SELECT *, CASE role WHEN 'authority' THEN 1 WHEN 'constraint' THEN 2 WHEN 'rubric' THEN 3 WHEN 'exemplar' THEN 4 ELSE 5 END AS priority FROM hr)"""
 
 
-def _hints(spark, d):
-    e = t.load(spark, d, "events").filter("event_id % 6 = 0")
+def _hints(spark, d, whole=False):
+    """Hints out of all events if ``whole``, else out of every sixth, as in ``_HINTS``."""
+    e = t.load(spark, d, "events")
+    e = e if whole else e.filter("event_id % 6 = 0")
     pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (F.pmod("event_id", F.lit(len(words))) + 1).cast("int"))
     x = e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("idx"), pick(_HINT_SOURCES).alias("source"), F.concat("event_type", F.lit(" on "), pick(t.TOPICS)).alias("block"))
     return x.withColumn("role", signals.role(F.col("source"))).withColumn("priority", signals.priority(F.col("role")))
@@ -689,11 +703,21 @@ def j19_role_order(spark, d):
     return signals.assemble(_hints(spark, d), ["session_id"])
 
 
+@query(None)
+def j19_role_order_whole(spark, d):
+    return signals.assemble(_hints(spark, d, whole=True), ["session_id"])
+
+
 @query(f"WITH {_HINTS} SELECT session_id, " + ", ".join(f"count_if(role = '{r}') AS {r}" for r in signals.ROLE_PRIORITY) + ", count(*) AS total FROM hp GROUP BY 1")
 def f15_role_breakdown(spark, d):
     return signals.role_breakdown(_hints(spark, d), ["session_id"])
 
 
+@query(None)
+def f15_role_breakdown_whole(spark, d):
+    return signals.role_breakdown(_hints(spark, d, whole=True), ["session_id"])
+
+
 @query(f"""WITH {_HINTS}, w AS (SELECT *, list_filter(regexp_split_to_array(lower(block), '\\s+'), lambda x: x <> 'on') AS t FROM hp),
 j AS (SELECT a.session_id, a.idx AS a_idx, b.idx AS b_idx, list_filter(a.t, lambda x: list_contains(b.t, x))[1] AS topic, CASE WHEN a.priority < b.priority THEN a.source ELSE b.source END AS high_source, CASE WHEN a.priority < b.priority THEN b.source ELSE a.source END AS low_source, CASE WHEN a.priority < b.priority THEN a.role ELSE b.role END AS resolved FROM w a JOIN w b ON a.session_id = b.session_id AND a.idx < b.idx AND a.priority <> b.priority)
 SELECT * FROM j WHERE topic IS NOT NULL""")
@@ -701,6 +725,11 @@ def e7_role_conflicts(spark, d):
     return signals.conflicts(_hints(spark, d), ["session_id"])
 
 
+@query(None)
+def e7_role_conflicts_whole(spark, d):
+    return signals.conflicts(_hints(spark, d, whole=True), ["session_id"])
+
+
 @query(f"SELECT id, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN CAST(m AS VARCHAR) || 'm ago' WHEN m < 1440 THEN CAST(CAST(floor(m / 60.0) AS BIGINT) AS VARCHAR) || 'h ago' ELSE CAST(CAST(floor(m / 1440.0) AS BIGINT) AS VARCHAR) || 'd ago' END AS since FROM (SELECT id, CAST(floor(({NOW} - \"at\") / 60000.0) AS BIGINT) AS m FROM signals)", "signals")
 def k10_relative_time(spark, d):
     return t.signals(spark, d).select("id", signals.relative_time(F.col("at"), F.lit(NOW)).alias("since"))

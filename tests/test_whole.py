@@ -103,3 +103,73 @@ def test_prompt_style_reads_all_memories(whole):
     for x in docs:
         by[x["doc_id"] % 50].append(f"- {x['lang']} {x['doc_id']}")
     assert {r["session_id"]: r["block"] for r in run("j20_prompt_style_whole")} == {k: "\n".join(["[Context] Use the following to answer:", *v]) for k, v in by.items()}
+
+
+SOURCES = ("memory_store", "governance", "ci_pipeline", "cross_domain", "session", "weather", "policy", "deploy")
+TOPICS = ("deploy gateway", "memory budget", "token count", "review plugin", "database schema", "release notes", "drift alerts")
+ROLES = {"governance": ("authority", 1), "ci": ("constraint", 2), "drift": ("rubric", 3), "rl": ("exemplar", 4), "other": ("metadata", 5)}
+
+
+def hints(events):
+    """Hints of each session, by event: (idx, source, role, priority, block)."""
+    out = defaultdict(list)
+    for x in sorted(events, key=lambda x: x["event_id"]):
+        i = x["event_id"]
+        source = ("governance", "rl", "ci", "drift", "other")[i % 5]
+        out[x["user_id"]].append((i, source, *ROLES[source], f"{x['event_type']} on {TOPICS[i % 7]}"))
+    return out
+
+
+def test_role_order_and_breakdown_read_all_events(whole):
+    run, _, _, events = whole
+    by = hints(events)
+    text = {r["session_id"]: r["text"] for r in run("j19_role_order_whole")}
+    assert text == {k: "\n\n".join(h[4] for h in sorted(v, key=lambda h: (h[3], h[0]))) for k, v in by.items()}
+    got = {r.pop("session_id"): r for r in run("f15_role_breakdown_whole")}
+    assert got == {k: {r: sum(h[2] == r for h in v) for r, _ in ROLES.values()} | {"total": len(v)} for k, v in by.items()}
+
+
+def test_role_conflicts_join_all_pairs_of_a_session(whole):
+    run, _, _, events = whole
+    want = set()
+    for k, v in hints(events).items():
+        for n, a in enumerate(v):
+            for b in v[n + 1 :]:
+                common = [w for w in a[4].split() if w != "on" and w in b[4].split()]
+                if a[3] != b[3] and common:
+                    high, low = (a, b) if a[3] < b[3] else (b, a)
+                    want.add((k, a[0], b[0], common[0], high[1], low[1], high[2]))
+    got = [(r["session_id"], r["a_idx"], r["b_idx"], r["topic"], r["high_source"], r["low_source"], r["resolved"]) for r in run("e7_role_conflicts_whole")]
+    assert len(got) == len(want) > 1000 and set(got) == want
+
+
+def test_fusion_reads_all_signals(whole):
+    run, _, _, events = whole
+    names, tokens = defaultdict(set), Counter()
+    for x in events:
+        source = SOURCES[x["event_id"] % 8]
+        names[x["user_id"]].add(source)
+        tokens[x["user_id"]] += math.ceil(len(f"{x['event_type']} on {source}") / 4)
+    got = {r["session_id"]: r for r in run("j18_fusion_whole")}
+    assert {k: r["tokens"] for k, r in got.items()} == tokens
+    for k, s in names.items():
+        ci, memory = bool(s & {"ci_pipeline", "deploy"}), "memory_store" in s
+        # policy is a source of governance, deploy one of ci
+        assert got[k]["compliance_check"] == (bool(s & {"governance", "policy"}) and ci)
+        assert got[k]["inject_history"] == (memory and "session" in s) and got[k]["correlate"] == ("cross_domain" in s and memory)
+
+
+def test_gate_reads_all_memories(whole):
+    run, docs, _, _ = whole
+    by, want = defaultdict(list), {}
+    for x in docs:
+        i = x["doc_id"]
+        by[i % 50].append((0.5 if i % 11 == 0 else i * 37 % 100 / 100, i))
+    for k, v in by.items():
+        mean = sum(s for s, _ in v) / len(v)
+        std = math.sqrt(sum((s - mean) ** 2 for s, _ in v) / len(v))
+        limit = math.floor(max(0.0, min(1.0, 0.5 - max(0.0, 0.5 - mean) * 0.3 + min(0.1 * std, 0.05))) * 100 + 0.5) / 100
+        ok = [i for s, i in v if s >= limit]
+        rest = sorted(((-s, i) for s, i in v if s < limit))[: max(0, 3 - len(ok))]
+        want |= {i: (k, limit) for i in ok + [i for _, i in rest]}
+    assert {r["id"]: (r["session_id"], r["threshold"]) for r in run("b3_confidence_gate_whole")} == want
