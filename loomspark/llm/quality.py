@@ -5,10 +5,9 @@ after each word), one model for each language. Its n-grams are counted by Spark
 over all documents: a task counts words first, then the n-grams of its distinct
 words, so what is shuffled follows the distinct n-grams, not the text. The
 estimates are joins and sums over those. The finished model is a sorted array of
-hashed n-grams with log probabilities and back-off weights; hashes have
-``hash_bits`` bits, so the arrays hold 2 ** hash_bits entries at most whatever
-the corpus, which is what bounds the broadcast (n-grams that share a hash share
-an entry).
+hashed n-grams with log probabilities and back-off weights. Hashes are kept whole
+(64 bits; two n-grams of one hash stop the run), so the broadcast follows the
+distinct n-grams, 16 bytes for each.
 
 A document whose log perplexity lies outside its language's band is rejected;
 the bands are Tukey fences (quartiles and ``fence`` times the distance between
@@ -30,6 +29,8 @@ from .common import WORD, slices, stash
 WORDS = re.compile(WORD)
 SYMBOLS = "#*$%&|<>"
 _MIX, _M64 = 0x9E3779B97F4A7C15, (1 << 64) - 1
+#: Bits of the keys of a model: whole hashes, so that no n-grams share an entry.
+KEY_BITS = 64
 #: Probability of a symbol that was never seen, before back-off.
 _NOVEL = 1.0 / 65536
 #: Words that a worker holds at once, at most, and those whose n-grams it makes at once.
@@ -254,19 +255,26 @@ def _fold(h: np.ndarray, code: np.ndarray) -> np.ndarray:
 
 
 def hash_arrays(model: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The model as sorted hashes, log probabilities and back-off weights; not a number where an entry has none."""
+    """The model as sorted hashes, log probabilities and back-off weights; not a number where an entry has none.
+
+    With ``KEY_BITS`` bits each n-gram has an entry of its own: two of one hash are an error. With fewer, those of one key are merged.
+    """
 
     def run(batches):
         for batch in batches:
-            keys = [gram_key(lang, gram, bits) for lang, gram in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), batch.column(2), batch.column(3)], names=["key", "lp", "bow"])
-
-    folded = model.select("lang", "gram", "lp", "bow").mapInArrow(run, "key int, lp double, bow double")
-    rows = folded.groupBy("key").agg(F.max("lp").cast("float").alias("lp"), F.max("bow").cast("float").alias("bow")).toArrow()  # 2 ** bits rows at most
-    key = rows.column("key").to_numpy()
+            keys = np.array([gram_key(lang, gram, bits) for lang, gram in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(2), batch.column(3)], names=["key", "lp", "bow"])
+
+    folded = model.select("lang", "gram", "lp", "bow").mapInArrow(run, "key long, lp double, bow double")
+    if bits < KEY_BITS:
+        folded = folded.groupBy("key").agg(F.max("lp").alias("lp"), F.max("bow").alias("bow"))
+    rows = folded.select("key", F.col("lp").cast("float").alias("lp"), F.col("bow").cast("float").alias("bow")).toArrow()  # one for each distinct n-gram
+    key = rows.column("key").to_numpy().view(np.uint64)
     at = np.argsort(key, kind="stable")
+    if (key[at][1:] == key[at][:-1]).any():
+        raise ValueError("two n-grams have one hash")
     as_float = lambda c: rows.column(c).to_pandas().to_numpy(dtype=np.float32, na_value=np.nan)[at]
-    return key[at].astype(np.int32), as_float("lp"), as_float("bow")
+    return key[at], as_float("lp"), as_float("bow")
 
 
 class Scorer:
@@ -284,7 +292,7 @@ class Scorer:
         """Places of hashes in the arrays, -1 for those that are not there."""
         if not len(self.keys):
             return np.full(len(h), -1)
-        k = ((h * np.uint64(_MIX)) >> np.uint64(64 - self.bits)).astype(np.int32)
+        k = (h * np.uint64(_MIX)) >> np.uint64(64 - self.bits)
         i = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
         return np.where(self.keys[i] == k, i, -1)
 
@@ -375,7 +383,7 @@ def score(docs: DataFrame, arrays, order: int, bits: int, key: str = "doc_id") -
     return docs.select(F.col(key).cast("long").alias(key), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def judge(docs: DataFrame, key: str = "doc_id", order: int = 4, hash_bits: int = 22, fence: float = 4.0, min_words: int = 50) -> DataFrame:
+def judge(docs: DataFrame, key: str = "doc_id", order: int = 4, hash_bits: int = KEY_BITS, fence: float = 4.0, min_words: int = 50) -> DataFrame:
     """Counts, log perplexity, its band, ``base_failed`` and ``kept`` for every document.
 
     Columns: key, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

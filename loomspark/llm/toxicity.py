@@ -48,17 +48,17 @@ _KEEP = 150_000
 class Restorer:
     """Restores disguised words under a character model (the sorted hash arrays of ``quality``)."""
 
-    def __init__(self, arrays, sign_cost: float = 1.0, drop_cost: float = 0.7, repeat_cost: float = 0.4, plain_sign_cost: float = 6.0, beam: int = 48):
+    def __init__(self, arrays, sign_cost: float = 1.0, drop_cost: float = 0.7, repeat_cost: float = 0.4, plain_sign_cost: float = 6.0, beam: int = 48, bits: int = BITS):
         self.keys, self.lps, self.bows = arrays
         self.costs = sign_cost, drop_cost, repeat_cost, plain_sign_cost
-        self.beam = beam
+        self.beam, self.bits = beam, bits
         self.found: dict[str, tuple[float | None, float | None]] = {}
         self.base = (self._entry("")[1] or 0.0) + float(np.log(quality._NOVEL))
 
     def _entry(self, gram: str) -> tuple[float | None, float | None]:
         got = self.found.get(gram)
         if got is None:
-            k = quality.gram_key("", gram, BITS)
+            k = quality.gram_key("", gram, self.bits)
             i = int(np.searchsorted(self.keys, k))
             if i < len(self.keys) and int(self.keys[i]) == k:
                 lp, bow = float(self.lps[i]), float(self.bows[i])
@@ -190,7 +190,7 @@ def _count(rows: DataFrame, arrays, only=None) -> DataFrame:
     """(f, pos, neg): documents with each feature, by label, of (text, y); with ``only`` (a broadcast set) the others are left out."""
 
     def run(batches):
-        restorer = Restorer(arrays.value)
+        restorer = Restorer(arrays.value, bits=quality.KEY_BITS)
         wanted = None if only is None else only.value
         first = None if only is None else heads(wanted)
 
@@ -227,7 +227,7 @@ def _evidence(docs: DataFrame, arrays, weights) -> DataFrame:
     """(id, top, total, n): evidence of each document of (id, text)."""
 
     def run(batches):
-        restorer, w = Restorer(arrays.value), weights.value
+        restorer, w = Restorer(arrays.value, bits=quality.KEY_BITS), weights.value
         first = heads(w)
 
         def of(x):
@@ -295,7 +295,7 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     n = known.count()
     if n > max_labels:
         known = known.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < int(1e6 * max_labels / n))
-    arrays = quality.hash_arrays(quality.kneser_ney(quality.count_ngrams(rows.select(F.lit("").alias("lang"), F.lower("text").alias("text")), ORDER), ORDER), BITS)
+    arrays = quality.hash_arrays(quality.kneser_ney(quality.count_ngrams(rows.select(F.lit("").alias("lang"), F.lower("text").alias("text")), ORDER), ORDER), quality.KEY_BITS)
     model = sc.broadcast(arrays)
     taught = rows.join(F.broadcast(known), "id")  # max_labels rows or so at most
     totals = {r["y"]: r["n"] for r in known.join(rows.select("id").distinct(), "id", "left_semi").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
