@@ -23,9 +23,9 @@ from .common import slices
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Words of a credential context, wider than those of ``ASSIGN``; a value follows an equals sign, a colon or an arrow.
+#: Words of a credential context, wider than those of ``ASSIGN``; a value follows an equals sign, a colon or an arrow, with any run of spaces and tabs at both sides.
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth(?:orization)?|credentials?|bearer|login|signature)["']?\x20{0,8}(?:=>|:=|[:=])\x20{0,8}(?:bearer\x20)?["'`]?([!-!#-&(-_a-~]{6,})""",
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth(?:orization)?|credentials?|bearer|login|signature)["']?[\x20\t]*+(?:=>|:=|[:=])[\x20\t]*+(?:bearer[\x20\t]++)?["'`]?([!-!#-&(-_a-~]{6,})""",
     re.ASCII | re.IGNORECASE,
 )
 #: Any text that ``CONTEXT`` matches holds one of these (in lower case).
