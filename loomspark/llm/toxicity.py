@@ -1,11 +1,14 @@
 """Toxicity: noisy-channel deobfuscation, then a scorer learned from labels.
 
-Words that look disguised (signs or digits among letters, letters said again and
-again, letters set apart) become a lattice: each sign may stand for the letters
-it is written for, separators may be dropped, repeats may collapse, each at a
-cost. The best path under a character language model (modified Kneser-Ney,
-counted by Spark over all documents) is the restored word. Features are the
-restored words and how they begin.
+A word that may be disguised (signs or digits, letters said again, separators
+inside, letters set apart by spaces) becomes a lattice: each sign may stand for
+the letters it is written for, separators and the spaces between single letters
+may be dropped or part words, repeats may collapse, each at a cost. The best path
+under a character language model (modified Kneser-Ney, counted by Spark over all
+documents) gives the restored words. The search is exact: a state is the context
+of the model, and no state is dropped. Each distinct word is decoded once while a
+worker remembers it, whatever its length. Features are the words as written and
+as restored, and how they begin.
 
 Learning: features of toxic documents are counted; those in ``min_share`` of
 them or more are counted in the others too. A feature's weight is the lower end
@@ -17,7 +20,11 @@ these three gives the score.
 Bounds: at most ``features per document / min_share`` features can be in that
 share of documents, so what is collected and broadcast doesn't grow with the
 corpus; the cells are a fixed grid; at most about ``max_labels`` labelled rows
-(chosen by hash) are learned from.
+(chosen by hash) are learned from. The language model that is sent holds its most
+frequent n-grams, ``max_ngrams`` at most; a rarer one backs off.
+
+Left as written: numbers (digits and the punctuation of numbers alone), and words
+cut into parts of several letters by spaces, which can't be told from prose.
 """
 
 from __future__ import annotations
@@ -33,44 +40,50 @@ from pyspark.sql import functions as F
 from . import quality
 from .common import slices, stash
 
-ORDER, BITS = 4, 22
+ORDER = 4
 #: What signs and digits are written for; a star hides a vowel.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "¡": "i", "*": "aeiou"}
-SEPARATORS = ".-_*~'`,:/\\·"
-SUSPECT = re.compile(r"[^\W\d_][0-9@$!|+(*€¡]+[^\W\d_]|^[0-9@$!|+(€¡]+[^\W\d_]{2}|[^\W\d_]{2}[0-9$@]$|([^\W\d_])\1\1|^(?:\w[.\-_*~'`,:/\\·]){2,}\w$")
-#: Strings of more characters are no words: addresses, keys, encoded data.
-LONGEST = 64
-TRIPLE = re.compile(r"(.)\1\1")
+SEPARATORS = ".-_*~'`,:;/\\· "
+#: A letter that comes twice or more in a row, and a number.
+AGAIN = re.compile(r"(.)\1+")
+NUMBER = re.compile(r"[\d.,:;/+%€$-]*")
+PARTS = re.compile(r"[-.,:;/\\_~'`·\s]+")
 EDGE = ".,;:!?\"'()[]{}<>#*%&|~`-_=/\\·«»“”„…"
+#: What may be taken from the edges of a word before it is decoded: none of these stands for a letter there.
+TIGHT = ".,;:?\"'()[]{}<>#%&*~`-_=/\\·«»“”„…"
 _KEEP = 150_000
 
 
 class Restorer:
-    """Restores disguised words under a character model (the sorted hash arrays of ``quality``)."""
+    """Restores disguised words under a character model (``quality.Model``, counted inside words)."""
 
-    def __init__(self, arrays, sign_cost: float = 1.0, drop_cost: float = 0.7, repeat_cost: float = 0.4, plain_sign_cost: float = 6.0, beam: int = 48, bits: int = BITS):
-        self.keys, self.lps, self.bows = arrays
+    def __init__(self, model: quality.Model, sign_cost: float = 1.0, drop_cost: float = 0.7, repeat_cost: float = 0.4, plain_sign_cost: float = 6.0):
+        self.model = model
         self.costs = sign_cost, drop_cost, repeat_cost, plain_sign_cost
-        self.beam, self.bits = beam, bits
         self.found: dict[str, tuple[float | None, float | None]] = {}
+        self.known: dict[str, float] = {}
+        self.start = " " * (ORDER - 1)
         self.base = (self._entry("")[1] or 0.0) + float(np.log(quality._NOVEL))
 
     def _entry(self, gram: str) -> tuple[float | None, float | None]:
         got = self.found.get(gram)
         if got is None:
-            k = quality.gram_key("", gram, self.bits)
-            i = int(np.searchsorted(self.keys, k))
-            if i < len(self.keys) and int(self.keys[i]) == k:
-                lp, bow = float(self.lps[i]), float(self.bows[i])
-                got = (None if lp != lp else lp, None if bow != bow else bow)
-            else:
-                got = (None, None)
             if len(self.found) > 200_000:
                 self.found.clear()
-            self.found[gram] = got
+            got = self.found[gram] = self.model.entry("", gram)
         return got
 
     def logp(self, context: str, c: str) -> float:
+        """Log probability of a symbol after a context of ``ORDER - 1`` symbols."""
+        gram = context + c
+        got = self.known.get(gram)
+        if got is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            got = self.known[gram] = self._backed_off(context, c)
+        return got
+
+    def _backed_off(self, context: str, c: str) -> float:
         extra = 0.0
         while True:
             lp = self._entry(context + c)[0]
@@ -81,48 +94,78 @@ class Restorer:
             extra += self._entry(context)[1] or 0.0
             context = context[1:]
 
-    def restore(self, word: str) -> str:
-        """The likeliest undisguised form of a lower-cased word."""
+    def choices(self, c: str, last: str) -> list[tuple[str, float]]:
+        """What a character may stand for ('' for nothing) after the one before it, and the costs."""
         sign_cost, drop_cost, repeat_cost, plain = self.costs
-        states: dict[str, tuple[float, tuple]] = {" ": (0.0, ())}
+        letters = SIGNS.get(c, "")
+        out = [(c, 0.0 if c.isalpha() or c == " " else plain)] + [(x, sign_cost) for x in letters]
+        drop = []
+        if c in SEPARATORS:
+            drop.append(drop_cost)
+            if c != " ":
+                out.append((" ", drop_cost))
+        elif letters:
+            drop.append(drop_cost + sign_cost)
+        if c == last:
+            drop.append(repeat_cost)
+        return [*out, ("", min(drop))] if drop else out
+
+    def restore(self, word: str) -> str:
+        """The likeliest undisguised form of a lower-cased word; it may be several words."""
+        logp, start = self.logp, self.start
+        states: dict[str, tuple[float, tuple]] = {start: (0.0, ())}
         last = ""
         for c in word:
             after: dict[str, tuple[float, tuple]] = {}
-
-            def offer(context: str, score: float, path: tuple) -> None:
-                old = after.get(context)
-                if old is None or score > old[0]:
-                    after[context] = (score, path)
-
-            letters = SIGNS.get(c)
-            for context, (score, path) in states.items():
-                for x, cost in [(c, plain if letters or not c.isalpha() else 0.0)] + [(x, sign_cost) for x in letters or ""]:
-                    offer((context + x)[-(ORDER - 1) :], score - cost + self.logp(context, x), (path, x))
-                if c in SEPARATORS or letters:
-                    offer(context, score - drop_cost - (sign_cost if c not in SEPARATORS else 0.0), path)
-                if c == last and context[-1] != " ":
-                    offer(context, score - repeat_cost, path)
-            states = dict(sorted(after.items(), key=lambda s: -s[1][0])[: self.beam])
+            for x, cost in self.choices(c, last):
+                for context, (score, path) in states.items():
+                    if not x:
+                        to, total, way = context, score - cost, path
+                    elif x == " ":
+                        if context == start:
+                            to, total, way = context, score - cost, path
+                        else:
+                            to, total, way = start, score - cost + logp(context, " "), (path, " ")
+                    else:
+                        to, total, way = context[1:] + x, score - cost + logp(context, x), (path, x)
+                    old = after.get(to)
+                    if old is None or total > old[0]:
+                        after[to] = (total, way)
+            states = after
             last = c
-        _, path = max((s + self.logp(context, " "), path) for context, (s, path) in states.items())
+        path = max((score + (logp(context, " ") if context != start else 0.0), context) for context, (score, _) in states.items())
+        path = states[path[1]][1]
         out = []
         while path:
             path, x = path
             out.append(x)
-        return "".join(reversed(out))
+        return "".join(reversed(out)).strip()
 
-    def plain(self, word: str) -> str:
-        """Lower-cased without punctuation at its edges, restored if it looks disguised."""
+    def words(self, word: str, split: bool = True) -> list[str]:
+        """A word as written, lower-cased and without punctuation at its edges, and as restored, if it may be disguised."""
         low = word.lower()
         bare = low.strip(EDGE)
-        if bare.isalpha() and low[0] == bare[0] and not TRIPLE.search(bare):
-            return bare
-        tight = low.strip(".,;:?\"'()[]{}<>#%&*~`-_=/\\·«»“”„…")
-        if len(tight) > LONGEST:
-            return bare
-        if SUSPECT.search(bare) or (tight != bare and SUSPECT.search(tight)):
-            return self.restore(tight).strip(EDGE) or bare
-        return bare
+        if not bare:
+            return []
+        if bare.isalpha():
+            # A sign at an edge may be a letter, too: "!diot".
+            tight = low.strip(TIGHT)
+            if tight == bare and not AGAIN.search(bare):
+                return [bare]
+        else:
+            tight = low.strip(TIGHT)
+            if NUMBER.fullmatch(tight):
+                return [bare]
+        # The whole, and what stands between separators if that is more than letters set apart: "go,idiot".
+        parts = [x for x in PARTS.split(tight) if len(x) > 1]
+        parts = parts if split and (len(parts) > 1 or parts and parts[0] != tight) else []
+        found = [x for t in (tight, *parts) for x in (w.strip(EDGE) for w in (t if t.isalpha() and not AGAIN.search(t) else self.restore(t)).split()) if x]
+        return list(dict.fromkeys([bare, *found]))
+
+    def plain(self, word: str) -> str:
+        """The word restored, or as written where there is nothing to restore."""
+        got = self.words(word, split=False)
+        return " ".join(got[1:]) if len(got) > 1 else "".join(got)
 
 
 def features(word: str) -> list[str]:
@@ -135,32 +178,48 @@ def heads(wanted) -> frozenset[str]:
     return frozenset(f[1:4] for f in wanted)
 
 
-def _nothing(word: str, first: frozenset[str]) -> bool:
-    """Whether a word is plainly written and begins with none of the beginnings; most words are."""
-    if not word.isalpha():
-        return False
-    low = word.lower()
-    return low[:3] not in first and not TRIPLE.search(low)
+class _First:
+    """What words must begin with to have one of the features: a quick and exact test for words of letters alone."""
+
+    def __init__(self, wanted):
+        self.heads = heads(wanted)
+        self.short = frozenset(AGAIN.sub(r"\1", h) for h in self.heads)
+
+    def nothing(self, word: str) -> bool:
+        """Whether a word of letters has none of the features, however its repeats are read; most words have none."""
+        low = word.lower()
+        if not low.isalpha():
+            bare = low.strip(EDGE)
+            if not bare.isalpha() or low.strip(TIGHT) != bare:
+                return False
+            low = bare
+        if low[:3] in self.heads:
+            return False
+        one = AGAIN.sub(r"\1", low)
+        return len(one) == len(low) or not (one[:3] in self.short or one[:2] in self.short or one[:1] in self.short)
 
 
 def spaced(words: list[str]) -> list[str]:
-    """Runs of four and more words of one character, each joined into one; also without a first or last letter, which may be a word of its own."""
+    """Runs of words of one character: as they stand, spaces between; those of four and more also joined into one, and so without a first or last letter, which may be a word of its own."""
     runs, run = [], []
     for w in [*words, ""]:
         if len(w) == 1:
             run.append(w)
         elif run:
-            if len(run) > 3:
-                runs.append("".join(run))
+            if len(run) > 1:
+                runs.append(run)
             run = []
-    return [x for r in runs for x in ((r, r[1:], r[:-1], r[1:-1]) if len(r) > 4 else (r,)) if len(x) > 3]
+    out = [" ".join(r) for r in runs]
+    for r in ("".join(r) for r in runs if len(r) > 3):
+        out += [x for x in ((r, r[1:], r[:-1], r[1:-1]) if len(r) > 4 else (r,)) if len(x) > 3]
+    return out
 
 
 def document_words(text: str | None) -> tuple[set[str], int]:
-    """Distinct words of a text, letters set apart joined, and the number of words."""
+    """Distinct words of a text, with the runs of letters set apart, and the number of words."""
     words = text.split() if text else []
     got = set(words)
-    if list(map(len, words)).count(1) > 3:
+    if list(map(len, words)).count(1) > 1:
         got.update(spaced(words))
     return got, len(words)
 
@@ -190,17 +249,15 @@ def _count(rows: DataFrame, arrays, only=None) -> DataFrame:
     """(f, pos, neg): documents with each feature, by label, of (text, y); with ``only`` (a broadcast set) the others are left out."""
 
     def run(batches):
-        restorer = Restorer(arrays.value, bits=quality.KEY_BITS)
+        restorer = Restorer(arrays.value)
         wanted = None if only is None else only.value
-        first = None if only is None else heads(wanted)
+        first = None if only is None else _First(wanted)
 
         def of(w):
-            if first is not None and _nothing(w, first):
+            if first is not None and first.nothing(w):
                 return ()
-            p = restorer.plain(w)
-            if wanted is None:
-                return features(p)
-            return [f for f in features(p) if f in wanted] if p[:3] in first else ()
+            found = {f for p in restorer.words(w) for f in features(p)}
+            return found if wanted is None else found & wanted
 
         memory = _Memory(of)
         pos, neg = Counter(), Counter()
@@ -227,14 +284,13 @@ def _evidence(docs: DataFrame, arrays, weights) -> DataFrame:
     """(id, top, total, n): evidence of each document of (id, text)."""
 
     def run(batches):
-        restorer, w = Restorer(arrays.value, bits=quality.KEY_BITS), weights.value
-        first = heads(w)
+        restorer, w = Restorer(arrays.value), weights.value
+        first = _First(w)
 
         def of(x):
-            if _nothing(x, first):
+            if first.nothing(x):
                 return 0.0
-            p = restorer.plain(x)
-            return max(w.get(f, 0.0) for f in features(p)) if p and p[:3] in first else 0.0
+            return max((w.get(f, 0.0) for p in restorer.words(x) for f in features(p)), default=0.0)
 
         memory = _Memory(of)
         for batch in slices(batches):
@@ -278,7 +334,7 @@ def fit_logistic(cells: list[tuple[float, ...]], ridge: float = 1.0) -> list[flo
     return w.tolist()
 
 
-def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_labels: int = 30_000, min_share: float = 0.005, least_weight: float = 1.5, doubt: float = 2.5) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_labels: int = 30_000, min_share: float = 0.005, least_weight: float = 1.5, doubt: float = 2.5, max_ngrams: int = 8_000_000) -> DataFrame:
     """(key, score, predicted, top) for every document; ``labels`` (key, label) are what may be learned from.
 
     A null or empty text has no evidence and gets the score of such documents.
@@ -295,8 +351,9 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     n = known.count()
     if n > max_labels:
         known = known.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < int(1e6 * max_labels / n))
-    arrays = quality.hash_arrays(quality.kneser_ney(quality.count_ngrams(rows.select(F.lit("").alias("lang"), F.lower("text").alias("text")), ORDER), ORDER), quality.KEY_BITS)
-    model = sc.broadcast(arrays)
+    lower = rows.select(F.lit("").alias("lang"), F.lower("text").alias("text"))
+    grams = quality.kneser_ney(quality.count_ngrams(lower, ORDER, across=False), ORDER)
+    model = sc.broadcast(quality.hash_arrays(quality.frequent(grams, max_ngrams)[0], ORDER))
     taught = rows.join(F.broadcast(known), "id")  # max_labels rows or so at most
     totals = {r["y"]: r["n"] for r in known.join(rows.select("id").distinct(), "id", "left_semi").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = totals.get(1, 0), totals.get(0, 0)

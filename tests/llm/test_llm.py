@@ -129,12 +129,42 @@ def test_mix(docs, rows):
 def test_restores_disguised_words(spark):
     clean = ["the idiot went to the market and a stupid clown was there", "pathetic loser and stupid idiot", "a moron came with the clown"] * 30
     text = spark.createDataFrame([("", t) for t in clean], "lang string, text string")
-    arrays = quality.hash_arrays(quality.kneser_ney(quality.count_ngrams(text, 4), 4), 22)
-    r = toxicity.Restorer(arrays)
+    r = toxicity.Restorer(quality.hash_arrays(quality.kneser_ney(quality.count_ngrams(text, 4, across=False), 4), 4))
     for seen, want in (("1d10t", "idiot"), ("id!ot", "idiot"), ("idiooooot", "idiot"), ("i.d.i.o.t", "idiot"), ("$tup1d", "stupid"), ("Clown,", "clown"), ("market", "market"), ("!!!", "")):
         assert r.plain(seen) == want
     assert toxicity.document_words("go i d i o t now")[0] >= {"idiot"} and toxicity.document_words("is a i d i o t")[0] >= {"idiot"}
-    assert r.plain("1x" * 500) == "1x" * 500
+    for seen in ("idi" + 70 * "o" + "t", "i" + 40 * "--" + "diot", "iddiot", "stuupid", "i--d--i--o--t", "id-iot", "st_up_id", "1d!0+", "i d i o t"):
+        assert r.plain(seen) in ("idiot", "stupid")
+    assert "idiot" in r.words("go,idiot") and "idiot" in r.words("the/1diot") and r.words("2019-01-02") == ["2019-01-02"]
+
+
+def spellings(word, last="", after=""):
+    """Every reading of a lattice with its cost, by enumeration."""
+    r = toxicity.Restorer.choices
+    own = type("C", (), {"costs": (1.0, 0.7, 0.4, 6.0)})
+    out = [("", 0.0)]
+    for i, c in enumerate(word):
+        out = [(s + x, cost + more) for s, cost in out for x, more in r(own, c, word[i - 1] if i else "")]
+    return out
+
+
+def test_decoding_is_the_best_of_all_readings(spark):
+    text = spark.createDataFrame([("", "the idiot went to a market with the stupid clown and sat down there")], "lang string, text string")
+    r = toxicity.Restorer(quality.hash_arrays(quality.kneser_ney(quality.count_ngrams(text, 4, across=False), 4), 4))
+
+    def total(s):
+        out = 0.0
+        for w in s.split():
+            padded = "   " + w + " "
+            out += sum(r.logp(padded[i - 3 : i], padded[i]) for i in range(3, len(padded)))
+        return out
+
+    rng = random.Random(12)
+    for _ in range(60):
+        seen = "".join(rng.choice("idot1!0.- st@e") for _ in range(rng.randint(1, 7))).strip()
+        want = max(total(s) - cost for s, cost in spellings(seen))
+        got = r.restore(seen)
+        assert max(total(s) - cost for s, cost in spellings(seen) if " ".join(s.split()) == got) == pytest.approx(want)
 
 
 def test_scores_held_out_and_leaves_labels_alone(spark):
@@ -212,14 +242,13 @@ def test_base_counts():
     assert quality.base_counts(None)[1:] == (0, 0, 0, 0) and quality.base_counts("a a a a")[4] == 4
 
 
-def kneser_ney(words, order):
+def kneser_ney(texts, order):
     """p(last symbol | context) by the book, for all n-grams."""
     tables = {k: Counter() for k in range(1, order + 1)}
-    for w, n in words.items():
-        s = f" {w} "
-        for i in range(1, len(s)):
-            g = s[max(0, i - order + 1) : i + 1]
-            tables[len(g)][g] += n
+    for t in texts:
+        s = " " * (order - 1) + " ".join(t.split()) + " "
+        for i in range(order - 1, len(s)):
+            tables[order][s[i - order + 1 : i + 1]] += 1
     for k in range(order - 1, 0, -1):
         for g in tables[k + 1]:
             tables[k][g[1:]] += 1
@@ -237,24 +266,84 @@ def kneser_ney(words, order):
         total = sum(same.values())
         off = {x: d[k][min(v, 3) - 1] for x, v in same.items()}
         return (max(0, same.get(g, 0) - off.get(g, 0)) + sum(off.values()) * low) / total
-    return p
+    return lambda t: sum(np.log(p(s[i - order + 1 : i + 1])) for s in [" " * (order - 1) + " ".join(t.split()) + " "] for i in range(order - 1, len(s)))
+
+
+PROSE = ["the then than that hat at a that the cat sat on the mat", "banana  bandana\n😀x the mat sat", "\tthe cat"]
 
 
 def test_language_model_is_kneser_ney(spark):
-    words = Counter("the then than that hat at a that the cat sat on the mat banana bandana \U0001f600x".split())
-    df = spark.createDataFrame([("", " ".join(words.elements()))], "lang string, text string")
-    arrays = quality.hash_arrays(quality.kneser_ney(quality.count_ngrams(df, 4), 4), 22)
-    p, scorer = kneser_ney(words, 4), quality.Scorer("", arrays, 4, 22)
-    for w in ("that", "then", "banana", "zzz", "\U0001f600x", "thatch"):
-        s = f" {w} "
-        want = sum(np.log(p(s[max(0, i - 3) : i + 1])) for i in range(1, len(s)))
-        assert scorer.words([w])[0] == pytest.approx(want, rel=1e-4)
+    df = spark.createDataFrame([("", t) for t in PROSE], "lang string, text string")
+    model = quality.hash_arrays(quality.kneser_ney(quality.count_ngrams(df, 5), 5), 5)
+    log_p = kneser_ney(PROSE, 5)
+    for t in (*PROSE, "that cat zzz", "😀x thatch", "mat the on"):
+        assert model.text_log_probability("", t) == pytest.approx(log_p(t), rel=1e-4)
+
+
+def test_counts_are_exact_in_any_script(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(3000)) + " end", "short 一丁", "a b  c\n" * 50]
+    for limit in (quality._LONG, 700):
+        monkeypatch.setattr(quality, "_LONG", limit)
+        counts = quality._Counts(5)
+        got = Counter()
+        for k, t in enumerate(texts):
+            for part in quality._pieces(t, 5):
+                for batch in counts.add("en", [part]):
+                    got.update(dict(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())))
+        for batch in counts.flush():
+            for g, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                got[g] += n
+        want = Counter()
+        for t in texts:
+            s = "    " + " ".join(t.split()) + " "
+            want.update(s[i - 4 : i + 1] for i in range(4, len(s)))
+        assert got == want
+
+
+def test_order_of_words_counts(spark):
+    rng = random.Random(7)
+    words = [prose(rng, 1) for _ in range(30)]
+    follow = {w: rng.sample(words, 2) for w in words}
+    def text():
+        w = rng.choice(words)
+        out = [w]
+        for _ in range(150):
+            w = rng.choice(follow[w])
+            out.append(w)
+        return out
+    texts = [text() for _ in range(60)]
+    df = spark.createDataFrame([("en", " ".join(t)) for t in texts], "lang string, text string")
+    model = quality.hash_arrays(quality.kneser_ney(quality.count_ngrams(df, 5), 5), 5)
+    for t in texts[:10]:
+        assert model.text_log_probability("en", " ".join(rng.sample(t, len(t)))) < model.text_log_probability("en", " ".join(t))
+
+
+def test_a_model_larger_than_the_broadcast_is_joined(docs):
+    columns = lambda df: sorted((str(r["doc_id"]), r["n_words"], r["kept"], round(r["log_ppl"] or 0, 6), round(r["low"] or 0, 3)) for r in df.collect())
+    whole = columns(quality.judge(docs))
+    assert columns(quality.judge(docs, broadcast_entries=300)) == whole and columns(quality.judge(docs, broadcast_entries=0)) == whole
+
+
+def test_other_languages_leave_verdicts_alone(spark, docs):
+    other = spark.range(200).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.md5((F.col("id") * 31 + i).cast("string")) for i in range(60)]).alias("text"), F.lit("xx").alias("lang"))
+    mine = docs.select("doc_id", "text", "lang")
+    key = lambda df: Counter((r["doc_id"], r["lang"], r["kept"], r["log_ppl"]) for r in df.collect() if r["lang"] != "xx")
+    assert key(quality.judge(mine)) == key(quality.judge(mine.union(other)))
 
 
 def test_quality_rows(docs, rows):
     got = quality.judge(docs).collect()
-    assert Counter((r["doc_id"], r["n_words"], r["word_chars"]) for r in got) == Counter((r[0], len(WORD.findall(r[1] or "")), sum(map(len, WORD.findall(r[1] or "")))) for r in rows)
+    want = Counter()
+    for r in rows:
+        words, lines, three = WORD.findall(r[1] or ""), Counter(), Counter()
+        dup = sum(1 for line in (r[1] or "").split("\n") if WORD.search(line) and (lines.update([line]) or lines[line] > 1))
+        three.update(zip(words, words[1:], words[2:]))
+        inside = {i + j for i, x in enumerate(zip(words, words[1:], words[2:])) if three[x] > 1 for j in range(3)}
+        want[r[0], len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in r[1] or ""), dup, len(inside), len(words) < 50 or 100 * len(inside) > 50 * len(words)] += 1
+    assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got) == want
     assert all(not r["kept"] for r in got if r["base_failed"]) and any(r["kept"] for r in got)
+    assert all(r["kept"] == (r["low"] <= r["log_ppl"] <= r["high"]) for r in got if not r["base_failed"])
 
 
 # --- 5 near-duplicates ---------------------------------------------------------------------------

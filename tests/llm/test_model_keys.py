@@ -1,27 +1,24 @@
-"""N-grams that once shared an entry of the model."""
+"""N-grams of one hash: another hash is taken."""
 
-import inspect
+from loomspark.llm import quality, toxicity
 
-import numpy as np
 
-from loomspark.llm import quality, toxicity
+def test_ngrams_never_share_an_entry(spark, monkeypatch):
+    model = spark.createDataFrame([("zh", "\u4e00a", -1.0, -0.5), ("zh", "\u4e00b", -9.0, -0.25)], "lang string, gram string, lp double, bow double")
+    mixed = quality._mixed
+    salts = []
 
+    def of(model_rows, order, salt=0):
+        salts.append(salt)
+        return own(model_rows, order, salt)
 
-def test_ngrams_of_one_short_key_have_entries_of_their_own(spark):
-    seen, pair = {}, None
-    for i in range(20_000):
-        gram = chr(0x4E00 + i // 100) + chr(0x4E00 + i % 100)
-        other = seen.setdefault(quality.gram_key("zh", gram, 22), gram)
-        if other != gram:
-            pair = other, gram
-            break
-    assert pair
-    model = spark.createDataFrame([("zh", pair[0], -1.0, -0.5), ("zh", pair[1], -9.0, -0.25)], "lang string, gram string, lp double, bow double")
-    bits = inspect.signature(quality.judge).parameters["hash_bits"].default
-    arrays = quality.hash_arrays(model, bits)
-    scorer = quality.Scorer("zh", arrays, 4, bits)
-    at = scorer._find(np.array([quality.gram_hash("zh", g) for g in (*pair, "absent")], dtype=np.uint64))
-    assert len(arrays[0]) == 2 and arrays[1][at[:2]].tolist() == [-1.0, -9.0] and at[2] == -1
-    model = model.withColumn("lang", model["lang"].substr(9, 1))
-    restorer = toxicity.Restorer(quality.hash_arrays(model, quality.KEY_BITS), bits=quality.KEY_BITS)
-    assert [restorer._entry(g) for g in (*pair, "absent")] == [(-1.0, -0.5), (-9.0, -0.25), (None, None)]
+    own = quality.hash_arrays
+    monkeypatch.setattr(quality, "hash_arrays", of)
+    twice = model.union(model.limit(0))
+    got = quality.hash_arrays(twice, 4)
+    assert len(got.keys) == 2 and salts == [0] and mixed is quality._mixed
+    assert got.entry("zh", "\u4e00a") == (-1.0, -0.5) and got.entry("zh", "\u4e00b") == (-9.0, -0.25) and got.entry("zh", "absent") == (None, None)
+    other = own(model, 4, salt=3)
+    assert other.keys.tolist() != got.keys.tolist() and other.entry("zh", "\u4e00a") == (-1.0, -0.5)
+    restorer = toxicity.Restorer(quality.hash_arrays(model.selectExpr("'' AS lang", "gram", "lp", "bow"), 4))
+    assert [restorer._entry(g) for g in ("\u4e00a", "\u4e00b", "absent")] == [(-1.0, -0.5), (-9.0, -0.25), (None, None)]
