@@ -44,8 +44,8 @@ _M64 = (1 << 64) - 1
 _STEP, _MIX = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
 #: Probability of a symbol that was never seen, before back-off.
 _NOVEL = 1.0 / 65536
-#: Symbols of a text that are looked at at once, at most.
-_LONG = 2_000_000
+#: Symbols of one text that are looked at at once, at most, and those of several texts together.
+_LONG, _TOGETHER = 2_000_000, 300_000
 #: Steps of log perplexity in which quantiles are read off.
 _GRID = 0.001
 
@@ -225,12 +225,15 @@ def count_ngrams(docs: DataFrame, order: int, across: bool = True) -> DataFrame:
         counts = _Counts(order, across)
         for batch in slices(batches):
             by: dict[str, list[tuple[str, str, str]]] = {}
+            size: Counter[str] = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                lang = lang or ""
                 for part in _pieces(text, order) if text else ():
-                    if len(part[1]) >= _LONG // 2:
-                        yield from counts.add(lang or "", [part])
-                    else:
-                        by.setdefault(lang or "", []).append(part)
+                    by.setdefault(lang, []).append(part)
+                    size[lang] += len(part[1])
+                    if size[lang] > 3 * _TOGETHER:
+                        del size[lang]
+                        yield from counts.add(lang, by.pop(lang))
             for lang, parts in by.items():
                 yield from counts.add(lang, parts)
         yield from counts.flush()
@@ -460,7 +463,7 @@ def score(docs: DataFrame, model: DataFrame, order: int, key: str = "doc_id", br
                 parts.append(part)
                 docs_.append(i)
                 size += len(part[1])
-                if size > _LONG:
+                if size > _TOGETHER:
                     yield parts, np.array(docs_)
                     parts, docs_, size = [], [], 0
         if parts:
