@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ ORDER = 4
 #: What signs and digits are written for; a star hides a vowel.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "¡": "i", "*": "aeiou"}
 SEPARATORS = ".-_*~'`,:;/\\· "
+SEPARATOR = re.compile("[" + re.escape(SEPARATORS) + "]")
 #: A letter that comes twice or more in a row, and a number.
 AGAIN = re.compile(r"(.)\1+")
 NUMBER = re.compile(r"[\d.,:;/+%€$-]*")
@@ -54,6 +56,24 @@ TIGHT = ".,;:?\"'()[]{}<>#%&*~`-_=/\\·«»“”„…"
 _KEEP = 150_000
 
 
+@lru_cache(maxsize=20_000)
+def readings(c: str, again: bool, costs: tuple[float, float, float, float]) -> tuple[tuple[str, float], ...]:
+    """What a character may stand for ('' for nothing), and the costs; ``again`` if it is the one before it once more."""
+    sign_cost, drop_cost, repeat_cost, plain = costs
+    letters = SIGNS.get(c, "")
+    out = [(c, 0.0 if c.isalpha() or c == " " else plain)] + [(x, sign_cost) for x in letters]
+    drop = []
+    if c in SEPARATORS:
+        drop.append(drop_cost)
+        if c != " ":
+            out.append((" ", drop_cost))
+    elif letters:
+        drop.append(drop_cost + sign_cost)
+    if again:
+        drop.append(repeat_cost)
+    return (*out, ("", min(drop))) if drop else tuple(out)
+
+
 class Restorer:
     """Restores disguised words under a character model (``quality.Model``, counted inside words)."""
 
@@ -94,21 +114,9 @@ class Restorer:
             extra += self._entry(context)[1] or 0.0
             context = context[1:]
 
-    def choices(self, c: str, last: str) -> list[tuple[str, float]]:
+    def choices(self, c: str, last: str) -> tuple[tuple[str, float], ...]:
         """What a character may stand for ('' for nothing) after the one before it, and the costs."""
-        sign_cost, drop_cost, repeat_cost, plain = self.costs
-        letters = SIGNS.get(c, "")
-        out = [(c, 0.0 if c.isalpha() or c == " " else plain)] + [(x, sign_cost) for x in letters]
-        drop = []
-        if c in SEPARATORS:
-            drop.append(drop_cost)
-            if c != " ":
-                out.append((" ", drop_cost))
-        elif letters:
-            drop.append(drop_cost + sign_cost)
-        if c == last:
-            drop.append(repeat_cost)
-        return [*out, ("", min(drop))] if drop else out
+        return readings(c, c == last, self.costs)
 
     def restore(self, word: str) -> str:
         """The likeliest undisguised form of a lower-cased word; it may be several words."""
@@ -179,24 +187,45 @@ def heads(wanted) -> frozenset[str]:
 
 
 class _First:
-    """What words must begin with to have one of the features: a quick and exact test for words of letters alone."""
+    """What words must begin with to have one of the features: a quick test that never passes over a word that has."""
+
+    COSTS = (0.0, 0.0, 0.0, 0.0)
 
     def __init__(self, wanted):
         self.heads = heads(wanted)
-        self.short = frozenset(AGAIN.sub(r"\1", h) for h in self.heads)
+        self.ways = frozenset(h[:k] for h in self.heads for k in range(len(h)))
 
     def nothing(self, word: str) -> bool:
-        """Whether a word of letters has none of the features, however its repeats are read; most words have none."""
+        """Whether no reading of a word begins, or has a word that begins, with one of the heads; most words have none."""
         low = word.lower()
-        if not low.isalpha():
-            bare = low.strip(EDGE)
-            if not bare.isalpha() or low.strip(TIGHT) != bare:
+        if low.isalpha():
+            if low[:3] in self.heads or low[:2] in self.heads or low[:1] in self.heads:
                 return False
-            low = bare
-        if low[:3] in self.heads:
-            return False
-        one = AGAIN.sub(r"\1", low)
-        return len(one) == len(low) or not (one[:3] in self.short or one[:2] in self.short or one[:1] in self.short)
+            if not AGAIN.search(low[:8]):
+                return True
+        low = low.strip(TIGHT)
+        at, last, states = 0, "", {""}
+        while at < len(low):
+            c = low[at]
+            after = set()
+            for x, _ in readings(c, c == last, self.COSTS):
+                if x == " ":
+                    after.add("")
+                elif not x:
+                    after |= states
+                else:
+                    for s in states:
+                        if s + x in self.heads:
+                            return False
+                        if s + x in self.ways:
+                            after.add(s + x)
+            states, last, at = after, c, at + 1
+            if not states:  # until a separator begins a word
+                found = SEPARATOR.search(low, at)
+                if not found:
+                    return True
+                at, last = found.start(), low[found.start() - 1]
+        return True
 
 
 def spaced(words: list[str]) -> list[str]:

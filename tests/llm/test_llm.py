@@ -167,6 +167,19 @@ def test_decoding_is_the_best_of_all_readings(spark):
         assert max(total(s) - cost for s, cost in spellings(seen) if " ".join(s.split()) == got) == pytest.approx(want)
 
 
+def test_quick_test_passes_over_no_feature():
+    none = np.empty(0, dtype=np.float32)
+    r, rng = toxicity.Restorer(quality.Model(np.empty(0, dtype=np.uint64), none, none, 4, 0)), random.Random(1)
+    wanted = frozenset(toxicity.features("idiot") + toxicity.features("stupid") + ["=ab"])
+    first, passed = toxicity._First(wanted), 0
+    for _ in range(5000):
+        w = "".join(rng.choice("idot1!0.-s@eab  _$|*,") for _ in range(rng.randint(1, 9))).strip()
+        if w and first.nothing(w):
+            passed += 1
+            assert not wanted.intersection(f for p in r.words(w) for f in toxicity.features(p))
+    assert passed > 100
+
+
 def test_scores_held_out_and_leaves_labels_alone(spark):
     rng = random.Random(4)
     data = []
