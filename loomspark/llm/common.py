@@ -33,11 +33,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A session without that setting (tests, local runs) gets a temporary folder,
-    which is right only while driver and executors are one process.
+    A local session without that setting (tests) gets a temporary folder; on a
+    cluster, where no folder of one machine would do, the setting must be there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         own = tempfile.mkdtemp(prefix="loomspark-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = "file://" + own

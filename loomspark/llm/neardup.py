@@ -14,7 +14,10 @@ members are all in one component by then have nothing left to say. In the
 others members of different components are compared: in small nodes pair by
 pair; large ones branch, and those that branching doesn't part (groups of like
 sets) are compared in blocks that hold whole sets and give only the links that
-join components. ``wide`` trees do so; small nodes of all ``trees`` do.
+join components. All trees do so, whatever the size of a node.
+
+Rows that share a key and differ in text keep a signature and a set for each of
+their texts; what links one of these links the document.
 
 An estimate from the embedded coordinates, five standard deviations below the
 threshold, drops pairs before the exact check on the whole sets.
@@ -107,7 +110,7 @@ def _close(pairs: DataFrame, sigs: DataFrame, coords: int, percent: int) -> Data
     least = coords * p - 5 * (coords * p * (1 - p)) ** 0.5
     a, b = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
     same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return pairs.join(a, "a").join(b, "b").filter(same >= least).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").filter(same >= least).select("a", "b").distinct()
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -122,23 +125,23 @@ def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
 
     def run(batches):
-        met: dict[int, set] = {}
+        met: dict[str, set] = {}
         for batch in slices(batches):
             keep = []
-            for i, (bid, ta, tb) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                sb = met.get(bid)
+            for i, (ta, tb) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                sb = met.get(tb)
                 if sb is None:
                     if len(met) >= 64:
                         met.clear()
-                    sb = met[bid] = shingle_set(tb, shingle)
+                    sb = met[tb] = shingle_set(tb, shingle)
                 if linked(shingle_set(ta, shingle), sb, percent):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, trees: int = 10, fan: int = 3, coords: int = 64, leaf: int = 24, depth: int = 4, wide: int = 6, chunk: int = 1024, seed: int = 5) -> DataFrame:
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, trees: int = 10, fan: int = 3, coords: int = 64, leaf: int = 24, depth: int = 4, chunk: int = 1024, seed: int = 5) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row.
 
     Two documents are linked if 100 * intersection >= ``percent`` * union of their
@@ -154,7 +157,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     every = stash(embed(rows, shingle, coords, seed), "dup-sets")
     full = every.filter("cls is not null and id is not null")
     classes = full.groupBy("cls").agg(F.min("id").alias("rep"))
-    sigs = stash(full.join(classes, (full["cls"] == classes["cls"]) & (full["id"] == classes["rep"]), "left_semi").select("id", "sig").dropDuplicates(["id"]), "dup-reps")
+    sigs = stash(full.join(classes, (full["cls"] == classes["cls"]) & (full["id"] == classes["rep"]), "left_semi").dropDuplicates(["id", "cls"]).select("id", "sig"), "dup-reps")
 
     roots = F.array(*[F.xxhash64(F.lit(seed), F.lit(r), F.col("sig")[r]) for r in range(trees)])
     node = stash(sigs.select("id", F.posexplode(roots).alias("tree", "node")), "dup-nodes")
@@ -176,7 +179,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     for d in range(depth + 1):
         found = _small(level.filter(F.col("size") <= leaf))
         pairs = found if pairs is None else pairs.union(found)
-        large = level.filter((F.col("size") > leaf) & (F.col("tree") < wide))
+        large = level.filter(F.col("size") > leaf)
         if large.isEmpty():
             break
         picks = F.array(*[F.pmod(F.xxhash64("node", F.lit(seed + 1), F.lit(j)), F.lit(coords)).cast("int") for j in range(fan)])
@@ -223,7 +226,7 @@ def _small(members: DataFrame) -> DataFrame:
 def block_links(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links (larger, smaller id) between different components, as few as join them.
 
-    Shingles are compared by 32-bit hashes, which can only make intersections larger.
+    Shingles are compared by 64-bit hashes; what is found is checked on the texts afterwards.
     """
     sizes = np.array([len(x) for x in sets])
     names, counts = np.unique(comps, return_counts=True)
@@ -261,22 +264,22 @@ def _compare_blocks(members: DataFrame, docs: DataFrame, shingle: int, percent:
         for batch in slices(batches):
             out = []
             for text in batch.column(1).to_pylist():
-                h = {xxhash.xxh32_intdigest(" ".join(s).encode("utf-8", "surrogatepass")) for s in shingle_set(text, shingle)}
-                out.append(np.sort(np.fromiter(h, dtype=np.uint32, count=len(h))).tobytes())
+                h = {xxhash.xxh64_intdigest(" ".join(s).encode("utf-8", "surrogatepass")) for s in shingle_set(text, shingle)}
+                out.append(np.sort(np.fromiter(h, dtype=np.uint64, count=len(h))).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "own"])
 
     ids = stash(members.select("id").distinct(), "dup-ids")
-    own = stash(_texts(docs, ids).dropDuplicates(["id"]).mapInArrow(sets, "id long, own binary"), "dup-block-sets")
+    own = stash(_texts(docs, ids).mapInArrow(sets, "id long, own binary").dropDuplicates(["id", "own"]), "dup-block-sets")
     x = members.withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int")).withColumn("k", F.pmod(F.xxhash64("id", "node"), F.col("chunks")).cast("int"))
     x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    x = x.select("node", F.least("k", "o").alias("lo"), F.greatest("k", "o").alias("hi"), "id", "c").join(own, "id")
+    x = x.distinct().select("node", F.least("k", "o").alias("lo"), F.greatest("k", "o").alias("hi"), "id", "c").join(own, "id")
     x = x.select("node", "lo", "hi", "id", "c", "own").repartition("node", "lo", "hi").sortWithinPartitions("node", "lo", "hi")
 
     def run(batches):
         held: list[tuple] = []
 
         def settle():
-            found = block_links(np.array([r[3] for r in held]), np.array([r[4] for r in held]), [np.frombuffer(r[5], dtype=np.uint32) for r in held], percent) if len(held) > 1 else []
+            found = block_links(np.array([r[3] for r in held]), np.array([r[4] for r in held]), [np.frombuffer(r[5], dtype=np.uint64) for r in held], percent) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:

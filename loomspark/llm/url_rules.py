@@ -37,7 +37,11 @@ class HostRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """``pattern`` runs on the lower-cased url; ``tokens`` are whole [a-z0-9]+ tokens that every match implies."""
+    """``pattern`` runs on the lower-cased url; ``tokens`` are whole [a-z0-9]+ tokens that every match implies.
+
+    A token is implied only if the pattern says what stands at both its ends: in
+    ``\\.php`` the token may go on (``php5``), so it is none.
+    """
 
     action: str
     pattern: str
@@ -61,7 +65,7 @@ PATTERN_RULES = (
     PatternRule("block", r"://([^/?#]*[.-])?porn[.-]", ("porn",)),
     PatternRule("block", r"://([^/?#]*[.-])?xxx[.-]", ("xxx",)),
     PatternRule("block", r"[?&]replica=watch(&|$)", ("replica", "watch")),
-    PatternRule("block", r"/wp-login\.php", ("wp", "login", "php")),
+    PatternRule("block", r"/wp-login\.php", ("wp", "login")),
     PatternRule("block", r"/payday-loans?/", ("payday",)),
     PatternRule("block", r"/torrents?/.*\.torrent$", ("torrent",)),
 )
@@ -123,6 +127,8 @@ def _joined(urls: DataFrame, rules, url: str, out: str, index: list[str]) -> Dat
     spark = urls.sparkSession
     table = spark.createDataFrame([(t, i, r.pattern) for i, (t, r) in enumerate(zip(index, rules))], "_t string, _rule int, _pattern string")
     distinct = urls.select(F.col(url).alias("_url")).filter("_url is not null").distinct()
+    # The rules come from a list on the driver; their tokens are sent to all up to a size that any executor holds.
+    table = F.broadcast(table) if len(rules) <= 100_000 else table
     pairs = distinct.withColumn("_t", F.explode(tokens_of(F.col("_url")))).join(table, "_t")
     hits = pairs.filter(F.expr("translate(_url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') rlike _pattern"))
     best = hits.groupBy("_url").agg(F.min("_rule").alias(out))
