@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values: percentages base / cross / ci / buffer of each task type ---
-PROFILES = {"coding": (60, 10, 15, 15), "reasoning": (50, 15, 15, 20), "writing": (55, 10, 10, 25), "conversation": (70, 5, 5, 20), "unknown": (55, 10, 10, 25)}
+PROFILES = {"coding": (60, 5, 10, 25), "reasoning": (50, 15, 15, 20), "writing": (55, 10, 10, 25), "conversation": (70, 5, 5, 20), "unknown": (55, 10, 10, 25)}
 #: Largest contexts by task.
 TASK_LIMITS = {"simple_lookup": 10000, "multi_lookup": 5000, "summarization": 3000, "complex_reasoning": 2000}
 COMPLEXITY_FACTORS = {"simple_lookup": 1.0, "multi_lookup": 0.8, "summarization": 0.7, "complex_reasoning": 0.6}

@@ -56,12 +56,12 @@ def profiles(spark: SparkSession, rows=PROFILES) -> DataFrame:
 def resolve(asked: DataFrame, registry: DataFrame, name: str = "asked") -> DataFrame:
     """For each asked name the profile with that id, else that id or name without case, else the first that holds it.
 
-    The registry is a fixed list of tens of rows, so every name meets each of them.
+    The registry is a list of profiles, so every distinct name meets each of them; it is sent to all where it is small.
     """
     low = F.lower(F.col(name))
     tier = F.when(F.col("id") == F.col(name), 0).when((F.lower("id") == low) | (F.lower("name") == low), 1).when(F.contains(F.lower("id"), low) | F.contains(F.lower("name"), low), 2)
     names = asked.select(name).distinct()
-    x = names.join(F.broadcast(registry.limit(1000)), F.lit(True)).withColumn("tier", tier).filter("tier is not null")
+    x = names.join(F.broadcast(registry) if registry.count() <= 10_000 else registry, F.lit(True)).withColumn("tier", tier).filter("tier is not null")
     best = x.withColumn("_r", F.row_number().over(Window.partitionBy(name).orderBy("tier", "pos"))).filter("_r = 1").drop("_r", "pos")
     return asked.join(best, name, "left")
 

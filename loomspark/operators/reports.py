@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import budget
 from ..functions.text import ACTION_WORDS, STATE_WORDS, has_words
 
 OUTCOMES = ("pass", "rejected", "degraded", "notMeasured")
@@ -38,6 +39,12 @@ def health(checks: dict[str, bool]) -> tuple[str, float]:
     return ("healthy" if score >= 0.8 else "degraded" if score >= 0.5 else "unhealthy"), score
 
 
+def health_status(passed, total):
+    """F19 as columns: struct of status and share."""
+    share = F.when(total > 0, passed / total).otherwise(0.0)
+    return F.struct(F.when(share >= 0.8, "healthy").when(share >= 0.5, "degraded").otherwise("unhealthy").alias("status"), share.alias("share"))
+
+
 def drift_report(scores: DataFrame, session: str = "session_id", limit: float = 0.6) -> DataFrame:
     """Turns, drifted turns, mean and largest score of each session."""
     return scores.groupBy(session).agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("score") > limit).alias("drifted"), F.round(F.avg("score"), 6).alias("mean"), F.max("score").alias("peak"))
@@ -49,6 +56,29 @@ def ema(df: DataFrame, by: list[str], order: str, value: str, rate: float = 0.3)
     return x.select(*by, F.aggregate(F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0))), F.get("v", F.lit(0)), lambda a, v: a + rate * (v - a)).alias("last"))
 
 
+def allocate(turns: DataFrame, by: list[str], order: str, total: str, task: str, drift: str, rate: float = 0.3, least_base: int = 1000, least_buffer: int = 400) -> DataFrame:
+    """C11: (by..., order, base, cross, ci, buffer) of every turn: the task's profile, shifted by quality, and moved from the last turn's share by ``rate``.
+
+    Each allocation depends on the last one, so it is an ordered fold over one array for each group.
+    """
+    share = lambda i: budget.lookup(F.col(task), {k: float(v[i]) for k, v in budget.PROFILES.items()}, float(budget.PROFILES["unknown"][i]))
+    shifted = budget.budget_shift(share(0), share(3), share(1), share(2), budget.quality_adjustment(1.0 - F.col(drift)))
+    item = F.struct(F.col(order).alias("o"), F.col(total).cast("double").alias("total"), shifted["base"].cast("double").alias("pct"), share(1).alias("cross"), share(2).alias("ci"))
+    x = turns.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    first = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("base"))
+
+    def step(a, r):
+        pct = F.when(a["last"].isNull(), r["pct"]).otherwise(a["last"] + rate * (r["pct"] - a["last"]))
+        base = F.greatest(F.lit(float(least_base)), budget.round_half(r["total"] * pct / 100).cast("double"))
+        return F.struct((base / r["total"] * 100).alias("last"), base.alias("base"))
+
+    states = F.slice(F.aggregate("items", F.array(first), lambda a, r: F.concat(a, F.array(step(F.element_at(a, -1), r)))), 2, F.size("items"))
+    rows = x.select(*by, F.explode(F.arrays_zip("items", states.alias("s"))).alias("r"))
+    cross, ci = (budget.round_half(F.col("r.items.total") * F.col(f"r.items.{c}") / 100) for c in ("cross", "ci"))
+    out = rows.select(*by, F.col("r.items.o").alias(order), F.col("r.items.total").alias("_t"), F.col("r.s.base").cast("long").alias("base"), cross.cast("long").alias("cross"), ci.cast("long").alias("ci"))
+    return out.withColumn("buffer", F.greatest(F.lit(least_buffer), F.col("_t") - F.col("base") - F.col("cross") - F.col("ci")).cast("long")).drop("_t")
+
+
 def cooccurring(history: DataFrame, task: str, unit: str, key: str, k: int = 5) -> DataFrame:
     """Keys that occur in one unit with the ten first keys of a task but are none of them; confidence 0.7 at most."""
     ten = history.groupBy(task, key).agg(F.min(unit).alias("_f")).withColumn("_r", F.row_number().over(Window.partitionBy(task).orderBy("_f", key))).filter("_r <= 10").select(task, F.col(key).alias("own"))

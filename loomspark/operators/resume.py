@@ -48,10 +48,11 @@ def top_words(df: DataFrame, by: list[str], text: str, n: int) -> DataFrame:
     return x.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= n)
 
 
-def freshness(df: DataFrame, by: list[str], now: int, ts: str = "ts", hours: float = 24.0) -> DataFrame:
-    """Mean of exp(-age / hours); a missing or future time counts 1."""
+def freshness(df: DataFrame, by: list[str], now: int, ts: str = "ts", hours: float = 24.0, digits: int | None = 6) -> DataFrame:
+    """Mean of exp(-age / hours), rounded unless ``digits`` is None; a missing or future time counts 1."""
     age = (F.lit(now) - F.col(ts)) / 3_600_000
-    return df.groupBy(*by).agg(F.round(F.avg(F.when(F.col(ts).isNull() | (age < 0), 1.0).otherwise(F.exp(-age / hours))), 6).alias("freshness"))
+    mean = F.avg(F.when(F.col(ts).isNull() | (age < 0), 1.0).otherwise(F.exp(-age / hours)))
+    return df.groupBy(*by).agg((mean if digits is None else F.round(mean, digits)).alias("freshness"))
 
 
 def timeline(df: DataFrame, by: list[str], ts: str = "ts") -> DataFrame:

@@ -42,6 +42,28 @@ def suffix_keep(df: DataFrame, by: list[str], idx: str, tokens: str, target: int
     return g.select(*by, "n", "total", F.when(F.col("_over").isNull(), 0).otherwise(cut).cast("long").alias("keep_from"))
 
 
+def chunked_fill(df: DataFrame, by: list[str], idx: str, tokens: str, budget: int, chunk: int = 100, share: float = 0.9) -> DataFrame:
+    """Rows in order, ``chunk`` at a time; each is kept while its chunk's kept tokens stay within ``share`` of what is left of the budget. Adds ``chunk``, ``kept``.
+
+    Each decision depends on those before it, so it is an ordered fold over one array for each group.
+    """
+    item = F.struct(F.col(idx).alias("i"), F.col(tokens).cast("long").alias("t"))
+    x = df.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(float(budget)).alias("left"), F.lit(0).cast("long").alias("used"), F.lit(False).alias("kept"))
+
+    def step(a, t):
+        new = F.pmod(a["n"], F.lit(chunk)) == 0
+        left = F.when(new, a["left"] - a["used"]).otherwise(a["left"])
+        used = F.when(new, 0).otherwise(a["used"]).cast("long")
+        ok = used + t <= left * share
+        return F.struct((a["n"] + 1).alias("n"), left.alias("left"), F.when(ok, used + t).otherwise(used).cast("long").alias("used"), ok.alias("kept"))
+
+    # The states after each row: a running fold kept by its last element.
+    states = F.aggregate("items", F.array(none), lambda a, r: F.concat(a, F.array(step(F.element_at(a, -1), r["t"]))))
+    rows = x.select(*by, F.posexplode(F.arrays_zip("items", F.slice(states, 2, F.size("items")).alias("s"))).alias("pos", "r"))
+    return rows.select(*by, F.col("r.items.i").alias(idx), F.col("r.items.t").alias(tokens), F.floor(F.col("pos") / chunk).alias("chunk"), F.col("r.s.kept").alias("kept"))
+
+
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: Column | int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group by explicit order (give a tiebreak); k may be a column."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)

@@ -13,7 +13,7 @@ TOOLS = r"(?i)\b(?:docker|kubernetes|k8s|git|npm|yarn|pnpm|pip|cargo|eslint|pret
 PERSONS = r"\b(?:Peter|Friday|Jarvis|EDITH|Alice|Bob)\b"
 CONCEPTS = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"
 DECISIONS = (r"(?i)\b(?:decided|decide|decision|agreed|settled on|went with|chose|chosen|selected|opted for|will use|going to use)\b[^.!?]*", r"(?i)\b(?:let's|lets|we'll|we will|should)\s+(?:go with|use|do|try|implement|adopt|switch to)\b[^.!?]*")
-ACTIONS = (("code", r"(?i)\b(?:wrote|written|coded|implemented|refactored|fixed|patched|built|compiled)\b"), ("config", r"(?i)\b(?:configured|setup|set up|installed|updated|upgraded)\b"), ("deploy", r"(?i)\b(?:deployed|released|shipped|pushed|launched|published)\b"), ("review", r"(?i)\b(?:reviewed|checked|inspected|audited|examined)\b"), ("test", r"(?i)\b(?:tested|ran tests|verified|validated)\b"), ("discuss", r"(?i)\b(?:discussed|talked about|chatted|met about|conferred)\b"))
+ACTIONS = (("code", r"(?i)\b(?:wrote|written|coded|implemented|refactored|fixed|patched|built|compiled)\b"), ("config", r"(?i)\b(?:configured|setup|set up|installed|updated|upgraded|changed.*config)\b"), ("deploy", r"(?i)\b(?:deployed|released|shipped|pushed|launched|published)\b"), ("review", r"(?i)\b(?:reviewed|checked|inspected|audited|examined)\b"), ("test", r"(?i)\b(?:tested|ran tests|verified|validated)\b"), ("discuss", r"(?i)\b(?:discussed|talked about|chatted|met about|conferred)\b"))
 TOPIC_TAGS = "authentication,auth,deployment,deploy,database,api,frontend,backend,testing,test,bug,fix,performance,security,configuration,config,migration,refactoring,refactor,documentation,docs,monitoring,logging,error handling,ci/cd,pipeline,docker,kubernetes,compression,drift,context,memory,token,budget,plugin,gateway,session,state".split(",")
 STOP = "the a an is are was were to of in for on with at by from as that this it be has have do does did will would can could should may might shall not no yes but or and if so about just like get got use used using make made want need know think see say let way also well even still already yet".split()
 IDENT = r"\b(?:[A-Z]{2,}-\d+|#\d+|[0-9a-f]{7,40})\b"

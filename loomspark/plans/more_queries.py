@@ -106,18 +106,10 @@ def f7_entity_frequency(spark, d):
 @query("""WITH i AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents),
 t AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM i) GROUP BY 1, 2), s AS (SELECT id, CAST(sum(tf) AS DOUBLE) AS len FROM t GROUP BY 1),
 c AS (SELECT count(*) AS n, avg(len) AS a FROM s), f AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
-q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS term FROM benchmark WHERE item_id < 20),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS term FROM benchmark),
 h AS (SELECT q.query_id, t.id, round(sum(ln(1 + (c.n - f.df + 0.5::DOUBLE) / (f.df + 0.5::DOUBLE)) * t.tf * 2.2::DOUBLE / (t.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * s.len / c.a))), 6) AS score FROM q JOIN t USING (term) JOIN f USING (term) JOIN s ON s.id = t.id, c GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM h) SELECT query_id, id, round(score, 4) AS score, rank FROM r WHERE rank <= 5""")
 def a4_search_bm25(spark, d):
-    items = t.load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"))
-    queries = t.load(spark, d, "benchmark").filter("item_id < 20").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return recall.search(items, queries, k=5).withColumn("score", F.round("score", 4))
-
-
-@query(None)
-def a4_search_bm25_whole(spark, d):
-    """Every row of the benchmark is a query; the SQL of ``a4_search_bm25`` holds the first 20."""
     items = t.load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"))
     queries = t.load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return recall.search(items, queries, k=5).withColumn("score", F.round("score", 4))
@@ -163,15 +155,8 @@ def f5_waste(spark, d):
     return x.select("event_id", "w.delta_rate", "w.trigger_gap")
 
 
-@query("~ g AS (SELECT trigger AS strategy, count(*) AS uses, count_if(share > 0.5) AS wins, round(avg(share), 6) AS mean_reward FROM ledger WHERE share IS NOT NULL AND event_id < 40 GROUP BY 1) SELECT *, round(greatest(0.02::DOUBLE, 0.15::DOUBLE * pow(0.95::DOUBLE, sum(uses) OVER ())), 6) AS epsilon FROM g", "ledger")
+@query("~ g AS (SELECT trigger AS strategy, count(*) AS uses, count_if(share > 0.5) AS wins, round(avg(share), 6) AS mean_reward FROM ledger WHERE share IS NOT NULL GROUP BY 1) SELECT *, round(greatest(0.02::DOUBLE, 0.15::DOUBLE * pow(0.95::DOUBLE, sum(uses) OVER ())), 6) AS epsilon FROM g", "ledger")
 def f17_strategy_feedback(spark, d):
-    x = t.ledger(spark, d).filter("share is not null and event_id < 40")
-    return reports.strategy_feedback(x.select(F.col("trigger").alias("strategy"), F.col("share").alias("reward")))
-
-
-@query(None)
-def f17_strategy_feedback_whole(spark, d):
-    """The whole ledger; the SQL of ``f17_strategy_feedback`` holds its first 40 rows."""
     x = t.ledger(spark, d).filter("share is not null")
     return reports.strategy_feedback(x.select(F.col("trigger").alias("strategy"), F.col("share").alias("reward")))
 
@@ -189,19 +174,12 @@ def g17_budget_ema(spark, d):
     return reports.ema(x, ["session_id"], "event_id", "value").withColumn("last", F.round("last", 6))
 
 
-@query("""WITH h AS (SELECT DISTINCT event_type AS task, event_id // 5 AS unit, user_id AS key FROM events WHERE event_id < 2000),
+@query("""WITH h AS (SELECT DISTINCT event_type AS task, event_id // 5 AS unit, user_id AS key FROM events),
 f AS (SELECT task, key, min(unit) AS f FROM h GROUP BY 1, 2), ten AS (SELECT task, key AS own FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY f, key) AS r FROM f) WHERE r <= 10),
 u AS (SELECT DISTINCT unit, key FROM h), p AS (SELECT a.key AS own, b.key AS other, count(*) AS c FROM u a JOIN u b ON a.unit = b.unit AND a.key <> b.key GROUP BY 1, 2),
 g AS (SELECT ten.task, p.other AS key, CAST(sum(c) AS BIGINT) AS n FROM ten JOIN p ON p.own = ten.own WHERE NOT EXISTS (SELECT 1 FROM ten x WHERE x.task = ten.task AND x.own = p.other) GROUP BY 1, 2),
 r AS (SELECT *, least(0.7::DOUBLE, n / max(n) OVER (PARTITION BY task)::DOUBLE) AS confidence, row_number() OVER (PARTITION BY task ORDER BY n DESC, key) AS rank FROM g) SELECT task, key, n, round(confidence, 6) AS confidence, rank FROM r WHERE rank <= 5""")
 def j21_predict_cooccurring(spark, d):
-    h = t.load(spark, d, "events").filter("event_id < 2000").select(F.col("event_type").alias("task"), F.floor(F.col("event_id") / 5).alias("unit"), F.col("user_id").alias("key")).distinct()
-    return reports.cooccurring(h, "task", "unit", "key").withColumn("confidence", F.round("confidence", 6))
-
-
-@query(None)
-def j21_predict_cooccurring_whole(spark, d):
-    """All events; the SQL of ``j21_predict_cooccurring`` holds the first 2,000."""
     h = t.load(spark, d, "events").select(F.col("event_type").alias("task"), F.floor(F.col("event_id") / 5).alias("unit"), F.col("user_id").alias("key")).distinct()
     return reports.cooccurring(h, "task", "unit", "key").withColumn("confidence", F.round("confidence", 6))
 
@@ -253,10 +231,10 @@ def b9_legacy_theme(spark, d):
     return e.select("event_id", tx.legacy_theme(stored).alias("theme"))
 
 
-@query("SELECT session_id, NOT bool_or(role = 'assistant') AS cold FROM messages WHERE idx < 1 OR session_id % 2 = 0 GROUP BY 1", "messages")
+@query("SELECT session_id, idx < 1 AS opening, NOT bool_or(role = 'assistant') AS cold FROM messages GROUP BY 1, 2", "messages")
 def b13_cold_start(spark, d):
-    m = t.messages(spark, d).filter("idx < 1 or session_id % 2 = 0")
-    return m.groupBy("session_id").agg((~F.bool_or(F.col("role") == "assistant")).alias("cold"))
+    m = t.messages(spark, d)
+    return m.groupBy("session_id", (F.col("idx") < 1).alias("opening")).agg((~F.bool_or(F.col("role") == "assistant")).alias("cold"))
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Array with 2 items' WHEN 1 THEN 'Object with fields: a, b' WHEN 2 THEN 'Object with 6 fields: a, b, c, d, e... and 1 more' ELSE 'Empty array' END AS summary FROM events")
@@ -265,15 +243,8 @@ def i28_json_summary(spark, d):
     return t.load(spark, d, "events").select("event_id", tx.json_summary(F.element_at(samples, (F.pmod("event_id", F.lit(4)) + 1).cast("int"))).alias("summary"))
 
 
-@query("SELECT session_id, '[Context] Use the following to answer:' || chr(10) || string_agg('- ' || kind || ' ' || CAST(id AS VARCHAR), chr(10) ORDER BY id) AS block FROM memories WHERE id < 500 GROUP BY 1", "memories")
+@query("SELECT session_id, '[Context] Use the following to answer:' || chr(10) || string_agg('- ' || kind || ' ' || CAST(id AS VARCHAR), chr(10) ORDER BY id) AS block FROM memories GROUP BY 1", "memories")
 def j20_prompt_style(spark, d):
-    m = t.memories(spark, d).filter("id < 500").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("id", F.concat_ws(" ", "kind", F.col("id").cast("string")).alias("line")))).alias("l"))
-    return m.select("session_id", tx.styled(F.transform("l", lambda r: r["line"]), tx.STYLE_OF_TASK["coding"]).alias("block"))
-
-
-@query(None)
-def j20_prompt_style_whole(spark, d):
-    """All memories; the SQL of ``j20_prompt_style`` holds the first 500."""
     m = t.memories(spark, d).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("id", F.concat_ws(" ", "kind", F.col("id").cast("string")).alias("line")))).alias("l"))
     return m.select("session_id", tx.styled(F.transform("l", lambda r: r["line"]), tx.STYLE_OF_TASK["coding"]).alias("block"))
 

@@ -219,21 +219,15 @@ def d16_capacity_cut(spark, d):
 _THRESH = "coalesce(floor(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE - greatest(0.0::DOUBLE, 0.5::DOUBLE - {m}) * 0.3::DOUBLE + least(0.1::DOUBLE * {s}, 0.05::DOUBLE))) * 100 + 0.5) / 100, 0.5)"
 
 
-@query(f"""~ g AS (SELECT *, {_THRESH.format(m="avg(score) OVER (PARTITION BY session_id)", s="stddev_pop(score) OVER (PARTITION BY session_id)")} AS threshold FROM memories WHERE id % 3 <> 0 OR score < 0.4),
+@query(f"""~ g AS (SELECT *, {_THRESH.format(m="avg(score) OVER (PARTITION BY session_id)", s="stddev_pop(score) OVER (PARTITION BY session_id)")} AS threshold FROM memories),
 o AS (SELECT *, score >= threshold AS ok FROM g),
 r AS (SELECT *, count_if(ok) OVER (PARTITION BY session_id) AS passed, row_number() OVER (PARTITION BY session_id, ok ORDER BY score DESC, id) AS rk FROM o)
 SELECT session_id, id, score, threshold FROM r WHERE ok OR rk <= 3 - passed""", "memories")
 def b3_confidence_gate(spark, d):
-    m = t.memories(spark, d).filter("id % 3 <> 0 or score < 0.4").select("session_id", "id", "score")
+    m = t.memories(spark, d).select("session_id", "id", "score")
     return gate.gate(m, ["session_id"], "score", "id", least=3)
 
 
-@query(None)
-def b3_confidence_gate_whole(spark, d):
-    """All memories; the SQL of ``b3_confidence_gate`` drops every third of a score of 0.4 or more."""
-    return gate.gate(t.memories(spark, d).select("session_id", "id", "score"), ["session_id"], "score", "id", least=3)
-
-
 @query(f"""~ g AS (SELECT session_id, count(*) AS total, avg(score) AS m, {_THRESH.format(m="avg(score)", s="stddev_pop(score)")} AS threshold, count_if(score_missing) AS missing, list(score) AS l FROM memories GROUP BY 1)
 SELECT session_id, total, len(list_filter(l, lambda s: s >= threshold)) AS passed, round(m, 6) AS mean, threshold, missing, total - len(list_filter(l, lambda s: s >= threshold)) AS dropped FROM g""", "memories")
 def b5_gate_report(spark, d):
@@ -622,13 +616,13 @@ def e5_dependency_chain(spark, d):
     return graph.dependency_chain(edges, start)
 
 
-_HALVES = "o AS (SELECT * FROM memories WHERE id % 3 <> 0), n AS (SELECT id, session_id, content, CASE WHEN id % 5 = 0 THEN score + 0.1 ELSE score END AS score FROM memories WHERE id % 4 <> 0)"
+_HALVES = "o AS (SELECT * FROM memories WHERE id % 3 <> 0), n AS (SELECT id, session_id, content, CASE WHEN id % 5 = 0 THEN score + 0.1 ELSE score END AS score FROM memories WHERE id % 4 <> 0 OR id % 3 = 0)"
 _KEYED = "a AS (SELECT session_id, lower(trim(substr(content, 1, 40))) AS key, max(score) AS a FROM o GROUP BY 1, 2), b AS (SELECT session_id, lower(trim(substr(content, 1, 40))) AS key, max(score) AS b FROM n GROUP BY 1, 2), x AS (SELECT session_id, key, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'deleted' WHEN abs(a - b) > 0.01 THEN 'modified' ELSE 'unchanged' END AS change FROM a FULL OUTER JOIN b USING (session_id, key))"
 
 
 def _diff(spark, d):
     m = t.memories(spark, d)
-    new = m.filter("id % 4 <> 0").withColumn("score", F.when(F.col("id") % 5 == 0, F.col("score") + 0.1).otherwise(F.col("score")))
+    new = m.filter("id % 4 <> 0 or id % 3 = 0").withColumn("score", F.when(F.col("id") % 5 == 0, F.col("score") + 0.1).otherwise(F.col("score")))
     return graph.snapshot_diff(m.filter("id % 3 <> 0"), new, ["session_id"])
 
 
@@ -667,14 +661,8 @@ def j17_domains(spark, d):
     return g.select("source", "x.domain", "x.confidence", "n")
 
 
-@query(f"SELECT session_id, bool_or(dm = 'governance') AND bool_or(dm = 'ci') AS compliance_check, bool_or(dm = 'memory') AND bool_or(dm = 'session') AS inject_history, bool_or(dm = 'cross-domain') AND bool_or(dm = 'memory') AS correlate, CAST(sum(ceil(length(content) / 4.0)) AS BIGINT) AS tokens FROM (SELECT *, {_DOM} AS dm FROM signals WHERE id % 9 = 0) GROUP BY 1", "signals")
+@query(f"SELECT session_id, bool_or(dm = 'governance') AND bool_or(dm = 'ci') AS compliance_check, bool_or(dm = 'memory') AND bool_or(dm = 'session') AS inject_history, bool_or(dm = 'cross-domain') AND bool_or(dm = 'memory') AS correlate, CAST(sum(ceil(length(content) / 4.0)) AS BIGINT) AS tokens FROM (SELECT *, {_DOM} AS dm FROM signals) GROUP BY 1", "signals")
 def j18_fusion(spark, d):
-    return signals.fusion(t.signals(spark, d).filter("id % 9 = 0"), ["session_id"])
-
-
-@query(None)
-def j18_fusion_whole(spark, d):
-    """All signals; the SQL of ``j18_fusion`` holds every ninth."""
     return signals.fusion(t.signals(spark, d), ["session_id"])
 
 
@@ -684,15 +672,13 @@ def f16_domain_weights(spark, d):
 
 
 _HINT_SOURCES = ("governance", "rl", "ci", "drift", "other")
-_HINTS = f"""h AS (SELECT user_id AS session_id, event_id AS idx, {t._pick(_HINT_SOURCES, 'event_id')} AS source, event_type || ' on ' || {t._pick(t.TOPICS, 'event_id')} AS block FROM events WHERE event_id % 6 = 0),
+_HINTS = f"""h AS (SELECT user_id AS session_id, event_id AS idx, {t._pick(_HINT_SOURCES, 'event_id')} AS source, event_type || ' on ' || {t._pick(t.TOPICS, 'event_id')} AS block FROM events),
 hr AS (SELECT *, CASE source WHEN 'governance' THEN 'authority' WHEN 'rl' THEN 'exemplar' WHEN 'ci' THEN 'constraint' WHEN 'drift' THEN 'rubric' ELSE 'metadata' END AS role FROM h),
 hp AS (SELECT *, CASE role WHEN 'authority' THEN 1 WHEN 'constraint' THEN 2 WHEN 'rubric' THEN 3 WHEN 'exemplar' THEN 4 ELSE 5 END AS priority FROM hr)"""
 
 
-def _hints(spark, d, whole=False):
-    """Hints out of all events if ``whole``, else out of every sixth, as in ``_HINTS``."""
+def _hints(spark, d):
     e = t.load(spark, d, "events")
-    e = e if whole else e.filter("event_id % 6 = 0")
     pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (F.pmod("event_id", F.lit(len(words))) + 1).cast("int"))
     x = e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("idx"), pick(_HINT_SOURCES).alias("source"), F.concat("event_type", F.lit(" on "), pick(t.TOPICS)).alias("block"))
     return x.withColumn("role", signals.role(F.col("source"))).withColumn("priority", signals.priority(F.col("role")))
@@ -703,21 +689,11 @@ def j19_role_order(spark, d):
     return signals.assemble(_hints(spark, d), ["session_id"])
 
 
-@query(None)
-def j19_role_order_whole(spark, d):
-    return signals.assemble(_hints(spark, d, whole=True), ["session_id"])
-
-
 @query(f"WITH {_HINTS} SELECT session_id, " + ", ".join(f"count_if(role = '{r}') AS {r}" for r in signals.ROLE_PRIORITY) + ", count(*) AS total FROM hp GROUP BY 1")
 def f15_role_breakdown(spark, d):
     return signals.role_breakdown(_hints(spark, d), ["session_id"])
 
 
-@query(None)
-def f15_role_breakdown_whole(spark, d):
-    return signals.role_breakdown(_hints(spark, d, whole=True), ["session_id"])
-
-
 @query(f"""WITH {_HINTS}, w AS (SELECT *, list_filter(regexp_split_to_array(lower(block), '\\s+'), lambda x: x <> 'on') AS t FROM hp),
 j AS (SELECT a.session_id, a.idx AS a_idx, b.idx AS b_idx, list_filter(a.t, lambda x: list_contains(b.t, x))[1] AS topic, CASE WHEN a.priority < b.priority THEN a.source ELSE b.source END AS high_source, CASE WHEN a.priority < b.priority THEN b.source ELSE a.source END AS low_source, CASE WHEN a.priority < b.priority THEN a.role ELSE b.role END AS resolved FROM w a JOIN w b ON a.session_id = b.session_id AND a.idx < b.idx AND a.priority <> b.priority)
 SELECT * FROM j WHERE topic IS NOT NULL""")
@@ -725,11 +701,6 @@ def e7_role_conflicts(spark, d):
     return signals.conflicts(_hints(spark, d), ["session_id"])
 
 
-@query(None)
-def e7_role_conflicts_whole(spark, d):
-    return signals.conflicts(_hints(spark, d, whole=True), ["session_id"])
-
-
 @query(f"SELECT id, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN CAST(m AS VARCHAR) || 'm ago' WHEN m < 1440 THEN CAST(CAST(floor(m / 60.0) AS BIGINT) AS VARCHAR) || 'h ago' ELSE CAST(CAST(floor(m / 1440.0) AS BIGINT) AS VARCHAR) || 'd ago' END AS since FROM (SELECT id, CAST(floor(({NOW} - \"at\") / 60000.0) AS BIGINT) AS m FROM signals)", "signals")
 def k10_relative_time(spark, d):
     return t.signals(spark, d).select("id", signals.relative_time(F.col("at"), F.lit(NOW)).alias("since"))

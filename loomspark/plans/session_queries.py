@@ -60,19 +60,10 @@ def d10_experience_topk(spark, d):
     return select.top_k(x, ["session_id"], [F.col("id")], 5)
 
 
-@query("SELECT doc_id, array_to_string(list_filter(l, lambda x, i: (i - 1) % 4 = 0), ' ') AS kept FROM (SELECT doc_id, string_split(substr(coalesce(text, ''), 1, 400), ' ') AS l FROM documents WHERE doc_id < 300)")
+@query("SELECT doc_id, array_to_string(list_filter(l, lambda x, i: (i - 1) % 4 = 0), ' ') AS kept FROM (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS l FROM documents)")
 def d15_uniform_subsample(spark, d):
     from ..operators import select
 
-    x = t.load(spark, d, "documents").filter("doc_id < 300").select("doc_id", F.split(F.substring(F.coalesce("text", F.lit("")), 1, 400), " ").alias("l"))
-    return x.select("doc_id", F.array_join(select.uniform_subsample(F.col("l"), 0.25), " ").alias("kept"))
-
-
-@query(None)
-def d15_uniform_subsample_whole(spark, d):
-    """All documents and whole texts; the SQL of ``d15_uniform_subsample`` holds a prefix of both."""
-    from ..operators import select
-
     x = t.load(spark, d, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), " ").alias("l"))
     return x.select("doc_id", F.array_join(select.uniform_subsample(F.col("l"), 0.25), " ").alias("kept"))
 
@@ -116,12 +107,12 @@ def k16_resume_block(spark, d):
     return h.select("session_id", blocks.resume_block(F.col("session_id"), F.col("block")).alias("block"))
 
 
-@query("""~ q AS (SELECT session_id, 1 - count(*) FILTER (WHERE event_id % 8 = 0) / count(*)::DOUBLE AS red, round(avg(CASE WHEN ts > 1706659200000 THEN 1.0::DOUBLE ELSE exp(-((1706659200000 - ts) / 3600000.0::DOUBLE) / 240.0::DOUBLE) END), 6) AS fresh FROM summaries GROUP BY 1)
+@query("""~ q AS (SELECT session_id, 1 - count(*) FILTER (WHERE event_id % 8 = 0) / count(*)::DOUBLE AS red, avg(CASE WHEN ts > 1706659200000 THEN 1.0::DOUBLE ELSE exp(-((1706659200000 - ts) / 3600000.0::DOUBLE) / 240.0::DOUBLE) END) AS fresh FROM summaries GROUP BY 1)
 SELECT session_id, round(0.4::DOUBLE * 1.0 + 0.35::DOUBLE * red + 0.25::DOUBLE * fresh, 6) AS score, CASE WHEN round(0.4::DOUBLE * 1.0 + 0.35::DOUBLE * red + 0.25::DOUBLE * fresh, 6) >= 0.7 THEN 'good' WHEN round(0.4::DOUBLE * 1.0 + 0.35::DOUBLE * red + 0.25::DOUBLE * fresh, 6) >= 0.4 THEN 'acceptable' ELSE 'poor' END AS grade FROM q""", "summaries")
 def j14_context_quality(spark, d):
     s = t.summaries(spark, d)
     red = s.groupBy("session_id").agg((1 - F.count_if(F.col("event_id") % 8 == 0) / F.count(F.lit(1))).alias("red"))
-    x = red.join(resume.freshness(s, ["session_id"], NOW, hours=240.0), "session_id")
+    x = red.join(resume.freshness(s, ["session_id"], NOW, hours=240.0, digits=None), "session_id")
     return x.select("session_id", resume.context_quality(F.lit(1.0), F.col("red"), F.col("freshness")).alias("q")).select("session_id", "q.score", "q.grade")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 HEADER_TYPES = ("session", "model_change", "thinking_level_change", "custom", "custom_message")
 ENTRY = "type string, id string, parentId string, timestamp string, sessionId string, message struct<role:string,content:string>, derived struct<schemaVersion:int,derivedBy:string,sourceSessionId:string>, digestRound int"
 COST = "at long, sessionId string, triggerReason string, inputTokens long, outputTokens long, cachedTokenShare double, strategyVersion string"
+USAGE = "kind string, sessionId string, record map<string,double>, evaluation map<string,string>"
 QUALITY = "k string, at long, sessionId string, triggerReason string, summaryText string, removedCount long, consistency string"
 
 
@@ -20,12 +21,26 @@ def read_transcript(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_transcript(parts: list[DataFrame], path: str) -> None:
-    """A3: headers, digest, summary and kept lines, in that order; each part has (seq, raw)."""
+    """A3: headers, digest, summary and kept lines, in that order; each part has (seq, raw).
+
+    Written beside the old transcript and then moved into its place, so a crash leaves one of the two whole.
+    """
     out = None
     for k, p in enumerate(parts):
         x = p.select(F.lit(k).alias("part"), "seq", "raw")
         out = x if out is None else out.unionByName(x)
-    out.repartitionByRange("part", "seq").sortWithinPartitions("part", "seq").select("raw").write.mode("overwrite").text(path)
+    out.repartitionByRange("part", "seq").sortWithinPartitions("part", "seq").select("raw").write.text(f"{path}.new")
+    swap(out.sparkSession, f"{path}.new", path)
+
+
+def swap(spark: SparkSession, new: str, path: str) -> None:
+    """Move a finished folder into the place of another, if there is one."""
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at(path)):
+        fs.rename(at(path), at(f"{path}.old"))
+    fs.rename(at(new), at(path))
+    fs.delete(at(f"{path}.old"), True)
 
 
 def ingestable(messages: DataFrame, least: int = 20, heartbeat: str = "HEARTBEAT") -> DataFrame:
@@ -46,6 +61,12 @@ def append_costs(records: DataFrame, path: str) -> None:
     records.select(F.to_json(F.struct(*records.columns)).alias("value")).write.mode("append").text(path)
 
 
+def read_usage(spark: SparkSession, path: str) -> DataFrame:
+    """(sessionId, kind, record, evaluation) of usage ledgers; lines that don't parse, or hold neither, are skipped."""
+    x = spark.read.text(path).select(F.from_json("value", USAGE).alias("r")).select("r.*")
+    return x.filter(((F.col("kind") == "usage") & F.col("record").isNotNull()) | ((F.col("kind") == "evaluation") & F.col("evaluation").isNotNull()))
+
+
 def read_quality(spark: SparkSession, path: str) -> DataFrame:
     """Compaction quality records, with ``valid`` for lines of kind 'cq'."""
     x = spark.read.text(path).filter(F.trim("value") != "").select(F.from_json("value", QUALITY).alias("r")).select("r.*")
@@ -62,9 +83,19 @@ def overlay(builtin: DataFrame, custom: DataFrame, key: str = "id") -> DataFrame
     return builtin.join(custom.select(key), key, "left_anti").unionByName(custom)
 
 
-def keep_last(snapshots: DataFrame, most: int = 200) -> DataFrame:
-    """The last snapshots of each session by time, then id."""
-    w = Window.partitionBy("session_id").orderBy(F.desc("at"), F.desc("id"))
+def snapshots_json(snapshots: DataFrame, session: str | None = None, since: int | None = None, until: int | None = None, strategy: str | None = None) -> DataFrame:
+    """Snapshots of a session, time range and strategy as JSON, one row each."""
+    x = snapshots
+    for keep in ([F.col("session_id") == session] if session is not None else []) + ([F.col("at") >= since] if since is not None else []) + ([F.col("at") <= until] if until is not None else []) + ([F.col("strategy") == strategy] if strategy else []):
+        x = x.filter(keep)
+    return x.select("id", F.to_json(F.struct(*x.columns)).alias("json"))
+
+
+def keep_last(snapshots: DataFrame, most: int = 200, by: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """The last snapshots of each group by time, then id; of the whole store without ``by``."""
+    if not by:
+        return snapshots.orderBy(F.desc("at"), F.desc("id")).limit(most)
+    w = Window.partitionBy(*by).orderBy(F.desc("at"), F.desc("id"))
     return snapshots.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
 
 

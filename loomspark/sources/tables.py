@@ -78,7 +78,7 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("event_id")
     pick = lambda words, by: F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(by, F.lit(len(words))) + 1).cast("int"))
     points = F.array(F.concat(F.lit("point about "), pick(TOPICS, x)), F.concat(F.lit("note on "), pick(TOPICS, x * 3)))
-    return e.filter(F.pmod("event_id", F.lit(4)) == 0).select(
+    return e.select(
         F.col("user_id").alias("session_id"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("ts"),
         F.concat(pick(TOPICS, x), F.lit(" "), pick(TOPICS, x * 7)).alias("theme"), points.alias("key_points"),
         F.array(F.concat(F.lit("task "), F.pmod(x, F.lit(9)).cast("string"))).alias("tasks"),
@@ -111,7 +111,7 @@ SQL = {
     "signals": f"signals AS (SELECT event_id AS id, user_id AS session_id, {_pick(SOURCES, 'event_id')} AS source, event_type || ' on ' || {_pick(SOURCES, 'event_id')} AS content, (event_id * 13 % 100) / 100.0::DOUBLE AS conf, {_AT} AS \"at\" FROM events)",
     "summaries": f"""summaries AS (SELECT user_id AS session_id, event_id, {_AT} AS ts, {_pick(TOPICS, 'event_id')} || ' ' || {_pick(TOPICS, 'event_id * 7')} AS theme,
         ['point about ' || {_pick(TOPICS, 'event_id')}, 'note on ' || {_pick(TOPICS, 'event_id * 3')}] AS key_points, ['task ' || CAST(event_id % 9 AS VARCHAR)] AS tasks,
-        [{_pick(ENTITIES, 'event_id')}, {_pick(ENTITIES, 'event_id * 5')}] AS entities, event_id % 20 + 3 AS n_messages FROM events WHERE event_id % 4 = 0)""",
+        [{_pick(ENTITIES, 'event_id')}, {_pick(ENTITIES, 'event_id * 5')}] AS entities, event_id % 20 + 3 AS n_messages FROM events)""",
 }
 
 

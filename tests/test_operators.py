@@ -150,7 +150,9 @@ def test_streams_equal_batches(spark, tmp_path):
     got = _drain(sessions.cooldown_stream(_stream(spark, tmp_path / "b", t), cap=2), "cool", "append")
     assert sorted(r["at"] for r in got) == [0, 300_000]
     kept = _drain(sessions.budget_stream(_stream(spark, tmp_path / "c", m), 40), "fill", "append")
-    assert {r["session_id"] for r in kept} == {1, 2} and max(r["used"] for r in kept) <= 36
+    size = {r["idx"]: -(-len(r["content"]) // 4) for r in m.collect()}
+    used = {s: sum(size[r["idx"]] for r in kept if r["session_id"] == s) for s in (1, 2)}
+    assert set(used) == {1, 2} and all(0 < u <= 36 for u in used.values())
 
 
 def test_ingest_and_windows(spark, tmp_path):

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from loomspark.plans import more_queries, session_queries  # noqa: F401
+from loomspark.plans import coverage_queries, more_queries, session_queries  # noqa: F401
 from loomspark.plans.queries import QUERIES
 
 WORDS = "alpha beta gamma delta query index join shard token budget".split()
@@ -37,7 +37,7 @@ def whole(spark, tmp_path_factory):
 
 def test_uniform_subsample_reads_all_documents_and_whole_texts(whole):
     run, docs, _, _ = whole
-    assert {r["doc_id"]: r["kept"] for r in run("d15_uniform_subsample_whole")} == {x["doc_id"]: " ".join((x["text"] or "").split(" ")[::4]) for x in docs}
+    assert {r["doc_id"]: r["kept"] for r in run("d15_uniform_subsample")} == {x["doc_id"]: " ".join((x["text"] or "").split(" ")[::4]) for x in docs}
 
 
 def test_search_answers_every_query(whole):
@@ -55,7 +55,7 @@ def test_search_answers_every_query(whole):
                 s[k] = round(sum(own), 6)
         for r, k in enumerate(sorted(s, key=lambda k: (-s[k], k))[:5]):
             want[q["item_id"], r + 1] = k, s[k]
-    got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in run("a4_search_bm25_whole")}
+    got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in run("a4_search_bm25")}
     assert got.keys() == want.keys() and {q for q, _ in got} == set(range(30))
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-4 for k in want)
 
@@ -67,7 +67,7 @@ def test_strategy_feedback_reads_the_whole_ledger(whole):
         k = int(re.search(r"\d+", x["props"])[0])
         if k % 5:
             by[x["event_type"]].append(k / 100)
-    got = {r["strategy"]: r for r in run("f17_strategy_feedback_whole")}
+    got = {r["strategy"]: r for r in run("f17_strategy_feedback")}
     assert got.keys() == by.keys()
     for k, v in by.items():
         assert (got[k]["uses"], got[k]["wins"]) == (len(v), sum(x > 0.5 for x in v))
@@ -92,7 +92,7 @@ def test_cooccurring_reads_all_events(whole):
                 n[b] += c
         for r, k in enumerate(sorted(n, key=lambda k: (-n[k], k))[:5]):
             want[task, r + 1] = k, n[k], min(0.7, n[k] / max(n.values()))
-    got = {(r["task"], r["rank"]): (r["key"], r["n"], r["confidence"]) for r in run("j21_predict_cooccurring_whole")}
+    got = {(r["task"], r["rank"]): (r["key"], r["n"], r["confidence"]) for r in run("j21_predict_cooccurring")}
     assert got.keys() == want.keys() and got
     assert all(got[k][:2] == want[k][:2] and near(got[k][2], want[k][2]) for k in want)
 
@@ -102,7 +102,7 @@ def test_prompt_style_reads_all_memories(whole):
     by = defaultdict(list)
     for x in docs:
         by[x["doc_id"] % 50].append(f"- {x['lang']} {x['doc_id']}")
-    assert {r["session_id"]: r["block"] for r in run("j20_prompt_style_whole")} == {k: "\n".join(["[Context] Use the following to answer:", *v]) for k, v in by.items()}
+    assert {r["session_id"]: r["block"] for r in run("j20_prompt_style")} == {k: "\n".join(["[Context] Use the following to answer:", *v]) for k, v in by.items()}
 
 
 SOURCES = ("memory_store", "governance", "ci_pipeline", "cross_domain", "session", "weather", "policy", "deploy")
@@ -123,9 +123,9 @@ def hints(events):
 def test_role_order_and_breakdown_read_all_events(whole):
     run, _, _, events = whole
     by = hints(events)
-    text = {r["session_id"]: r["text"] for r in run("j19_role_order_whole")}
+    text = {r["session_id"]: r["text"] for r in run("j19_role_order")}
     assert text == {k: "\n\n".join(h[4] for h in sorted(v, key=lambda h: (h[3], h[0]))) for k, v in by.items()}
-    got = {r.pop("session_id"): r for r in run("f15_role_breakdown_whole")}
+    got = {r.pop("session_id"): r for r in run("f15_role_breakdown")}
     assert got == {k: {r: sum(h[2] == r for h in v) for r, _ in ROLES.values()} | {"total": len(v)} for k, v in by.items()}
 
 
@@ -139,7 +139,7 @@ def test_role_conflicts_join_all_pairs_of_a_session(whole):
                 if a[3] != b[3] and common:
                     high, low = (a, b) if a[3] < b[3] else (b, a)
                     want.add((k, a[0], b[0], common[0], high[1], low[1], high[2]))
-    got = [(r["session_id"], r["a_idx"], r["b_idx"], r["topic"], r["high_source"], r["low_source"], r["resolved"]) for r in run("e7_role_conflicts_whole")]
+    got = [(r["session_id"], r["a_idx"], r["b_idx"], r["topic"], r["high_source"], r["low_source"], r["resolved"]) for r in run("e7_role_conflicts")]
     assert len(got) == len(want) > 1000 and set(got) == want
 
 
@@ -150,7 +150,7 @@ def test_fusion_reads_all_signals(whole):
         source = SOURCES[x["event_id"] % 8]
         names[x["user_id"]].add(source)
         tokens[x["user_id"]] += math.ceil(len(f"{x['event_type']} on {source}") / 4)
-    got = {r["session_id"]: r for r in run("j18_fusion_whole")}
+    got = {r["session_id"]: r for r in run("j18_fusion")}
     assert {k: r["tokens"] for k, r in got.items()} == tokens
     for k, s in names.items():
         ci, memory = bool(s & {"ci_pipeline", "deploy"}), "memory_store" in s
@@ -172,4 +172,4 @@ def test_gate_reads_all_memories(whole):
         ok = [i for s, i in v if s >= limit]
         rest = sorted(((-s, i) for s, i in v if s < limit))[: max(0, 3 - len(ok))]
         want |= {i: (k, limit) for i in ok + [i for _, i in rest]}
-    assert {r["id"]: (r["session_id"], r["threshold"]) for r in run("b3_confidence_gate_whole")} == want
+    assert {r["id"]: (r["session_id"], r["threshold"]) for r in run("b3_confidence_gate")} == want
