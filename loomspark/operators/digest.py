@@ -8,22 +8,50 @@ from pyspark.sql import functions as F
 from ..functions.text import any_of, js, like
 
 # --- fixed values -------------------------------------------------------------
-CONFIRMED = (r"(?i)\b(?:decided|agreed|settled on|went with|chose|chosen|selected|opted for|will use)\b",)
-CONFIRMED_WEAK = (r"(?i)\b(?:should|let's|we'll)\s+(?:go with|use|do|try|implement|adopt|switch to)\b", r"(?i)\b(?:plan|planning|thinking) to (?:use|try|implement|adopt|switch to)\b")
-SUPPRESS = (r"(?i)\b(?:maybe|perhaps|probably|possibly|should we|can we|how about|what about|do you think|could try|would be nice)\b",)
-REJECTED = (r"(?i)\b(?:rejected|abandoned|abandon|scrapped|dropped|decided against|backed out of)\b", r"(?i)\b(?:does|do|did|will|won't|wont|would) not work\b|\bdoesn't work\b|\bdidn't work\b", r"(?i)\bnot (?:viable|feasible|an option|worth it)\b", r"(?i)\bno longer (?:using|needed|required|an option|feasible)\b")
-LINKER = r"(?i)\b(?:because|due to|as a result|in order to|so that)\b"
-REASON = r"(?i)\b(?:because|due to)\b"
-NEGATIVE = r"(?i)\b(?:error|errors|fails?|failed|crash(?:es|ed)?|broken|throws?|threw|rejected|invalid|deprecated|gotcha|pitfalls?)\b|\bnot (?:supported|available|working)\b|\breturns? (?:null|undefined)\b"
+CONFIRMED = (
+    r"(?i)\b(?:decided|agreed|settled on|went with|chose|chosen|selected|opted for|will use)\b",
+    r"(?:决定|同意|确认|选定|采用|一致认为)",
+    r"确定(?:使用|用|方案|采用)",
+)
+CONFIRMED_WEAK = (
+    r"(?i)\b(?:should|let's|we'll)\s+(?:go with|use|do|try|implement|adopt|switch to)\b",
+    r"(?i)\b(?:plan|planning|thinking) to (?:use|try|implement|adopt|switch to)\b",
+    r"(?:建议|考虑|打算)(?:用|采用|试|换|切换)",
+    r"可以(?:试试|试一下|用)",
+)
+SUPPRESS = (
+    r"(?i)\b(?:maybe|perhaps|probably|possibly|should we|can we|how about|what about|do you think|could try|would be nice)\b",
+    r"(?:也许|可能|或许|大概|要不要|怎么样|是不是|能不能|要不)",
+)
+REJECTED = (
+    r"(?i)\b(?:rejected|abandoned|abandon|scrapped|dropped|decided against|backed out of)\b",
+    r"(?i)\b(?:does|do|did|will|won't|wont|would) not work\b|\bdoesn't work\b|\bdidn't work\b",
+    r"(?i)\bnot (?:viable|feasible|an option|worth it)\b",
+    r"(?i)\bno longer (?:using|needed|required|an option|feasible)\b",
+    r"(?i)\bremoved the (?:approach|solution|option|idea)\b",
+    r"(?:否决|放弃|回退|撤掉|废弃|弃用)",
+    r"(?:行不通|不可行|不采用|不成立|跑不通|走不通|被拒)",
+    r"(?:没(?:有)?成功|试(?:了|过)不行|别再?用)",
+)
+LINKER = r"(?i)\b(?:because|due to|as a result|in order to|so that)\b|(?:因为|由于|目的是|以便|从而|所以)"
+REASON = r"(?i)\b(?:because|due to)\b|(?:因为|由于|原因是|是因为)"
+NEGATIVE = (
+    r"(?i)\b(?:error|errors|fails?|failed|crash(?:es|ed)?|broken|throws?|threw|rejected|invalid|deprecated|gotcha|pitfalls?|misbehav(?:es|ed))\b|\bnot (?:supported|available|working)\b|\breturns? (?:null|undefined)\b"
+    r"|(?:报错|出错|失败|崩溃|崩了|坑|陷阱|注意|小心|无法|不能|无效|被拒|拒绝|不支持|不兼容|踩(?:过|坑)|失效|异常)"
+)
+PENDING = r"(?i)\b(?:todo|pending|next step|follow[- ]?up|need to|not yet|remaining|outstanding)\b"
 SYMBOL = r"\b([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+)"
 TICKED = r"`([\w./@:-]+)`"
-WORKAROUND = r"(?i)\bworkarounds?\s*:?\s*([^.;]+)"
+WORKAROUND = r"(?i)\bworkarounds?\s*[:：]?\s*([^.;，。]+)"
+WORKAROUND_CJK = r"(?:绕开|解决办法|替代方案|改用)\s*(?:[:：]?\s*)?([^.;，。]+)"
+#: What ends a sentence, before white space.
+SENTENCE_END = "[.!?。！？]"
 # ------------------------------------------------------------------------------
 
 
 def sentences(messages: DataFrame, text: str = "content") -> DataFrame:
     """One row for each sentence with its place; sentences end behind . ! ? and white space, or at a line's end."""
-    marked = F.regexp_replace(F.regexp_replace(F.col(text), r"([.!?])\s+", "$1\n"), r"\n+", "\n")
+    marked = F.regexp_replace(F.regexp_replace(F.col(text), rf"({SENTENCE_END})\s+", "$1\n"), r"\n+", "\n")
     return messages.select("*", F.posexplode(F.split(marked, "\n")).alias("pos", "sentence")).withColumn("sentence", F.trim("sentence")).filter("sentence <> ''")
 
 
@@ -56,13 +84,13 @@ def pitfalls(sents: DataFrame) -> DataFrame:
     s = F.col("sentence")
     dotted, ticked = F.regexp_extract(s, js(SYMBOL), 1), F.regexp_extract(s, js(TICKED), 1)
     symbol = F.when(dotted != "", dotted).when(ticked != "", ticked)
-    return sents.filter(like(s, NEGATIVE)).withColumn("symbol", symbol).filter(F.col("symbol").isNotNull()).withColumn("workaround", F.trim(F.regexp_extract(s, js(WORKAROUND), 1)))
+    return sents.filter(like(s, NEGATIVE)).withColumn("symbol", symbol).filter(F.col("symbol").isNotNull()).withColumn("workaround", F.trim(F.coalesce(F.nullif(F.regexp_extract(s, js(WORKAROUND), 1), F.lit("")), F.regexp_extract(s, WORKAROUND_CJK, 1))))
 
 
 def claims(sents: DataFrame, by: list[str], order: list[str], most: int = 20) -> DataFrame:
     """The strongest sentence of each message, the ``most`` strongest of a session in the order of the source."""
     s = F.col("sentence")
-    base = F.greatest(F.when(any_of(s, REJECTED), 3).otherwise(0), F.when(like(s, NEGATIVE), 2).otherwise(0), F.when(like(s, r"(?i)\b(todo|pending|next step|unresolved|blocked)\b"), 3).otherwise(0), F.when(any_of(s, CONFIRMED), 2).otherwise(0))
+    base = F.greatest(F.when(any_of(s, REJECTED), 3).otherwise(0), F.when(like(s, NEGATIVE), 2).otherwise(0), F.when(like(s, PENDING), 3).otherwise(0), F.when(any_of(s, CONFIRMED), 2).otherwise(0))
     ident = F.when(like(s, SYMBOL) | like(s, TICKED), 1).otherwise(0)
     x = sents.withColumn("strength", base + ident).filter("strength > 0")
     x = x.withColumn("_best", F.row_number().over(Window.partitionBy(*by, *order).orderBy(F.desc("strength"), "pos"))).filter("_best = 1")

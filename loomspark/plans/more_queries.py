@@ -69,9 +69,10 @@ def e14_merge_decisions(spark, d):
     return state.merge_decisions(side(0), side(1), ["pair"])
 
 
-@query(f"""~ w AS (SELECT session_id, unnest(list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: length(x) >= 3)) AS word FROM messages),
-g AS (SELECT session_id, word, count(*) AS n FROM w WHERE word NOT IN ({", ".join(f"'{s}'" for s in state.STOP)}) GROUP BY 1, 2 HAVING count(*) >= 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, word) AS r FROM g) SELECT session_id, word, n FROM r WHERE r <= 5""", "messages")
+@query(f"""~ c AS (SELECT session_id, list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: length(x) >= 3 AND NOT list_contains({list(state.STOP)!r}, x)) AS l, regexp_replace(content, '[^\\x{{4e00}}-\\x{{9fff}}\\x{{3400}}-\\x{{4dbf}}\\x{{f900}}-\\x{{faff}}]', '', 'g') AS ch FROM messages),
+w AS (SELECT session_id, unnest(list_concat(l, list_transform(generate_series(1, length(ch) - 1), lambda i: substr(ch, CAST(i AS INTEGER), 2)))) AS word FROM c), k AS (SELECT session_id, bool_or(length(ch) > 0) AS cjk FROM c GROUP BY 1),
+g AS (SELECT session_id, word, count(*) AS n FROM w GROUP BY 1, 2), h AS (SELECT g.* FROM g JOIN k USING (session_id) WHERE n >= 2 OR cjk),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, word) AS r FROM h) SELECT session_id, word, n FROM r WHERE r <= 5""", "messages")
 def i10_theme_keywords(spark, d):
     return state.theme_keywords(t.messages(spark, d), ["session_id"])
 

@@ -50,7 +50,7 @@ TOK = TOKENS.format("content")
 # --- C: token counts and budgets ------------------------------------------------------------------
 
 
-@query(f"SELECT session_id, idx, {TOK} AS tokens, CAST(ceil(length(content) / 4.0::DOUBLE) AS BIGINT) AS rough, CAST(ceil(length(content) / 3.5::DOUBLE) AS BIGINT) AS signal FROM messages", "messages")
+@query(f"SELECT session_id, idx, {TOK} AS tokens, CAST(ceil(length(content) / 4.0::DOUBLE) AS BIGINT) AS rough, CAST(ceil((length(content) - length(regexp_replace(content, '[\\x{{4e00}}-\\x{{9fff}}\\x{{3400}}-\\x{{4dbf}}]', '', 'g'))) + (length(content) - (length(content) - length(regexp_replace(content, '[\\x{{4e00}}-\\x{{9fff}}\\x{{3400}}-\\x{{4dbf}}]', '', 'g')))) / 3.5::DOUBLE) AS BIGINT) AS signal FROM messages", "messages")
 def c2_token_estimate(spark, d):
     m = t.messages(spark, d)
     return m.select("session_id", "idx", tx.heuristic_tokens(F.col("content")).alias("tokens"), tx.rough_tokens(F.col("content")).alias("rough"), tx.signal_tokens(F.col("content")).alias("signal"))
@@ -480,7 +480,7 @@ def i26_structured_kind(spark, d):
 
 # --- digest ---------------------------------------------------------------------------------------
 
-_SENT = "s AS (SELECT session_id, idx, unnest(generate_series(1, len(p))) - 1 AS pos, trim(unnest(p)) AS sentence FROM (SELECT session_id, idx, string_split(regexp_replace(regexp_replace(content, '([.!?])\\s+', '\\1\n', 'g'), '\\n+', '\n', 'g'), chr(10)) AS p FROM messages))"
+_SENT = "s AS (SELECT session_id, idx, unnest(generate_series(1, len(p))) - 1 AS pos, trim(unnest(p)) AS sentence FROM (SELECT session_id, idx, string_split(regexp_replace(regexp_replace(content, '([.!?。！？])\\s+', '\\1\n', 'g'), '\\n+', '\n', 'g'), chr(10)) AS p FROM messages))"
 
 
 @query(f"""~ {_SENT}, f AS (SELECT *, CASE WHEN {_any('sentence', digest.CONFIRMED)} THEN least(0.95::DOUBLE, floor((0.85::DOUBLE + CASE WHEN {_any('sentence', [digest.LINKER])} THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN length(sentence) > 50 THEN 0.05::DOUBLE ELSE 0 END) * 100 + 0.5) / 100) WHEN {_any('sentence', digest.CONFIRMED_WEAK)} AND NOT {_any('sentence', digest.SUPPRESS)} AND {_any('sentence', [digest.LINKER])} THEN 0.75::DOUBLE END AS confidence FROM s)
@@ -490,18 +490,22 @@ def i16_confirmed(spark, d):
     return x.select("session_id", "idx", F.col("pos").cast("long").alias("pos"), "sentence", "confidence")
 
 
-@query(None)
+@query(f"""~ {_SENT}, w AS (SELECT *, regexp_extract(sentence, '{digest.REASON}') AS word FROM s WHERE {_any('sentence', digest.REJECTED)}), p AS (SELECT *, CASE WHEN word = '' THEN 0 ELSE strpos(sentence, word) END AS at_ FROM w)
+SELECT session_id, idx, CAST(pos AS INTEGER) AS pos, substr(CASE WHEN at_ > 1 THEN regexp_replace(trim(substr(sentence, 1, at_ - 1)), '[,;:]\\s*$', '') ELSE sentence END, 1, 300) AS approach,
+ substr(CASE WHEN at_ > 1 THEN trim(substr(sentence, at_ + length(word))) ELSE '' END, 1, 300) AS reason FROM p""", "messages")
 def i17_rejected(spark, d):
     return digest.rejected(digest.sentences(t.messages(spark, d))).select("session_id", "idx", "pos", "approach", "reason")
 
 
 @query(f"""~ {_SENT}, f AS (SELECT *, regexp_extract(sentence, '{digest.SYMBOL}', 1) AS a, regexp_extract(sentence, '{digest.TICKED}', 1) AS b FROM s WHERE {_any('sentence', [digest.NEGATIVE])})
-SELECT session_id, idx, CASE WHEN a <> '' THEN a ELSE b END AS symbol, trim(regexp_extract(sentence, '{digest.WORKAROUND}', 1)) AS workaround FROM f WHERE a <> '' OR b <> ''""", "messages")
+SELECT session_id, idx, CASE WHEN a <> '' THEN a ELSE b END AS symbol, trim(coalesce(nullif(regexp_extract(sentence, '{digest.WORKAROUND}', 1), ''), regexp_extract(sentence, '{digest.WORKAROUND_CJK}', 1))) AS workaround FROM f WHERE a <> '' OR b <> ''""", "messages")
 def i18_pitfalls(spark, d):
     return digest.pitfalls(digest.sentences(t.messages(spark, d))).select("session_id", "idx", "symbol", "workaround")
 
 
-@query(None)
+@query(f"""~ {_SENT}, b AS (SELECT session_id, idx, pos, sentence, greatest(CASE WHEN {_any('sentence', digest.REJECTED)} THEN 3 ELSE 0 END, CASE WHEN {_any('sentence', [digest.NEGATIVE])} THEN 2 ELSE 0 END, CASE WHEN {_any('sentence', [digest.PENDING])} THEN 3 ELSE 0 END, CASE WHEN {_any('sentence', digest.CONFIRMED)} THEN 2 ELSE 0 END) + CASE WHEN {_any('sentence', [digest.SYMBOL, digest.TICKED])} THEN 1 ELSE 0 END AS strength FROM s WHERE sentence <> ''),
+o AS (SELECT *, row_number() OVER (PARTITION BY session_id, idx ORDER BY strength DESC, pos) AS best FROM b WHERE strength > 0), r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY strength DESC, idx) AS rank FROM o WHERE best = 1)
+SELECT r.session_id, r.idx, substr(sentence, 1, 512) AS span, strength, CASE WHEN strength >= 4 THEN 0.9::DOUBLE WHEN strength = 3 THEN 0.8::DOUBLE WHEN strength = 2 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS confidence FROM r JOIN messages m ON m.session_id = r.session_id AND m.idx = r.idx WHERE rank <= 20 AND contains(m.content, substr(sentence, 1, 512))""", "messages")
 def i19_claims(spark, d):
     m = t.messages(spark, d)
     found = digest.claims(digest.sentences(m), ["session_id"], ["idx"])

@@ -27,6 +27,8 @@ PHRASES = (
     "I chose yarn over npm; updated config.json and README.md",
     "plain words without any marker here",
     "First refactor the module, then write unit tests, finally release.",
+    "我们决定使用缓存方案，因为写入更安全。 旧方案行不通，由于太慢",
+    "`load` 报错，改用 Json.read 。 可以试试新的接口",
 )
 
 
