@@ -75,19 +75,27 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches, rows: int = 500):
-    """The batches in pieces of few rows, so that no task holds many long texts as Python objects at once.
-
-    Workers serve many tasks; what the last one has freed goes back to the system first.
-    """
+def _trim() -> None:
+    """Give freed memory back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     libc = ctypes.CDLL(None)
     if hasattr(libc, "malloc_trim"):
         libc.malloc_trim(0)
+
+
+def slices(batches, rows: int = 500):
+    """The batches in pieces of few rows, so that no task holds many long texts as Python objects at once.
+
+    Workers serve many tasks; what the last one has freed goes back to the system
+    first, and what this one has at its end, as the next stage may need no worker.
+    """
+    _trim()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+    _trim()
 
 
 def n_words(text: str = "text"):

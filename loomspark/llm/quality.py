@@ -3,8 +3,8 @@
 The language model is over the symbols of a text, a space between words, one
 model for each language. Its n-grams run across words, so the order of words
 counts. They are counted by Spark over all documents: a task counts the n-grams
-of its texts by exact keys and sends each distinct one once, so what is shuffled
-follows the distinct n-grams, not the text. The estimates are joins and sums over
+of its texts by exact keys and sends each distinct one once, packed in blocks by
+bucket, so what is shuffled follows the distinct n-grams, not the text. The estimates are joins and sums over
 those. The finished model is a sorted array of hashed n-grams with log
 probabilities and back-off weights. Hashes have 64 bits; if two n-grams share one,
 another hash is taken, so no entries are merged.
@@ -200,21 +200,32 @@ class _Counts:
             yield from self.add(lang, [(left[-(self.order - 1) :], text[cut:], after)])
 
     def flush(self):
-        codes = np.array(self.codes, dtype=np.uint32)
+        """(lang, first and last symbols of each n-gram, counts): what has been counted, which is then forgotten."""
+        codes = np.array(self.codes, dtype=np.uint64)
         mask = np.uint64((1 << self.bits) - 1)
         for lang, table in self.by.items():
             keys, n = table.items()
-            for i in range(0, len(keys), 50_000):
-                own = keys[i : i + 50_000]
-                grams = np.stack([codes[((own >> np.uint64(self.bits * j)) & mask).astype(np.int64)] for j in range(self.order - 1, -1, -1)], axis=1)
-                text = grams.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-                part = [text[k : k + self.order] for k in range(0, len(text), self.order)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(n[i : i + 50_000], pa.int64())], names=["lang", "gram", "n"])
+            head, tail = np.zeros(len(keys), dtype=np.uint64), np.zeros(len(keys), dtype=np.uint64)
+            for j in range(self.order - 1, -1, -1):
+                c = codes[((keys >> np.uint64(self.bits * j)) & mask).astype(np.int64)]
+                if j > 2:
+                    head = (head << np.uint64(21)) | c
+                else:
+                    tail = (tail << np.uint64(21)) | c
+            yield lang, head, tail, n
         self.by.clear()
         self.number[:] = 0
         self.codes = [0]
 
 
+def _summed(head: np.ndarray, tail: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of equal n-grams added up."""
+    order = np.lexsort((tail, head))
+    head, tail, n = head[order], tail[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])]))
+    return head[new], tail[new], np.add.reduceat(n, new)
+
+
 def count_ngrams(docs: DataFrame, order: int, across: bool = True) -> DataFrame:
     """(lang, gram, n) over all documents of (lang, text): every symbol with the ``order - 1`` before it. A null language is ''.
 
@@ -223,6 +234,17 @@ def count_ngrams(docs: DataFrame, order: int, across: bool = True) -> DataFrame:
 
     def run(batches):
         counts = _Counts(order, across)
+
+        def blocks(found):
+            """Rows (lang, bucket, n-grams, counts): few and packed, so that the JVM moves bytes, not strings."""
+            for lang, head, tail, n in found:
+                bucket = ((head * np.uint64(_MIX) ^ tail) * np.uint64(_STEP) >> np.uint64(32)) % np.uint64(buckets)
+                at = np.argsort(bucket, kind="stable")
+                cuts = np.flatnonzero(np.diff(bucket[at])) + 1
+                first = np.concatenate([[0], cuts])
+                split = lambda x: pa.array([p.tobytes() for p in np.split(x[at], cuts)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(first)), pa.array(bucket[at][first].astype(np.int32)), split(head), split(tail), split(n)], names=["lang", "bucket", "head", "tail", "n"])
+
         for batch in slices(batches):
             by: dict[str, list[tuple[str, str, str]]] = {}
             size: Counter[str] = Counter()
@@ -233,14 +255,43 @@ def count_ngrams(docs: DataFrame, order: int, across: bool = True) -> DataFrame:
                     size[lang] += len(part[1])
                     if size[lang] > 3 * _TOGETHER:
                         del size[lang]
-                        yield from counts.add(lang, by.pop(lang))
+                        yield from blocks(counts.add(lang, by.pop(lang)))
             for lang, parts in by.items():
-                yield from counts.add(lang, parts)
-        yield from counts.flush()
+                yield from blocks(counts.add(lang, parts))
+        yield from blocks(counts.flush())
+
+    def add_up(batches):
+        """Rows come sorted by language and bucket; one bucket is held at a time."""
+        key, held, size = None, [], 0
+
+        def settle():
+            head, tail, n = _summed(*(np.concatenate(x) for x in zip(*held)))
+            for i in range(0, len(n), 50_000):
+                h, t = head[i : i + 50_000], tail[i : i + 50_000]
+                symbols_ = [(h >> np.uint64(21 * j)) & np.uint64(0x1FFFFF) for j in range(order - 4, -1, -1)] + [(t >> np.uint64(21 * j)) & np.uint64(0x1FFFFF) for j in range(min(order, 3) - 1, -1, -1)]
+                text = np.stack(symbols_, axis=1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+                part = [text[k : k + order] for k in range(0, len(text), order)]
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(part), pa.string()), pa.array(part, pa.string()), pa.array(n[i : i + 50_000], pa.int64())], names=["lang", "gram", "n"])
 
-    if not 2 <= order <= 8:
-        raise ValueError("n-grams of two to eight symbols are packed in 64 bits")
-    return docs.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        for batch in batches:
+            for lang, bucket, *block in zip(*(c.to_pylist() for c in batch.columns)):
+                if key is not None and key != (lang, bucket):
+                    yield from settle()
+                    held, size = [], 0
+                key = lang, bucket
+                held.append(tuple(np.frombuffer(x, dtype=d) for x, d in zip(block, ("<u8", "<u8", "<i8"))))
+                size += len(held[-1][2])
+                if size > 3_000_000:
+                    held = [_summed(*(np.concatenate(x) for x in zip(*held)))]
+                    size = len(held[0][2])
+        if held:
+            yield from settle()
+
+    if not 3 <= order <= 6:
+        raise ValueError("n-grams of three to six symbols are packed in two times 64 bits")
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = docs.select("lang", "text").mapInArrow(run, "lang string, bucket int, head binary, tail binary, n binary")
+    return packed.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(add_up, "lang string, gram string, n long")
 
 
 def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
@@ -519,6 +570,7 @@ def score(docs: DataFrame, model: DataFrame, order: int, key: str = "doc_id", br
         more = lost.join(whole.select("lang", "gram", F.col("lp").cast("float").cast("double").alias("lp")), ["lang", "gram"]).groupBy(F.col("lang").alias("_lang"), F.col("tid").alias("_tid")).agg((F.sum(F.col("n") * F.col("lp")) / F.sum("n")).alias("_mean"))
         x = x.join(more, (F.coalesce("lang", F.lit("")) == F.col("_lang")) & (F.col("tid") == F.col("_tid")), "left")
         x = stash(x.withColumn("lp", F.col("lp") + F.coalesce(F.col("_mean") * F.col("n_missing"), F.lit(0.0))).drop("_lang", "_tid", "_mean"), "quality")
+    sent.destroy()  # the scores are stored
     n = F.col("word_chars") + F.col("n_words")
     return x.select(key, "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.when(n > 0, -F.col("lp") / n).alias("log_ppl"))
 

@@ -96,7 +96,7 @@ def corpus_words(docs: DataFrame, dictionary: int, text: str = "text", least: in
             for t in batch.column(0).to_pylist():
                 if t:
                     n.update(t.split())
-            if len(n) > 400_000:
+            if len(n) > 100_000:
                 yield from flush()
         yield from flush()
 

@@ -396,6 +396,7 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         if low >= least_weight:
             weights[r["f"]] = float(low)
     x = stash(_evidence(rows, model, sc.broadcast(weights)), "tox-evidence")
+    model.destroy()  # the evidence is stored
     names = [c for c, _, _ in GRID]
     cells = _inputs(x.join(F.broadcast(known), "id")).groupBy(*names).agg(F.sum("y"), F.sum(1 - F.col("y"))).collect()  # cells of the grid at most
     w = fit_logistic([tuple(map(float, r)) for r in sorted(cells)])

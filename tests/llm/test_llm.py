@@ -293,25 +293,29 @@ def test_language_model_is_kneser_ney(spark):
         assert model.text_log_probability("", t) == pytest.approx(log_p(t), rel=1e-4)
 
 
-def test_counts_are_exact_in_any_script(spark, monkeypatch):
+def test_counts_are_exact_in_any_script(spark):
     rng = random.Random(2)
-    texts = ["".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(3000)) + " end", "short 一丁", "a b  c\n" * 50]
-    for limit in (quality._LONG, 700):
-        monkeypatch.setattr(quality, "_LONG", limit)
-        counts = quality._Counts(5)
-        got = Counter()
-        for k, t in enumerate(texts):
-            for part in quality._pieces(t, 5):
-                for batch in counts.add("en", [part]):
-                    got.update(dict(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())))
-        for batch in counts.flush():
-            for g, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                got[g] += n
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(9000)) + " end", "short 一丁 😀", "a b  c\n" * 50, None, "", " "]
+    df = spark.createDataFrame([("en", t) for t in texts] + [(None, "a b")], "lang string, text string").repartition(3)
+    for order in (3, 5, 6):
         want = Counter()
         for t in texts:
-            s = "    " + " ".join(t.split()) + " "
-            want.update(s[i - 4 : i + 1] for i in range(4, len(s)))
-        assert got == want
+            s = " " * (order - 1) + " ".join((t or "").split()) + " "
+            want.update(s[i - order + 1 : i + 1] for i in range(order - 1, len(s) if (t or "").split() else 0))
+        got = quality.count_ngrams(df, order).collect()
+        assert {r["gram"]: r["n"] for r in got if r["lang"] == "en"} == want and sum(r["n"] for r in got if r["lang"] == "") == 4 and len(got) == len({(r["lang"], r["gram"]) for r in got})
+
+
+def test_long_texts_are_cut_without_a_trace(monkeypatch):
+    text = "".join(random.Random(3).choice("ab  c\n") for _ in range(5000))
+    def grams(limit):
+        monkeypatch.setattr(quality, "_LONG", limit)
+        out = Counter()
+        for part in quality._pieces(text, 5):
+            codes, at, _ = quality.symbols([part], 5)
+            out.update(tuple(codes[a - 4 : a + 1].tolist()) for a in at.tolist())
+        return out
+    assert grams(700) == grams(13) == grams(10**6)
 
 
 def test_order_of_words_counts(spark):
