@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import functools
 import gc
 import shutil
 import tempfile
@@ -18,10 +19,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Batches for Python workers hold 8 MB at most, unless the session says otherwise: rows may be long."""
+    """Batches for Python workers hold 2 MB at most (or one row), unless the session says otherwise: rows may be long."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) is None:
-        spark.conf.set(key, "8m")
+        spark.conf.set(key, "2m")
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,15 +88,24 @@ def _trim() -> None:
 def slices(batches, rows: int = 500):
     """The batches in pieces of few rows, so that no task holds many long texts as Python objects at once.
 
-    Workers serve many tasks; what the last one has freed goes back to the system
-    first, and what this one has at its end, as the next stage may need no worker.
+    Workers serve many tasks; what the last one has freed goes back to the system first.
     """
     _trim()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
         del batch
-    _trim()
+
+
+def lean(run):
+    """A worker's function of batches that gives back what it held at its end, as the next stage may need no worker."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        yield from run(batches)  # its frame is gone afterwards
+        _trim()
+
+    return whole
 
 
 def n_words(text: str = "text"):

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, slices, stash
+from .common import WORD, lean, slices, stash
 from .components import components
 
 WORDS = re.compile(WORD)
@@ -42,6 +42,8 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Ids up to this number may be broadcast to pick out texts; more are joined by shuffle.
 BROADCAST_IDS = 200_000
 _REMEMBER = 150_000
+#: Shingles of texts that a worker remembers while it checks pairs.
+_REMEMBER_SHINGLES = 100_000
 
 
 def shingle_set(text: str | None, k: int) -> set[tuple[str, ...]]:
@@ -69,6 +71,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def embed(docs: DataFrame, shingle: int, coords: int, seed: int) -> DataFrame:
     """(id, cls, n, sig): class of equal sets, set size, and min-wise hashes of each row of (id, text); null class for empty sets."""
 
+    @lean
     def run(batches):
         rng = np.random.default_rng(seed)
         spread = rng.integers(1, 2**63, size=coords, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,16 +127,20 @@ def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     texts = stash(_texts(docs, ids), "dup-texts")
     a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
 
+    @lean
     def run(batches):
         met: dict[str, set] = {}
+        held = 0
         for batch in slices(batches):
             keep = []
             for i, (ta, tb) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 sb = met.get(tb)
                 if sb is None:
-                    if len(met) >= 64:
+                    if held > _REMEMBER_SHINGLES:
                         met.clear()
+                        held = 0
                     sb = met[tb] = shingle_set(tb, shingle)
+                    held += len(sb) + 1
                 if linked(shingle_set(ta, shingle), sb, percent):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
@@ -260,6 +267,7 @@ def block_links(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], perc
 def _compare_blocks(members: DataFrame, docs: DataFrame, shingle: int, percent: int, chunk: int) -> DataFrame:
     """Candidate links (a, b) in large nodes (node, size, id, c): each is cut in chunks, and pairs of chunks are compared whole."""
 
+    @lean
     def sets(batches):
         for batch in slices(batches):
             out = []
@@ -275,6 +283,7 @@ def _compare_blocks(members: DataFrame, docs: DataFrame, shingle: int, percent:
     x = x.distinct().select("node", F.least("k", "o").alias("lo"), F.greatest("k", "o").alias("hi"), "id", "c").join(own, "id")
     x = x.select("node", "lo", "hi", "id", "c", "own").repartition("node", "lo", "hi").sortWithinPartitions("node", "lo", "hi")
 
+    @lean
     def run(batches):
         held: list[tuple] = []
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import lean, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SIGN = "▁"
@@ -200,6 +200,7 @@ def _with_column(docs: DataFrame, source: str, out: str, kind: str, arrow: pa.Da
     kept = [c for c in docs.columns if c != out or c == source]
     at = kept.index(source)
 
+    @lean
     def run(batches):
         codec = codec_for(vocabulary.value, name)
         for part in slices(batches, 200):
@@ -232,6 +233,7 @@ def encode_and_check(docs: DataFrame, model: str = MODEL, key: str = "doc_id", k
     vocabulary, name = _shared(docs.sparkSession, model)
     schema = f"{key} long, n_tokens long, n_byte_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * keep_ids
 
+    @lean
     def run(batches):
         codec = codec_for(vocabulary.value, name)
         is_byte = np.zeros(len(codec.bytes_of), dtype=bool)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, slices, stash
+from .common import WORD, lean, slices, stash
 
 WORDS = re.compile(WORD)
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
@@ -45,7 +45,7 @@ _STEP, _MIX = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
 #: Probability of a symbol that was never seen, before back-off.
 _NOVEL = 1.0 / 65536
 #: Symbols of one text that are looked at at once, at most, and those of several texts together.
-_LONG, _TOGETHER = 2_000_000, 300_000
+_LONG, _TOGETHER = 200_000, 300_000
 #: Steps of log perplexity in which quantiles are read off.
 _GRID = 0.001
 
@@ -76,13 +76,12 @@ def base_counts(text: str | None) -> tuple[list[str], int, int, int, int]:
 
 def _pieces(text: str, order: int):
     """(symbols before, part, symbol after) of a text in parts of ``_LONG`` symbols at most."""
-    before = " " * (order - 1)
-    while len(text) > _LONG:
-        part, text = text[:_LONG], text[_LONG:]
-        yield before, part, ""
-        before = _SPACES.sub(" ", before[-1] + part)[1:] if len(part) > 2 * order else part
-        before = (" " * (order - 1) + before)[-(order - 1) :]
-    yield before, text, " "
+    pad = " " * (order - 1)
+    before = pad
+    for at in range(0, max(len(text), 1), _LONG):
+        part, last = text[at : at + _LONG], at + _LONG >= len(text)
+        yield before, part, " " if last else ""
+        before = (pad + _SPACES.sub(" ", before + part))[-len(pad) :]
 
 
 def symbols(parts: list[tuple[str, str, str]], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,6 +231,7 @@ def count_ngrams(docs: DataFrame, order: int, across: bool = True) -> DataFrame:
     With ``across`` these run over words; else each word begins after ``order - 1`` spaces, whatever was before it.
     """
 
+    @lean
     def run(batches):
         counts = _Counts(order, across)
 
@@ -253,13 +253,14 @@ def count_ngrams(docs: DataFrame, order: int, across: bool = True) -> DataFrame:
                 for part in _pieces(text, order) if text else ():
                     by.setdefault(lang, []).append(part)
                     size[lang] += len(part[1])
-                    if size[lang] > 3 * _TOGETHER:
+                    if size[lang] > _TOGETHER:
                         del size[lang]
                         yield from blocks(counts.add(lang, by.pop(lang)))
             for lang, parts in by.items():
                 yield from blocks(counts.add(lang, parts))
         yield from blocks(counts.flush())
 
+    @lean
     def add_up(batches):
         """Rows come sorted by language and bucket; one bucket is held at a time."""
         key, held, size = None, [], 0
@@ -533,20 +534,22 @@ def score(docs: DataFrame, model: DataFrame, order: int, key: str = "doc_id", br
     def tid(text: str) -> bytes:
         return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
+    @lean
     def run(batches):
         for batch in slices(batches):
-            base = [base_counts(t) for t in batch.column(2).to_pylist()]
+            base = [(len(words), *rest_) for words, *rest_ in map(base_counts, batch.column(2).to_pylist())]
             total, lost = np.zeros(len(base)), np.zeros(len(base), dtype=np.int64)
             for _, _, _, _, doc, lp, missing in placed(batch):
                 total += np.bincount(doc, weights=np.where(missing, 0.0, lp), minlength=len(base))
                 lost += np.bincount(doc[missing], minlength=len(base))
             ids = [None] * len(base) if every else [tid(t or "") for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array([len(b[0]) for b in base], pa.int64())]
+                [batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array([b[0] for b in base], pa.int64())]
                 + [pa.array([b[i] for b in base], pa.int64()) for i in (1, 2, 3, 4)] + [pa.array(total), pa.array(lost)],
                 names=[key, "lang", "tid", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lp", "n_missing"],
             )
 
+    @lean
     def rest(batches):
         """(lang, tid, gram, n): n-grams that workers don't hold."""
         for batch in slices(batches):

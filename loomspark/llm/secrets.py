@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -82,6 +82,7 @@ def corpus_words(docs: DataFrame, dictionary: int, text: str = "text", least: in
     than ``least`` times are nobody's guess.
     """
 
+    @lean
     def run(batches):
         n: Counter[str] = Counter()
 
@@ -219,6 +220,7 @@ def find(docs: DataFrame, key: str = "doc_id", min_cost: float = 10.0, dictionar
     schema = f"{key} long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
     words = _dictionary(docs, "text", dictionary)
 
+    @lean
     def run(batches):
         ranks = Ranks(words.value)
         for batch in slices(batches):
@@ -235,6 +237,7 @@ def redacted(docs: DataFrame, text: str = "text", min_cost: float = 10.0, mark:
     words = _dictionary(docs, text, dictionary)
 
     @F.pandas_udf("string")
+    @lean
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ranks = Ranks(words.value)
         for texts in parts:

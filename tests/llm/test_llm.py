@@ -316,6 +316,8 @@ def test_long_texts_are_cut_without_a_trace(monkeypatch):
             out.update(tuple(codes[a - 4 : a + 1].tolist()) for a in at.tolist())
         return out
     assert grams(700) == grams(13) == grams(10**6)
+    text = "one" + " " * 50 + "two"  # white space that fills whole parts keeps what is before it
+    assert grams(700) == grams(7)
 
 
 def test_order_of_words_counts(spark):
