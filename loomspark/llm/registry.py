@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load
+from .oracles import codes_sql, containment_sql, repair_sql
 
 
 def op1_mix_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +80,24 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_check(load(spark, sf_dir, "documents"))
 
 
+def op11_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codes import compress
+
+    return compress(load(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_prefix_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .containment import find
+
+    return find(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import repair_damaged
+
+    return repair_damaged(load(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_mix_sainte_lague": op1_mix_sainte_lague,
     "op2_toxicity_deobfuscated": op2_toxicity_deobfuscated,
@@ -90,6 +109,9 @@ QUERIES = {
     "op8_shard_hypergeometric": op8_shard_hypergeometric,
     "op9_secret_spans": op9_secret_spans,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_annular_codes": op11_annular_codes,
+    "op12_prefix_containment": op12_prefix_containment,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 
@@ -111,4 +133,9 @@ def _op6_sql() -> str:
     SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} {patterns} ELSE 'allow' END AS verdict FROM p"""
 
 
-ORACLE_SQL = {"op6_url_rules": _op6_sql()}
+ORACLE_SQL = {
+    "op6_url_rules": _op6_sql(),
+    "op11_annular_codes": codes_sql(),
+    "op12_prefix_containment": containment_sql(),
+    "op13_conversation_repair": repair_sql(),
+}
