@@ -7,17 +7,19 @@ so one shingle of a window, its prefix, is enough to find every place: the rares
 one in the documents, counted over all of them. A window with a shingle that no
 document has is out at once.
 
-1. Every document's shingles are joined with the shingles of all windows (by 64-bit
-   hash; the shingles of windows are broadcast while they are few): ``places``.
+1. Every document's shingles are joined with the shingles of all windows, by 64-bit
+   hash and then word for word (the shingles of windows are broadcast while they are
+   few). What remains are ``places``, and for each document a row of its own with its
+   number of words: the only scan of the texts.
 2. Counts by shingle give each window's prefix.
 3. Places of prefix shingles give candidate positions of windows; those that would
-   begin before the text or end behind it go (positional and length bounds).
-4. Candidates meet their document's words again and are compared word for word, so
-   a shared hash never makes a hit.
+   begin before the text or end behind it go (length and positional bounds).
+4. A candidate is a hit if the shingles that cover its window word by word (every
+   fifth, and the last) are all among the places of the text where they have to be.
 
 Documents of one text share their work: places are kept once for each text (its
-SHA-256), so a group of copies costs no more than its own scan. No step gathers more
-than one document's own places.
+SHA-256), so a group of copies costs no more than its own scan. All joins behind the
+scan have (text, position) as key; no step gathers more than one text's own hits.
 
 Odd input. Null and empty texts have no words, no hits and no items; an item without
 words has no window. Items of one text share windows; each counts. Rows of a
@@ -27,7 +29,7 @@ ones not at all. Empty tables give no rows, or clean ones. Extra columns are ign
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, stash
@@ -45,18 +47,19 @@ def words(text: str | Column) -> Column:
     return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, GAP))
 
 
-def _marks(col: str, size: int) -> Column:
-    """A 64-bit hash for each word: of the shingle of ``size`` words that begins there (the last ones are cut short)."""
-    hashes = F.transform(F.sequence(F.lit(0), F.size(col) - 1), lambda i: F.xxhash64(*(F.get(F.col(col), i + k) for k in range(size))))
-    return F.when(F.size(col) > 0, hashes).otherwise(F.array().cast("array<bigint>"))
+def _marks(size: int) -> Column:
+    """A 64-bit hash for each word of ``_w``: of the shingle of ``size`` words that begins there (the last ones are cut short)."""
+    hashes = F.transform(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: F.xxhash64(*(F.get(F.col("_w"), i + k) for k in range(size))))
+    return F.when(F.size("_w") > 0, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
-def _places(rows: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
-    """(keep, size, at, mark) of the shingles of ``_w`` of all sizes, in one scan."""
-    marks = F.flatten(F.array(*(_marks("_w", s) for s in sizes))) if len(sizes) > 1 else _marks("_w", sizes[0])
-    out = rows.select(*keep, F.size("_w").alias("_n"), F.posexplode(marks).alias("_p", "mark"))
-    size = F.element_at(F.array(*map(F.lit, sizes)), (F.floor(F.col("_p") / F.col("_n")) + 1).cast("int"))
-    return out.select(*keep, "_n", size.alias("size"), (F.col("_p") % F.col("_n")).alias("at"), "mark") if len(sizes) > 1 else out.select(*keep, "_n", F.lit(sizes[0]).alias("size"), F.col("_p").alias("at"), "mark")
+def _shingles(rows: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
+    """(keep, _w, _n, size, at, mark) of the shingles of ``_w`` of all sizes, and one row of size 0 and mark 0 behind them."""
+    marks = F.concat(*(_marks(s) for s in sizes), F.array(F.lit(0).cast("long")))
+    out = rows.select(*keep, "_w", F.size("_w").alias("_n"), F.posexplode(marks).alias("_p", "mark"))
+    block = F.when(F.col("_n") == 0, len(sizes)).otherwise((F.col("_p") / F.greatest("_n", F.lit(1))).cast("int"))
+    size = F.element_at(F.array(*map(F.lit, [*sizes, 0])), block + 1)
+    return out.select(*keep, "_w", "_n", size.alias("size"), (F.col("_p") % F.greatest("_n", F.lit(1))).alias("at"), "mark")
 
 
 def _small(df: DataFrame, *texts: str | Column) -> DataFrame:
@@ -72,7 +75,7 @@ def windows(items: DataFrame, key: str, text: str, window: int, shingle: int) ->
     cut = items.select(F.col(key).cast("string").alias("item"), words(text).alias("_w")).filter(F.size("_w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - (window - 1), F.lit(1)))
     each = cut.select("item", F.explode(F.transform(starts, lambda i: F.slice("_w", i, F.lit(window)))).alias("words"))
-    each = each.select(F.sha2(F.concat_ws(" ", "words"), 256).alias("window"), "words", F.size("words").alias("n_words"), "item").distinct()
+    each = each.select(F.unhex(F.sha2(F.concat_ws(" ", "words"), 256)).alias("window"), "words", F.size("words").alias("n_words"), "item").distinct()
     return each.withColumn("size", F.least("n_words", F.lit(shingle)))
 
 
@@ -83,39 +86,41 @@ def find(
     items = stash(windows(items, item_key, item_text, window, shingle), "item-windows")
     wins = items.select("window", "words", "n_words", "size").dropDuplicates(["window"])
     sizes = sorted(r[0] for r in wins.select("size").distinct().collect())  # as many as a shingle has words at most
-    rows = docs.select(F.col(key).alias("_id"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("_text"), words(text).alias("_w"))
+    rows = docs.select(F.col(key).alias("_id"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("_text"), words(text).alias("_w"))
     if not sizes:
         return _report(rows.select("_id", "_text", F.size("_w").cast("long").alias("n_words")), None, key)
 
-    marks = _places(wins.select("window", "n_words", F.col("size").alias("_s"), F.col("words").alias("_w")), sizes, "window", "n_words", "_s")
+    here = F.slice("_w", F.col("at") + 1, F.col("size"))
+    marks = _shingles(wins.select("window", "n_words", F.col("size").alias("_s"), F.col("words").alias("_w")), sizes, "window", "n_words", "_s")
     marks = marks.filter((F.col("size") == F.col("_s")) & (F.col("at") + F.col("size") <= F.col("n_words")))
-    marks = stash(marks.select("window", "n_words", "size", F.col("at").alias("offset"), "mark"), "window-shingles")
-    known = _small(stash(marks.select("size", "mark").distinct(), "known-shingles"))
-    places = stash(_places(rows, sizes, "_text").join(known, ["size", "mark"]).distinct(), "places")
-
-    often = stash(places.groupBy("size", "mark").agg(F.count("*").alias("often")), "shingle-counts")
-    rarest = F.min(F.struct("often", "offset", "mark")).alias("least")
-    ranked = marks.join(_small(often), ["size", "mark"], "left").withColumn("often", F.coalesce("often", F.lit(0)))
+    marks = marks.select("window", "n_words", "size", F.col("at").alias("offset"), "mark", here.alias("said"))
+    marks = stash(marks.withColumn("shingle", F.unhex(F.sha2(F.concat_ws(" ", "said"), 256))), "window-shingles")
+    own = marks.limit(1).select(F.lit(0).alias("size"), F.lit(0).cast("long").alias("mark"), F.array().cast("array<string>").alias("said"), F.lit(None).cast("binary").alias("shingle"))
+    known = stash(marks.select("size", "mark", "said", "shingle").distinct().unionByName(own), "known-shingles")
+    met = _shingles(rows, sizes, "_id", "_text").join(_small(known, "said"), ["size", "mark"]).filter((F.col("size") == 0) | (here == F.col("said")))
+    met = stash(met.select("_id", "_text", "_n", "size", "at", "shingle"), "places")
+    places = stash(met.filter("size > 0").select("_text", "_n", "at", "shingle").distinct(), "text-places")
+
+    often = stash(places.groupBy("shingle").agg(F.count("*").alias("often")), "shingle-counts")
+    rarest = F.min(F.struct("often", "offset", "shingle")).alias("least")
+    ranked = marks.join(_small(often), "shingle", "left").withColumn("often", F.coalesce("often", F.lit(0)))
     prefix = ranked.groupBy("window", "n_words", "size").agg(rarest).filter("least.often > 0")
-    prefix = _small(stash(prefix.select("window", "n_words", "size", "least.offset", "least.mark"), "prefixes"))
-    start = F.col("at") - F.col("offset")
-    near = places.join(prefix, ["size", "mark"]).select("_text", "_n", start.alias("start"), "window", "n_words")
-    near = near.filter((F.col("start") >= 0) & (F.col("start") + F.col("n_words") <= F.col("_n")))
-    texts = near.join(_small(stash(wins.select("window", "words"), "window-words"), "words"), "window")
-    texts = texts.groupBy("_text").agg(F.collect_list(F.struct("start", "n_words", "words", "window")).alias("_near"))
-    texts = stash(texts, "candidates").withColumnRenamed("_text", "_of")
-
-    verified = F.filter("_near", lambda c: F.slice(F.col("_w"), c["start"] + 1, c["n_words"]) == c["words"])
-    hits = F.transform(verified, lambda c: F.struct(c["start"].alias("start"), c["n_words"].alias("n_words"), c["window"].alias("window")))
-    met = rows.join(_small(texts, "_near"), F.col("_text") == F.col("_of"), "left")
-    met = stash(met.select("_id", "_text", F.size("_w").cast("long").alias("n_words"), hits.alias("hits")), "verified")
-    once = met.filter(F.size("hits") > 0).dropDuplicates(["_text"])
-    hit = once.select("_text", F.explode(F.array_distinct(F.flatten(F.transform("hits", lambda c: F.sequence(c["start"], c["start"] + c["n_words"] - 1))))))
-    hit = hit.groupBy("_text").agg(F.count("*").alias("n_hit"))
-    named = once.select("_text", F.explode(F.array_distinct(F.col("hits.window"))).alias("window"))
-    named = named.join(_small(stash(items.filter(F.col("item").isNotNull()).select("window", "item").distinct(), "window-items")), "window")
-    named = named.select("_text", "item").distinct().groupBy("_text").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    return _report(met.select("_id", "_text", "n_words"), stash(hit.join(named, "_text", "left"), "hit-texts"), key)
+    prefix = _small(stash(prefix.select("window", "n_words", "least.offset", "least.shingle"), "prefixes"))
+    near = places.join(prefix, "shingle").select("_text", "_n", (F.col("at") - F.col("offset")).alias("start"), "window", "n_words")
+    near = near.filter((F.col("start") >= 0) & (F.col("start") + F.col("n_words") <= F.col("_n"))).drop("_n")
+    cover = marks.filter((F.col("offset") % F.col("size") == 0) | (F.col("offset") + F.col("size") == F.col("n_words")))
+    cover = _small(stash(cover.select("window", "offset", "shingle", F.count("*").over(Window.partitionBy("window")).alias("_all")), "covers"))
+    asked = near.join(cover, "window").select("_text", "start", "window", "n_words", "_all", (F.col("start") + F.col("offset")).alias("at"), "shingle")
+    there = asked.join(places.select("_text", "at", "shingle"), ["_text", "at", "shingle"]).groupBy("_text", "start", "window", "n_words", "_all").agg(F.count("*").alias("_found"))
+    hits = stash(there.filter("_found = _all").select("_text", "start", "window", "n_words"), "hits")
+
+    spots = hits.select("_text", "start", "n_words").distinct().select("_text", F.explode(F.sequence("start", F.col("start") + F.col("n_words") - 1)).alias("at"))
+    n_hit = spots.distinct().groupBy("_text").agg(F.count("*").alias("n_hit"))
+    owners = _small(stash(items.filter(F.col("item").isNotNull()).select("window", "item").distinct(), "window-items"), "item")
+    named = hits.select("_text", "window").distinct().join(owners, "window").select("_text", "item").distinct()
+    named = named.groupBy("_text").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    every = met.filter("size = 0").select("_id", "_text", F.col("_n").cast("long").alias("n_words"))
+    return _report(every, stash(n_hit.join(named, "_text", "left"), "hit-texts"), key)
 
 
 def _report(rows: DataFrame, hits: DataFrame | None, key: str) -> DataFrame:
