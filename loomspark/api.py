@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .operators import drift, models, recall, resume, select, state
-from .plans import assemble
+from .plans import assemble, context
 from .sources import files
 
 
@@ -25,6 +25,11 @@ class ContextEngine:
         """K1: one memory block for each session, within the budget."""
         return assemble.recall_blocks(self.memories.select("session_id", "id", "content", "score"), budget)
 
+    def assemble(self, turns: DataFrame, hits: DataFrame, history: DataFrame, cards: DataFrame, outside: DataFrame, budget: int = 4000) -> DataFrame:
+        """K1 in full: the context of every turn, with drift taken from the engine's own messages."""
+        scores = drift.drift(self.messages.withColumn("turn", F.floor(F.col("idx") / 2)))
+        return context.assemble(context.gather(turns, hits, history, cards, outside, scores, drift.alerts(scores), budget), budget)
+
     def compact(self, keep: int = 20) -> tuple[DataFrame, DataFrame]:
         """K2: kept messages and summaries of the others."""
         return assemble.compact(self.messages, keep)

@@ -251,6 +251,27 @@ def media_refs(text: Column) -> Column:
     return F.transform(urls, lambda u: F.struct(u.alias("url"), kind(u).alias("kind")))
 
 
+#: Kinds of media by the end of a url, a query of up to 200 characters included.
+MEDIA_URLS = {"image": r"(?i)\.(png|jpg|jpeg|gif|webp|svg|bmp)(\?\S{0,200})?$", "audio": r"(?i)\.(mp3|wav|ogg|flac|aac|m4a)(\?\S{0,200})?$", "video": r"(?i)\.(mp4|webm|avi|mov|mkv)(\?\S{0,200})?$"}
+
+
+def media_references(text: Column) -> Column:
+    """(kind, url, description) of a text's media, in order: an embedded image, urls by their end, markdown images."""
+    item = lambda kind, url, said: F.struct(kind.alias("kind"), url.alias("url"), said.alias("description"))
+    last = lambda u: F.element_at(F.split(u, "/"), -1)
+    null = F.lit(None).cast("string")
+    form = F.regexp_extract(text, r"(?i)data:image/(png|jpeg|gif|webp);base64,", 1)
+    data = F.when(form != "", F.array(item(F.lit("image"), null, F.concat(F.lit("[Image: "), F.upper(form), F.lit(" format, base64 encoded]")))))
+    urls = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)\bhttps?://\S+"), F.lit(0)), lambda u: F.regexp_replace(u, r"[.,;)\]}>\"']+$", ""))
+    kind = lambda u: F.when(u.rlike(MEDIA_URLS["image"]), "image").when(u.rlike(MEDIA_URLS["audio"]), "audio").when(u.rlike(MEDIA_URLS["video"]), "video")
+    title = lambda u: F.when(u.rlike(MEDIA_URLS["image"]), "[Image URL: ").when(u.rlike(MEDIA_URLS["audio"]), "[Audio: ").otherwise("[Video: ")
+    linked = F.transform(F.filter(urls, lambda u: kind(u).isNotNull()), lambda u: item(kind(u), u, F.concat(title(u), last(u), F.lit("]"))))
+    shown = F.regexp_extract_all(text, F.lit(r"!\[[^\]]{0,200}\]\(([^)]{0,500})\)"), F.lit(1))
+    pictures = F.transform(shown, lambda u: item(F.lit("image"), u, F.concat(F.lit("[Image: "), F.when(last(u) == "", "embedded").otherwise(last(u)), F.lit("]"))))
+    empty = F.array().cast("array<struct<kind:string,url:string,description:string>>")
+    return F.concat(F.coalesce(data, empty), F.coalesce(linked, empty), F.coalesce(pictures, empty))
+
+
 # --- message parts, predicates, styles ------------------------------------------------------------
 
 REASONING = {"code-generation": "chain-of-thought", "code-review": "tree-of-thoughts", "code-debugging": "tree-of-thoughts", "architecture-design": "graph-of-thoughts", "data-analysis": "chain-of-thought", "documentation": "direct", "testing": "tree-of-thoughts", "deployment": "direct", "security-audit": "graph-of-thoughts", "refactoring": "chain-of-thought", "quick-answer": "direct", "creative-writing": "tree-of-thoughts"}
