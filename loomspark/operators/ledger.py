@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import fold
+
 
 def cost_summary(ledger: DataFrame, by: list[str] | None = None, since: int | None = None, until: int | None = None, version: str | None = None) -> DataFrame:
     """one row for each group: count, tokens in and out, saved, mean known share, window, versions."""
@@ -58,15 +61,18 @@ def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: list[str])
     return x.select(*left.columns, *[F.col(f"_last.{c}").alias(f"last_{c}") for c in value])
 
 
-def cooldown(df: DataFrame, by: list[str], at: str, wanted: Column, cap: int = 5, wait_ms: int = 300_000) -> DataFrame:
-    """Adds ``accepted`` to an array per group: a wanted row is accepted unless the cap is reached or the last accepted one is too near.
+def accepted(df: DataFrame, by: list[str], at: str, wanted: Column, cap: int = 5, wait_ms: int = 300_000) -> DataFrame:
+    """The wanted rows that are accepted: the cap is not reached, and the last accepted one is not too near.
 
-    Each decision depends on the last accepted one, so this is an ordered fold.
+    Each decision depends on the last accepted one: an ordered fold, linear in the rows of a group.
     """
-    x = df.filter(wanted).groupBy(*by).agg(F.array_sort(F.collect_list(F.col(at))).alias("times"))
-    zero = F.expr("cast(array() as array<bigint>)")
-    step = lambda a, t: F.when((F.size(a) < cap) & ((F.size(a) == 0) | (t - F.element_at(F.when(F.size(a) == 0, F.array(t)).otherwise(a), -1) >= wait_ms)), F.concat(a, F.array(t))).otherwise(a)
-    return x.select(*by, F.aggregate("times", zero, step).alias("accepted"))
+    x = df.filter(wanted).withColumn("_at", F.col(at).cast("long"))
+    return fold.ordered_fold(x, by, ["_at"], ["_at"], lambda: fold.Cooldown(cap, wait_ms), {"_ok": ("boolean", pa.bool_())}).filter("_ok").drop("_at", "_ok")
+
+
+def cooldown(df: DataFrame, by: list[str], at: str, wanted: Column, cap: int = 5, wait_ms: int = 300_000) -> DataFrame:
+    """The accepted times of each group as one array (``accepted``), ``cap`` at most."""
+    return accepted(df, by, at, wanted, cap, wait_ms).groupBy(*by).agg(F.array_sort(F.collect_list(F.col(at))).alias("accepted"))
 
 
 def armed(turns: DataFrame, by: list[str], turn: str, fired: str, n: int = 3) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import budget
 from ..functions.text import ACTION_WORDS, STATE_WORDS, has_words
+from . import fold
 
 OUTCOMES = ("pass", "rejected", "degraded", "notMeasured")
 
@@ -59,23 +61,14 @@ def ema(df: DataFrame, by: list[str], order: str, value: str, rate: float = 0.3)
 def allocate(turns: DataFrame, by: list[str], order: str, total: str, task: str, drift: str, rate: float = 0.3, least_base: int = 1000, least_buffer: int = 400) -> DataFrame:
     """C11: (by..., order, base, cross, ci, buffer) of every turn: the task's profile, shifted by quality, and moved from the last turn's share by ``rate``.
 
-    Each allocation depends on the last one, so it is an ordered fold over one array for each group.
+    Each allocation depends on the last one: an ordered fold, linear in the turns of a group.
     """
     share = lambda i: budget.lookup(F.col(task), {k: float(v[i]) for k, v in budget.PROFILES.items()}, float(budget.PROFILES["unknown"][i]))
     shifted = budget.budget_shift(share(0), share(3), share(1), share(2), budget.quality_adjustment(1.0 - F.col(drift)))
-    item = F.struct(F.col(order).alias("o"), F.col(total).cast("double").alias("total"), shifted["base"].cast("double").alias("pct"), share(1).alias("cross"), share(2).alias("ci"))
-    x = turns.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    first = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("base"))
-
-    def step(a, r):
-        pct = F.when(a["last"].isNull(), r["pct"]).otherwise(a["last"] + rate * (r["pct"] - a["last"]))
-        base = F.greatest(F.lit(float(least_base)), budget.round_half(r["total"] * pct / 100).cast("double"))
-        return F.struct((base / r["total"] * 100).alias("last"), base.alias("base"))
-
-    states = F.slice(F.aggregate("items", F.array(first), lambda a, r: F.concat(a, F.array(step(F.element_at(a, -1), r)))), 2, F.size("items"))
-    rows = x.select(*by, F.explode(F.arrays_zip("items", states.alias("s"))).alias("r"))
-    cross, ci = (budget.round_half(F.col("r.items.total") * F.col(f"r.items.{c}") / 100) for c in ("cross", "ci"))
-    out = rows.select(*by, F.col("r.items.o").alias(order), F.col("r.items.total").alias("_t"), F.col("r.s.base").cast("long").alias("base"), cross.cast("long").alias("cross"), ci.cast("long").alias("ci"))
+    x = turns.select(*by, order, F.col(total).cast("double").alias("_t"), shifted["base"].cast("double").alias("_pct"), share(1).alias("_cross"), share(2).alias("_ci"))
+    x = fold.ordered_fold(x, by, [order, "_t", "_pct"], ["_t", "_pct"], lambda: fold.Share(rate, float(least_base)), {"base": ("long", pa.int64())})
+    cross, ci = (budget.round_half(F.col("_t") * F.col(c) / 100).cast("long") for c in ("_cross", "_ci"))
+    out = x.select(*by, order, "_t", "base", cross.alias("cross"), ci.alias("ci"))
     return out.withColumn("buffer", F.greatest(F.lit(least_buffer), F.col("_t") - F.col("base") - F.col("cross") - F.col("ci")).cast("long")).drop("_t")
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import fold
+
 
 def budget_prefix(df: DataFrame, by: list[str], score: str, tokens: str, tie: str, budget: Column) -> DataFrame:
     """The longest prefix, by falling score, whose tokens fit the budget; adds ``running``."""
@@ -15,21 +18,12 @@ def budget_prefix(df: DataFrame, by: list[str], score: str, tokens: str, tie: st
 def greedy_fill(df: DataFrame, by: list[str], idx: str, score: str, tokens: str, budget: int, min_keep: int = 20) -> DataFrame:
     """Keeps the newest ``min_keep``, then older rows by falling score, skipping those that don't fit. Adds ``kept``.
 
-    The choice depends on those before it, so it is an ordered fold over one
-    array for each group; groups are sessions, which are short.
+    The choice depends on those before it: an ordered fold, linear in the rows of a group.
     """
     newest = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(idx)))
-    item = F.struct((-F.col(score)).alias("s"), F.col(idx).alias("i"), F.col(tokens).alias("t"), (newest <= min_keep).alias("new"))
-    x = df.withColumn("_item", item).groupBy(*by).agg(F.array_sort(F.collect_list("_item")).alias("items"))
-    used = F.aggregate(F.filter("items", lambda r: r["new"]), F.lit(0).cast("long"), lambda a, r: a + r["t"])
-    zero = F.struct(used.alias("used"), F.expr("cast(array() as array<bigint>)").alias("ids"))
-    step = lambda a, r: F.when(a["used"] + r["t"] <= budget, F.struct((a["used"] + r["t"]).alias("used"), F.concat(a["ids"], F.array(r["i"].cast("bigint"))).alias("ids"))).otherwise(a)
-    fold = F.aggregate(F.filter("items", lambda r: ~r["new"]), zero, step)
-    kept = x.select(*[F.col(c).alias(f"_{c}") for c in by], F.explode(F.concat(fold["ids"], F.transform(F.filter("items", lambda r: r["new"]), lambda r: r["i"].cast("bigint")))).alias("_kept"))
-    on = F.col(idx) == F.col("_kept")
-    for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return df.join(kept, on, "left").select(*df.columns, F.col("_kept").isNotNull().alias("kept"))
+    x = df.repartition(*by).withColumn("_new", newest <= min_keep)
+    out = fold.ordered_fold(x, by, [F.desc("_new"), F.desc(score), F.asc(idx)], ["_new", tokens], lambda: fold.GreedyFill(budget), {"kept": ("boolean", pa.bool_())}, dealt=True)
+    return out.drop("_new")
 
 
 def suffix_keep(df: DataFrame, by: list[str], idx: str, tokens: str, target: int, least: int = 20) -> DataFrame:
@@ -45,23 +39,11 @@ def suffix_keep(df: DataFrame, by: list[str], idx: str, tokens: str, target: int
 def chunked_fill(df: DataFrame, by: list[str], idx: str, tokens: str, budget: int, chunk: int = 100, share: float = 0.9) -> DataFrame:
     """Rows in order, ``chunk`` at a time; each is kept while its chunk's kept tokens stay within ``share`` of what is left of the budget. Adds ``chunk``, ``kept``.
 
-    Each decision depends on those before it, so it is an ordered fold over one array for each group.
+    Each decision depends on those before it: an ordered fold, linear in the rows of a group.
     """
-    item = F.struct(F.col(idx).alias("i"), F.col(tokens).cast("long").alias("t"))
-    x = df.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(float(budget)).alias("left"), F.lit(0).cast("long").alias("used"), F.lit(False).alias("kept"))
-
-    def step(a, t):
-        new = F.pmod(a["n"], F.lit(chunk)) == 0
-        left = F.when(new, a["left"] - a["used"]).otherwise(a["left"])
-        used = F.when(new, 0).otherwise(a["used"]).cast("long")
-        ok = used + t <= left * share
-        return F.struct((a["n"] + 1).alias("n"), left.alias("left"), F.when(ok, used + t).otherwise(used).cast("long").alias("used"), ok.alias("kept"))
-
-    # The states after each row: a running fold kept by its last element.
-    states = F.aggregate("items", F.array(none), lambda a, r: F.concat(a, F.array(step(F.element_at(a, -1), r["t"]))))
-    rows = x.select(*by, F.posexplode(F.arrays_zip("items", F.slice(states, 2, F.size("items")).alias("s"))).alias("pos", "r"))
-    return rows.select(*by, F.col("r.items.i").alias(idx), F.col("r.items.t").alias(tokens), F.floor(F.col("pos") / chunk).alias("chunk"), F.col("r.s.kept").alias("kept"))
+    x = df.select(*by, idx, F.col(tokens).cast("long").alias(tokens))
+    adds = {"chunk": ("long", pa.int64()), "kept": ("boolean", pa.bool_())}
+    return fold.ordered_fold(x, by, [F.asc(idx), F.asc(tokens)], [tokens], lambda: fold.ChunkedFill(budget, chunk, share), adds)
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: Column | int, rank: str = "rank") -> DataFrame:

@@ -299,8 +299,8 @@ f AS (SELECT session_id, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS n, CAST(NU
  FROM f JOIN x ON x.session_id = f.session_id AND x.r = f.r + 1)
 SELECT session_id, hit AS "at" FROM f WHERE hit IS NOT NULL""")
 def g14_cooldown(spark, d):
-    x = ledger.cooldown(t.ledger(spark, d), ["session_id"], "at", F.col("input_tokens") > 2000, cap=5, wait_ms=86_400_000)
-    return x.select("session_id", F.explode("accepted").alias("at"))
+    x = ledger.accepted(t.ledger(spark, d), ["session_id"], "at", F.col("input_tokens") > 2000, cap=5, wait_ms=86_400_000)
+    return x.select("session_id", "at")
 
 
 @query("SELECT session_id, event_id, coalesce(turn - max(CASE WHEN input_tokens > 6000 THEN turn END) OVER (PARTITION BY session_id ORDER BY turn ROWS UNBOUNDED PRECEDING) < 3, false) AS armed FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY \"at\", event_id) AS turn FROM ledger)", "ledger")
