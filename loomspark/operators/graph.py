@@ -27,21 +27,50 @@ def cross_session(mentions: DataFrame, entity: str = "entity", least: int = 2) -
     return mentions.groupBy(entity).agg(F.count_distinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("mentions")).filter(F.col("sessions") >= least)
 
 
-def dependency_chain(edges: DataFrame, start: DataFrame, most: int = 10) -> DataFrame:
-    """E5: (session_id, entity, depth): entities reached from each session's first one along session-local edges (session_id, a, b), by depth."""
-    both = edges.select("session_id", "a", "b").union(edges.select("session_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+def dependency_chain(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
+    """E5: (session_id, entity, depth): entities reached from each session's first one along session-local edges (session_id, a, b), by depth.
+
+    Frontiers are followed to the fixed point, or ``most`` steps if given; each round
+    joins the frontier alone and leaves out what has been visited.
+    """
+    both = cut(edges.select(F.col("session_id").alias("_s"), F.col("a").alias("_a"), F.col("b").alias("_b")).union(edges.select("session_id", "b", "a")).distinct())
     reached = start.select("session_id", "entity", F.lit(0).alias("depth"))
-    frontier = reached
-    for d in range(1, most + 1):
-        step = frontier.join(both, (frontier["session_id"] == both["session_id"]) & (frontier["entity"] == both["a"])).select(frontier["session_id"], F.col("b").alias("entity")).distinct()
+    frontier, d = reached, 0
+    while most is None or d < most:
+        d += 1
+        step = frontier.join(both, (F.col("session_id") == F.col("_s")) & (F.col("entity") == F.col("_a"))).select("session_id", F.col("_b").alias("entity")).distinct()
         new = cut(step.join(reached, ["session_id", "entity"], "left_anti").withColumn("depth", F.lit(d)))
         if new.isEmpty():
             break
         reached = reached.unionByName(new)
+        if d % 20 == 0:  # a long chain must not make a long plan
+            reached = cut(reached)
         frontier = new
     return reached
 
 
+def dependency_chains(mentions: DataFrame, unit: list[str], order: str = "idx") -> DataFrame:
+    """E5: (session_id, place, entity, depth, strength): the whole chain of each session.
+
+    First what co-occurrence reaches from the session's first entity, by depth and
+    first mention; then the session's other entities (depth null). The strength is the
+    number of pairs among what was reached to the length of the chain, 1 at most, and 0
+    for a session of one entity. A walk meets each pair once, so pairs are its hits.
+    """
+    first = mentions.groupBy("session_id", "entity").agg(F.min(order).alias("_at"))
+    x = mentions.select(*unit, "entity").distinct()
+    edges = x.withColumnRenamed("entity", "a").join(x.withColumnRenamed("entity", "b"), unit).filter("a < b").select("session_id", "a", "b").distinct()
+    start = first.groupBy("session_id").agg(F.min_by("entity", F.struct("_at", "entity")).alias("entity"))
+    reached = dependency_chain(edges, start)
+    hits = edges.join(reached.select("session_id", F.col("entity").alias("a")), ["session_id", "a"]).groupBy("session_id").agg(F.count(F.lit(1)).alias("_hits"))
+    chain = first.join(reached, ["session_id", "entity"], "left")
+    n = F.count(F.lit(1)).over(Window.partitionBy("session_id"))
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy(F.asc_nulls_last("depth"), "_at", "entity"))
+    strength = F.when(F.col("_n") < 2, 0.0).otherwise(F.least(F.lit(1.0), F.coalesce("_hits", F.lit(0)) / F.col("_n")))
+    chain = chain.withColumns({"_n": n, "place": place}).join(hits, "session_id", "left")
+    return chain.select("session_id", "place", "entity", "depth", F.round(strength, 6).alias("strength"))
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, by: list[str], content: str = "content", score: str = "score") -> DataFrame:
     """(by..., key, change) by a full outer join on the first 40 characters, trimmed and lower-cased."""
     key = F.lower(F.trim(F.substring(content, 1, 40)))
