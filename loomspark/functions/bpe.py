@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -35,8 +36,8 @@ def counter(spark: SparkSession, path: str = RANKS):
     return F.pandas_udf(run, "long")
 
 
-def count_distinct_texts(df: DataFrame, text: str = "content", out: str = "tokens", path: str = RANKS) -> DataFrame:
-    """Counts each different text once and joins the counts back."""
-    count = counter(df.sparkSession, path)
+def count_distinct_texts(df: DataFrame, text: str = "content", out: str = "tokens", path: str = RANKS, count: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Counts each different text once, by ``count`` or in byte pairs, and joins the counts back."""
+    count = count or counter(df.sparkSession, path)
     texts = df.select(F.col(text).alias("_t")).distinct().withColumn(out, count(F.col("_t")))
     return df.join(texts, F.col(text).eqNullSafe(F.col("_t")), "left").drop("_t")

@@ -305,10 +305,14 @@ def status_key(task: Column, stage: Column, errors: Column, fallback: Column) ->
     return F.array_join(F.filter(parts, lambda x: x != ""), " ")
 
 
-def without_scaffold(text: Column, fragments=("[Compacted History", "Topics:", "decisions:", "entities:", "general discussion")) -> Column:
-    """A summary without its template's fixed parts."""
+#: Fixed parts of summaries, which are no content.
+SCAFFOLD = ("Continue with the current task using the remaining recent context below.", "Recorded Findings:", "Workspace State:", "Next Action:", "[Compacted History")
+
+
+def without_scaffold(text: Column, fragments: tuple[str, ...] = SCAFFOLD) -> Column:
+    """A summary with a space for each fixed part of its template."""
     for f in fragments:
-        text = F.replace(text, F.lit(f), F.lit(""))
+        text = F.replace(text, F.lit(f), F.lit(" "))
     return text
 
 

@@ -41,3 +41,13 @@ def copies(items: DataFrame, by: list[str], important: str, order: list, most: i
     w = Window.partitionBy(*by).orderBy(*order)
     x = items.filter(F.col(important)).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most)
     return x.select(*by, F.substring("content", 1, clip).alias("content"), F.col("_r").alias("rank"))
+
+
+def subagent_memories(found: DataFrame, ended: DataFrame, by: list[str], order: list, most: int = 5, clip: int = 200) -> DataFrame:
+    """What a subagent leaves behind: its first ``most`` important hits, clipped and marked, if it ended by completing.
+
+    ended: (by..., reason). Those that were deleted, swept or released leave nothing.
+    """
+    done = found.join(ended.filter("reason = 'completed'").select(*by), by, "left_semi").withColumn("_important", F.lit(True))
+    x = copies(done, by, "_important", order, most, clip)
+    return x.withColumn("content", F.concat(F.lit("[subagent] "), F.coalesce("content", F.lit(""))))

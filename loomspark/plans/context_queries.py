@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import drift
+from ..operators import drift, refine
 from ..sources import tables as t
 from . import context
 from .queries import _CX, _HINTS, _PT, ORACLE_SQL, TOKENS, _hints, _turns, query
@@ -104,3 +104,28 @@ def i29_media_references(spark, d):
     m = t.messages(spark, d)
     mark = F.element_at(F.array(*map(F.lit, _MARKS)), (F.pmod(F.col("session_id") + F.col("idx"), F.lit(len(_MARKS))) + 1).cast("int"))
     return m.select("session_id", "idx", F.explode(tx.media_references(F.concat("content", mark))).alias("m")).select("session_id", "idx", "m.kind", "m.url", "m.description")
+
+
+_UNFINISHED = ("TODO: undefined TODO", "fine as it is", "work in progress, NULL and nullable", "to be continued...", "FIXME null WIP")
+
+
+def _first(text: str, pattern: str, new: str = "") -> str:
+    return f"regexp_replace({text}, '{pattern}', '{new}')"
+
+
+_REFINED = "text"
+for _p in refine.INCOMPLETE:
+    _REFINED = _first(_REFINED, _p)
+_REFINED = f"regexp_replace(regexp_replace({_REFINED}, '(?i)\\bundefined\\b', 'specified', 'g'), '(?i)\\bnull\\b', 'none', 'g')"
+
+
+@query(f"~ x AS (SELECT session_id, idx, content || ' ' || {t._pick(_UNFINISHED, 'session_id + idx')} AS text FROM messages) SELECT session_id, idx, CASE WHEN {_REFINED} = text THEN text || chr(10) || chr(10) || '[Refined based on: unclear]' ELSE {_REFINED} END AS refined FROM x", "messages")
+def j13_refined(spark, d):
+    mark = F.element_at(F.array(*map(F.lit, _UNFINISHED)), (F.pmod(F.col("session_id") + F.col("idx"), F.lit(len(_UNFINISHED))) + 1).cast("int"))
+    return t.messages(spark, d).select("session_id", "idx", refine.refine(F.concat("content", F.lit(" "), mark), F.lit("unclear")).alias("refined"))
+
+
+@query(None)
+def i27_relation_triples(spark, d):
+    m = t.messages(spark, d).select("session_id", "idx", F.explode(refine.relations(F.col("content"))).alias("r"))
+    return m.select("session_id", "idx", "r.subject", "r.predicate", "r.object")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import budget as bg
+from ..functions import bpe
 from ..functions import text as tx
 from ..operators import caches, digest, drift, gate, models, recall, reports, resume, select, signals
 from ..operators.lineage import scratch
@@ -152,9 +153,16 @@ def a14_event_emit(spark, d):
     return x.groupBy("event", F.get_json_object("payload", "$.event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("payload", "$.event_id").cast("long")).alias("ids"))
 
 
-@query("SELECT session_id, substr(content, 1, 300) AS content, rank FROM (SELECT session_id, content, row_number() OVER (PARTITION BY session_id ORDER BY idx DESC) AS rank FROM messages WHERE role = 'assistant') WHERE rank <= 10", "messages")
+@query(
+    """~ e AS (SELECT session_id, list_extract(['completed', 'deleted', 'completed', 'swept', 'released'], CAST(session_id % 5 + 1 AS INTEGER)) AS reason FROM (SELECT DISTINCT session_id FROM messages)),
+r AS (SELECT session_id, content, row_number() OVER (PARTITION BY session_id ORDER BY idx DESC) AS rank FROM messages WHERE role = 'assistant')
+SELECT session_id, '[subagent] ' || substr(content, 1, 200) AS content, rank FROM r JOIN e USING (session_id) WHERE reason = 'completed' AND rank <= 5""",
+    "messages",
+)
 def a16_subagent_merge(spark, d):
-    return recall.copies(t.messages(spark, d).withColumn("own", F.col("role") == "assistant"), ["session_id"], "own", [F.desc("idx")])
+    m = t.messages(spark, d)
+    ended = m.select("session_id").distinct().withColumn("reason", _pick(["completed", "deleted", "completed", "swept", "released"], F.col("session_id")))
+    return recall.subagent_memories(m.filter("role = 'assistant'"), ended, ["session_id"], [F.desc("idx")])
 
 
 # --- B: gate and text -----------------------------------------------------------------------------
@@ -191,9 +199,10 @@ def b11_session_hash(spark, d):
     return t.load(spark, d, "events").select("event_id", tx.session_hash(F.col("event_id") * 7919).alias("hash"))
 
 
-@query("SELECT session_id, idx, ' - 3 msgs] |  ' || content || ' ' AS text FROM messages", "messages")
+@query("SELECT session_id, idx, '  - 3 msgs]   ' || content || ' |   ok |   more  ' AS text FROM messages", "messages")
 def b14_without_scaffold(spark, d):
-    text = F.concat(F.lit("[Compacted History - 3 msgs] | Topics: "), F.col("content"), F.lit("decisions: "))
+    tail = "Continue with the current task using the remaining recent context below."
+    text = F.concat(F.lit("[Compacted History - 3 msgs] Recorded Findings: "), F.col("content"), F.lit(" | Workspace State: ok | Next Action: more "), F.lit(tail))
     return t.messages(spark, d).select("session_id", "idx", tx.without_scaffold(text).alias("text"))
 
 
@@ -486,9 +495,7 @@ def l3_stream_fill(spark, d):
 @query("SELECT DISTINCT content, length(content) AS chars FROM messages", "messages")
 def l5_batch_counts(spark, d):
     """Each distinct text is counted once, and there is a count for each."""
-    m = t.messages(spark, d)
-    once = m.select("content").distinct().withColumn("chars", F.char_length("content"))
-    return m.join(once, "content").groupBy("content").agg(F.max("chars").alias("chars"))
+    return bpe.count_distinct_texts(t.messages(spark, d), out="chars", count=F.char_length).select("content", "chars").distinct()
 
 
 @query("""~ p AS (SELECT trigger AS task, max("at") AS "at" FROM ledger GROUP BY 1), i AS (SELECT trigger AS task, max("at") AS own FROM ledger WHERE share IS NULL AND trigger IN ('click', 'view') GROUP BY 1)
