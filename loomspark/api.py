@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .operators import drift, models, recall, resume, select, state
-from .plans import assemble, context
+from .plans import assemble, compaction, context
 from .sources import files
 
 
@@ -34,6 +34,10 @@ class ContextEngine:
         """K2: kept messages and summaries of the others."""
         return assemble.compact(self.messages, keep)
 
+    def compact_to(self, windows: DataFrame | int, strategy: str = "recent") -> compaction.Compaction:
+        """K2 in full: every session brought to its share of the context window, with verdicts and the messages afterwards."""
+        return compaction.compact_to(self.messages, windows, strategy)
+
     def inject(self, budget: int = 400) -> DataFrame:
         """Messages with their session's block in front, as a system message."""
         block = self.build(budget).select("session_id", F.lit(-1).cast("long").alias("idx"), F.lit("system").alias("role"), F.col("block").alias("content"))

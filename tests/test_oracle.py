@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from loomspark.plans import chain_queries, context_queries, coverage_queries, more_queries, search_queries, session_queries, stream_queries  # noqa: F401
+from loomspark.plans import chain_queries, compaction_queries, context_queries, coverage_queries, more_queries, search_queries, session_queries, stream_queries  # noqa: F401
 from loomspark.plans import queries as plans
 
 from .conftest import SF
