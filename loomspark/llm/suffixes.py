@@ -129,19 +129,30 @@ def _flagged(rid, p, n, h=None, names=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, dtype=np.int64)) for c in (rid, p, n, zero if h is None else h, zero if names is None else names)], schema=_OUT)
 
 
-def _cover_buckets(rows: DataFrame, length: int, buckets: int) -> DataFrame:
+def text_pieces(text: bytes, size: int, length: int):
+    """(start, bytes) of pieces of ``size`` windows; they overlap by ``length - 1`` bytes, so each window is in one piece.
+
+    A run that a cut parts has another name than an uncut copy of it. Both have the
+    same cover string, so both become boundaries, and their windows are compared.
+    """
+    for at in range(0, len(text) - length + 1, size):
+        yield at, text[at : at + size + length - 1]
+
+
+def _cover_buckets(rows: DataFrame, length: int, buckets: int, piece: int) -> DataFrame:
     """Blocks of cover suffixes by bucket, each name once for a task's block; bucket -1 holds runs found to repeat on the way."""
 
     def run(batches):
         held: list[tuple] = []
-        texts, ids, size, n_held = [], [], 0, 0
+        texts, ids, starts, size, n_held = [], [], [], 0, 0
 
         def settle():
-            nonlocal texts, ids, size
+            nonlocal texts, ids, starts, size, n_held
             if texts:
                 doc, p, n, h, name = cover(texts, length)
-                held.append((np.array(ids, dtype=np.int64)[doc], p, n, h, name))
-            texts, ids, size = [], [], 0
+                held.append((np.array(ids, dtype=np.int64)[doc], p + np.array(starts, dtype=np.int64)[doc], n, h, name))
+                n_held += len(p)
+            texts, ids, starts, size = [], [], [], 0
 
         def flush():
             nonlocal held
@@ -167,16 +178,16 @@ def _cover_buckets(rows: DataFrame, length: int, buckets: int) -> DataFrame:
 
         for batch in slices(batches):
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text is not None and len(text) >= length:
-                    texts.append(text)
+                for at, part in text_pieces(text or b"", piece, length):
+                    if size + len(part) > BLOCK:
+                        settle()
+                        if n_held > 1_500_000:
+                            yield from flush()
+                            n_held = 0
+                    texts.append(part)
                     ids.append(rid)
-                    size += len(text)
-                if size >= BLOCK:
-                    settle()
-                    n_held += len(held[-1][0])
-                    if n_held > 1_500_000:
-                        yield from flush()
-                        n_held = 0
+                    starts.append(at)
+                    size += len(part)
         settle()
         yield from flush()
 
@@ -338,11 +349,16 @@ def _numbered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFram
     return rows, rows.dropDuplicates(["rid"])
 
 
-def repeated_runs(rows: DataFrame, length: int = 100, bucket_bytes: int = 4_000_000, crowd: int = 1000) -> DataFrame:
-    """(rid, p, n): runs of windows of (rid, raw) that also start earlier; they may overlap."""
+def repeated_runs(rows: DataFrame, length: int = 100, bucket_bytes: int = 4_000_000, crowd: int = 1000, piece: int = BLOCK // 2) -> DataFrame:
+    """(rid, p, n): runs of windows of (rid, raw) that also start earlier; they may overlap.
+
+    The number of buckets follows the bytes, so that a bucket is as large in any
+    corpus. Texts of more than ``piece`` windows are cut, so that a text of any
+    length is hashed in bounded memory.
+    """
     total = rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
-    buckets = int(max(16, min(65536, total // bucket_bytes)))
-    blocks = _cover_buckets(rows, length, buckets)
+    buckets = int(max(16, total // bucket_bytes))
+    blocks = _cover_buckets(rows, length, buckets, piece)
     deal = F.when(F.col("bucket") < 0, F.xxhash64("rid")).otherwise(F.col("bucket").cast("long"))
     flags = stash(_sort_buckets(blocks.withColumn("_d", deal).repartition(F.col("_d")).sortWithinPartitions("bucket").drop("_d")), "sfx-flags")
     edges = flags.filter("names > 1").groupBy("rid").agg(F.collect_list(F.struct("p", "n", "h", "names")).alias("edges"))
