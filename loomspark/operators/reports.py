@@ -82,6 +82,25 @@ def cooccurring(history: DataFrame, task: str, unit: str, key: str, k: int = 5)
     return x.filter(F.col("rank") <= k)
 
 
+def sequence_next(history: DataFrame, by: str, order: str, unit: str, key: str, k: int = 5, recent: int = 10, last: int = 3) -> DataFrame:
+    """What each ``by`` may need next: keys that share a unit with its ``last`` latest keys and are none of its ``recent`` ones; confidence 0.5 at most.
+
+    A key that is twice among the latest counts twice. Pairs are counted once for all,
+    and only those of keys that someone used last are fetched. Null keys and rows of nobody predict nothing.
+    """
+    x = history.filter(F.col(key).isNotNull())
+    latest = x.filter(F.col(by).isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order), F.desc(key)))).filter(F.col("_r") <= recent)
+    used = latest.select(by, F.col(key).alias("other")).distinct()
+    asked = latest.filter(F.col("_r") <= last).groupBy(by, F.col(key).alias("own")).agg(F.count(F.lit(1)).alias("_times"))
+    held = x.select(F.col(unit).alias("_unit"), F.col(key).alias("other")).distinct()
+    own = held.withColumnRenamed("other", "own").join(asked.select("own").distinct(), "own", "left_semi")
+    pairs = own.join(held, "_unit").filter("own <> other").groupBy("own", "other").agg(F.count(F.lit(1)).alias("_c"))
+    g = asked.join(pairs, "own").join(used, [by, "other"], "left_anti").groupBy(by, F.col("other").alias("key")).agg(F.sum(F.col("_c") * F.col("_times")).alias("n"))
+    w = Window.partitionBy(by)
+    g = g.withColumn("confidence", F.least(F.lit(0.5), F.col("n") / F.max("n").over(w))).withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "key")))
+    return g.filter(F.col("rank") <= k)
+
+
 def markdown(rows: list[dict], title: str = "") -> str:
     """A table of a few collected rows as Markdown."""
     if not rows:

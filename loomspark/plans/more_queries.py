@@ -185,6 +185,17 @@ def j21_predict_cooccurring(spark, d):
     return reports.cooccurring(h, "task", "unit", "key").withColumn("confidence", F.round("confidence", 6))
 
 
+@query("""WITH h AS MATERIALIZED (SELECT user_id, event_id, event_id // 5 AS unit, CAST(json_extract_string(props, '$.k') AS BIGINT) AS key FROM events),
+l AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM h WHERE key IS NOT NULL) WHERE r <= 10),
+u AS MATERIALIZED (SELECT DISTINCT unit, key FROM h), p AS MATERIALIZED (SELECT a.key AS own, b.key AS other, count(*) AS c FROM u a JOIN u b ON a.unit = b.unit AND a.key <> b.key GROUP BY 1, 2),
+g AS (SELECT l.user_id, p.other AS key, CAST(sum(c) AS BIGINT) AS n FROM l JOIN p ON p.own = l.key WHERE l.r <= 3 AND NOT EXISTS (SELECT 1 FROM l x WHERE x.user_id = l.user_id AND x.key = p.other) GROUP BY 1, 2),
+r AS (SELECT *, least(0.5::DOUBLE, n / max(n) OVER (PARTITION BY user_id)::DOUBLE) AS confidence, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, key) AS rank FROM g) SELECT user_id, key, n, round(confidence, 6) AS confidence, rank FROM r WHERE rank <= 5""")
+def j21_predict_sequence(spark, d):
+    key = F.get_json_object("props", "$.k").cast("long").alias("key")
+    h = t.load(spark, d, "events").select("user_id", "event_id", F.floor(F.col("event_id") / 5).alias("unit"), key)
+    return reports.sequence_next(h, "user_id", "event_id", "unit", "key").withColumn("confidence", F.round("confidence", 6))
+
+
 # --- message parts --------------------------------------------------------------------------------
 
 _LOOK = [(n, " + ".join(f"CAST(contains(lower(content), '{w}') AS INTEGER)" for w in ws)) for n, ws in tx.LOOKUP_TASK]

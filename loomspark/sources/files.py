@@ -13,7 +13,8 @@ QUALITY = "k string, at long, sessionId string, triggerReason string, summaryTex
 
 
 def read_transcript(spark: SparkSession, path: str) -> DataFrame:
-    """A1, A2: entries of JSONL transcripts with their raw line; lines that don't parse have type 'unparseable', others without a type 'unknown'."""
+    """A1, A2: entries of JSONL transcripts with their raw line; lines that don't parse have type 'unparseable', others without a type 'unknown'. An interrupted rewrite is ended first."""
+    recover(spark, path)
     lines = spark.read.text(path).filter(F.trim("value") != "").select(F.col("value").alias("raw"), F.from_json("value", ENTRY).alias("e"))
     good = F.try_parse_json("raw").isNotNull()
     kind = F.when(~good, "unparseable").otherwise(F.coalesce("e.type", F.lit("unknown")))
@@ -23,24 +24,49 @@ def read_transcript(spark: SparkSession, path: str) -> DataFrame:
 def write_transcript(parts: list[DataFrame], path: str) -> None:
     """A3: headers, digest, summary and kept lines, in that order; each part has (seq, raw).
 
-    Written beside the old transcript and then moved into its place, so a crash leaves one of the two whole.
+    Written beside the old transcript and then moved into its place. A crash at any
+    step leaves the old or the new transcript whole, and ``recover``, which reading and
+    writing call, puts it back at its path. One writer for each transcript at a time.
     """
     out = None
     for k, p in enumerate(parts):
         x = p.select(F.lit(k).alias("part"), "seq", "raw")
         out = x if out is None else out.unionByName(x)
-    out.repartitionByRange("part", "seq").sortWithinPartitions("part", "seq").select("raw").write.text(f"{path}.new")
+    recover(out.sparkSession, path)
+    out.repartitionByRange("part", "seq").sortWithinPartitions("part", "seq").select("raw").write.mode("overwrite").text(f"{path}.new")
     swap(out.sparkSession, f"{path}.new", path)
 
 
-def swap(spark: SparkSession, new: str, path: str) -> None:
-    """Move a finished folder into the place of another, if there is one."""
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the function that makes its paths."""
     at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Ends what a crash inside ``swap`` left open: the new folder takes the path if its write had ended, else the old one comes back."""
+    fs, at = _files(spark, path)
+    if fs.exists(at(path)) or not fs.exists(at(f"{path}.old")):
+        return
+    left = f"{path}.new" if fs.exists(at(f"{path}.new/_SUCCESS")) else f"{path}.old"
+    if not fs.rename(at(left), at(path)) and not fs.exists(at(path)):
+        raise OSError(f"cannot move {left} to {path}")
+
+
+def swap(spark: SparkSession, new: str, path: str) -> None:
+    """Move a finished folder into the place of another, if there is one; between the two moves ``recover`` knows both."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at(new)):
+        raise FileNotFoundError(new)
+    old = f"{path}.old"
     if fs.exists(at(path)):
-        fs.rename(at(path), at(f"{path}.old"))
-    fs.rename(at(new), at(path))
-    fs.delete(at(f"{path}.old"), True)
+        if fs.exists(at(old)):  # left by a crash after the second move
+            fs.delete(at(old), True)
+        if not fs.rename(at(path), at(old)):
+            raise OSError(f"cannot move {path} to {old}")
+    if not fs.rename(at(new), at(path)) and (fs.exists(at(new)) or not fs.exists(at(path))):  # a reader may have done it
+        raise OSError(f"cannot move {new} to {path}")
+    fs.delete(at(old), True)
 
 
 def ingestable(messages: DataFrame, least: int = 20, heartbeat: str = "HEARTBEAT") -> DataFrame:
