@@ -5,7 +5,9 @@ the costly steps. The cut of the ``recent`` strategy works on blocks of ``BLOCK`
 places: their totals give each block what lies behind it, so the rows of one
 long session spread over many tasks. The ``semantic`` strategy decides message by
 message and is an ordered fold. Summaries hold bounded lists, found by aggregates
-and ranks that are cut before the shuffle; no session's texts are collected.
+and ranks that are cut before the shuffle; no session's texts are collected. The
+decided rows of the sessions above their target are stored once (``lineage.cut``),
+since the verdict, each list of the summary and the messages afterwards read them.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import fold, quality
+from ..operators.lineage import cut as cut_lineage
 from ..operators.select import top_k
 
 #: Share of the context window that messages may take.
@@ -170,7 +173,7 @@ def compact_to(messages: DataFrame, windows: DataFrame | int, strategy: str = "r
     totals = _totals(x, windows, share, by)
     above = totals.filter("tokens_before > target").select(F.col(by).alias("_by"), "target")
     rows = x.filter("not derived").join(above, F.col(by).eqNullSafe(F.col("_by"))).drop("_by", "derived")
-    rows = _cut_recent(rows, by, min_keep) if strategy == "recent" else _cut_semantic(rows, by, min_keep)
+    rows = cut_lineage(_cut_recent(rows, by, min_keep) if strategy == "recent" else _cut_semantic(rows, by, min_keep))
     cut = rows.groupBy(by).agg(F.count(F.when(~F.col("kept"), 1)).alias("removed"), F.sum(F.when(F.col("kept"), F.col("tokens")).otherwise(0)).alias("_kept_tokens"))
     cut = _joined(cut, (_summary_recent if strategy == "recent" else _summary_semantic)(rows, by), by)
     s = _joined(totals, cut, by)
