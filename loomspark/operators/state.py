@@ -87,15 +87,23 @@ def merge_decisions(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
 
 
 def theme_keywords(messages: DataFrame, by: list[str], text: str = "content", most: int = 5) -> DataFrame:
-    """(by..., word, n): latin words of three letters and more and pairs of CJK characters; twice at least unless the session has CJK."""
-    latin = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: (F.char_length(w) >= 3) & ~w.isin(STOP))
-    chars = F.regexp_replace(text, "[^\\u4e00-\\u9fff\\u3400-\\u4dbf\\uf900-\\ufaff]", "")
-    pairs = F.when(F.char_length(chars) >= 2, F.transform(F.sequence(F.lit(1), F.char_length(chars) - 1), lambda i: F.substring(chars, i, 2))).otherwise(F.expr("cast(array() as array<string>)"))
-    x = messages.select(*by, F.explode(F.concat(latin, pairs)).alias("word"), (F.char_length(chars) > 0).alias("cjk"))
-    cjk = x.groupBy(*by).agg(F.bool_or("cjk").alias("any_cjk"))
-    g = x.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("n")).join(cjk, by).filter(F.col("n") >= F.when(F.col("any_cjk"), 1).otherwise(2))
-    w = Window.partitionBy(*by).orderBy(F.desc("n"), "word")
-    return g.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).select(*by, "word", "n")
+    """(by..., word, n): latin words of three letters and more and pairs of CJK characters; twice at least unless the session has CJK.
+
+    Each text is read once for its words and once for its CJK characters, whatever their number: what is taken apart
+    inside a lambda would be taken apart again for each of them.
+    """
+    latin = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.char_length(w) >= 3)
+    chars = F.regexp_extract_all(text, F.lit("[\\u4e00-\\u9fff\\u3400-\\u4dbf\\uf900-\\ufaff]"), F.lit(0))
+    # shifted by one, the last place has no second character and gives null; "" stands for the CJK of a text
+    pairs = F.zip_with(chars, F.slice(F.concat(chars, F.array(F.lit(None).cast("string"))), F.lit(2), F.size(chars)), lambda a, b: F.concat(a, b))
+    mark = F.when(F.size(chars) > 0, F.array(F.lit(""))).otherwise(F.expr("cast(array() as array<string>)"))
+    x = messages.select(*by, F.explode_outer(F.concat(latin, pairs, mark)).alias("word")).filter(F.col("word").isNotNull() & ~F.col("word").isin(STOP))
+    g = x.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*by)
+    g = g.withColumn("any_cjk", F.max(F.col("word") == "").over(w)).filter("word <> ''")
+    # rarer words come last, so that the best are the same with and without them
+    g = g.withColumn("r", F.row_number().over(w.orderBy(F.desc("n"), "word"))).filter((F.col("r") <= most) & (F.col("any_cjk") | (F.col("n") >= 2)))
+    return g.select(*by, "word", "n")
 
 
 def summaries(messages: DataFrame, by: list[str]) -> DataFrame:
