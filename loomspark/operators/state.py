@@ -25,12 +25,17 @@ def _matches(messages: DataFrame, pattern: str, group: int, by: list[str], idx:
     return messages.select(*by, idx, F.posexplode(found).alias("pos", "value"))
 
 
+def _ranked(messages: DataFrame, patterns, by: list[str], idx: str, text: str) -> DataFrame:
+    """(by..., idx, rank, pos, value): matches of several (pattern, group) out of one reading of the messages; rank is the pattern's place."""
+    of = lambda rank, p, group: F.transform(F.regexp_extract_all(text, F.lit(js(p)), F.lit(group)), lambda v, i: F.struct(F.lit(rank).alias("rank"), i.alias("pos"), v.alias("value")))
+    found = F.explode_outer(F.concat(*[of(rank, p, group) for rank, (p, group) in enumerate(patterns)])).alias("_m")
+    return messages.select(*by, idx, found).filter("_m is not null").select(*by, idx, "_m.rank", "_m.pos", "_m.value")
+
+
 def typed_entities(messages: DataFrame, by: list[str], idx: str = "idx", text: str = "content") -> DataFrame:
     """(by..., key, name, type, mentions); the first type that names an entity holds, files before tools, persons and concepts."""
-    out = None
-    for rank, (kind, pattern, group) in enumerate((("file", FILES, 1), ("tool", TOOLS, 0), ("person", PERSONS, 0), ("concept", CONCEPTS, 1))):
-        x = _matches(messages, pattern, group, by, idx, text).withColumn("type", F.lit(kind)).withColumn("rank", F.lit(rank))
-        out = x if out is None else out.unionByName(x)
+    kinds = ("file", "tool", "person", "concept")
+    out = _ranked(messages, ((FILES, 1), (TOOLS, 0), (PERSONS, 0), (CONCEPTS, 1)), by, idx, text).withColumn("type", F.element_at(F.array(*map(F.lit, kinds)), F.col("rank") + 1))
     g = out.groupBy(*by, F.lower("value").alias("key")).agg(F.count(F.lit(1)).alias("mentions"), F.min_by(F.struct("value", "type"), F.struct("rank", idx, "pos")).alias("f"))
     return g.select(*by, "key", F.col("f.value").alias("name"), F.col("f.type").alias("type"), "mentions")
 
@@ -46,11 +51,7 @@ def actor(s: Column) -> Column:
 
 def decisions(messages: DataFrame, by: list[str], idx: str = "idx", text: str = "content") -> DataFrame:
     """Distinct decisions with actor and confidence."""
-    out = None
-    for rank, p in enumerate(DECISIONS):
-        x = _matches(messages, p, 0, by, idx, text).withColumn("rank", F.lit(rank))
-        out = x if out is None else out.unionByName(x)
-    out = out.withColumn("value", F.trim("value")).filter(F.char_length("value") >= 10)
+    out = _ranked(messages, [(p, 0) for p in DECISIONS], by, idx, text).withColumn("value", F.trim("value")).filter(F.char_length("value") >= 10)
     g = out.groupBy(*by, F.lower("value").alias("key")).agg(F.min_by("value", F.struct("rank", idx, "pos")).alias("description"))
     s, n = F.col("description"), F.char_length("description")
     conf = F.lit(5) + (n > 20).cast("int") + (n > 50).cast("int") + F.when(like(s, r"(?i)\b(decided|agreed|chose|selected|will use)\b"), 2).otherwise(0) + F.when(like(s, r"(?i)\b(because|since|due to|for the reason)\b"), 1).otherwise(0)
@@ -109,12 +110,11 @@ def theme_keywords(messages: DataFrame, by: list[str], text: str = "content", mo
 def summaries(messages: DataFrame, by: list[str]) -> DataFrame:
     """Theme, task lines, key decisions and top entities of each session with a message."""
     theme = theme_keywords(messages, by).groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "word"))), lambda x: x["word"]), ", ").alias("theme"))
-    dec = decisions(messages, by)
-    tasks = dec.filter(F.col("actor").isin("user", "team") & (F.col("confidence") >= 0.6)).groupBy(*by).agg(F.array_sort(F.collect_list("description")).alias("tasks"))
-    points = dec.filter(F.col("confidence") >= 0.7).groupBy(*by).agg(F.array_sort(F.collect_list("description")).alias("points"))
+    listed = lambda when: F.array_sort(F.collect_list(F.when(when, F.col("description"))))
+    dec = decisions(messages, by).groupBy(*by).agg(listed(F.col("actor").isin("user", "team") & (F.col("confidence") >= 0.6)).alias("tasks"), listed(F.col("confidence") >= 0.7).alias("points"))
     ent = typed_entities(messages, by).groupBy(*by).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("mentions")).alias("k"), "key", "name"))), 1, 5), lambda x: x["name"]).alias("entities"))
     base = messages.groupBy(*by).agg(F.count(F.lit(1)).alias("n_messages"))
-    out = base.join(theme, by, "left").join(tasks, by, "left").join(points, by, "left").join(ent, by, "left")
+    out = base.join(theme, by, "left").join(dec, by, "left").join(ent, by, "left")
     empty = F.expr("cast(array() as array<string>)")
     return out.select(*by, "n_messages", F.coalesce("theme", F.lit("General discussion")).alias("theme"), *[F.coalesce(c, empty).alias(c) for c in ("tasks", "points", "entities")])
 
