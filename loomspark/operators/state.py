@@ -109,14 +109,19 @@ def theme_keywords(messages: DataFrame, by: list[str], text: str = "content", mo
 
 def summaries(messages: DataFrame, by: list[str]) -> DataFrame:
     """Theme, task lines, key decisions and top entities of each session with a message."""
+    return _summaries(messages, by).drop("_said")
+
+
+def _summaries(messages: DataFrame, by: list[str]) -> DataFrame:
+    """``summaries`` and the number of messages that are not blank."""
     theme = theme_keywords(messages, by).groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "word"))), lambda x: x["word"]), ", ").alias("theme"))
     listed = lambda when: F.array_sort(F.collect_list(F.when(when, F.col("description"))))
     dec = decisions(messages, by).groupBy(*by).agg(listed(F.col("actor").isin("user", "team") & (F.col("confidence") >= 0.6)).alias("tasks"), listed(F.col("confidence") >= 0.7).alias("points"))
     ent = typed_entities(messages, by).groupBy(*by).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("mentions")).alias("k"), "key", "name"))), 1, 5), lambda x: x["name"]).alias("entities"))
-    base = messages.groupBy(*by).agg(F.count(F.lit(1)).alias("n_messages"))
+    base = messages.groupBy(*by).agg(F.count(F.lit(1)).alias("n_messages"), F.count_if(F.trim("content") != "").alias("_said"))
     out = base.join(theme, by, "left").join(dec, by, "left").join(ent, by, "left")
     empty = F.expr("cast(array() as array<string>)")
-    return out.select(*by, "n_messages", F.coalesce("theme", F.lit("General discussion")).alias("theme"), *[F.coalesce(c, empty).alias(c) for c in ("tasks", "points", "entities")])
+    return out.select(*by, "n_messages", "_said", F.coalesce("theme", F.lit("General discussion")).alias("theme"), *[F.coalesce(c, empty).alias(c) for c in ("tasks", "points", "entities")])
 
 
 def handoff(messages: DataFrame, by: list[str], idx: str = "idx", text: str = "content", most: int = 20) -> DataFrame:
@@ -129,8 +134,7 @@ def handoff(messages: DataFrame, by: list[str], idx: str = "idx", text: str = "c
 
 def handoff_record(messages: DataFrame, by: list[str], least: int = 3) -> DataFrame:
     """A JSON record for each session of ``least`` messages and more: its summary and the last three user messages, 300 characters each."""
-    n = messages.filter(F.trim("content") != "").groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select(*by)
     last = messages.filter("role = 'user'").withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("idx")))).filter("_r <= 3")
     last = last.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.substring("content", 1, 300).alias("t")))), lambda x: x["t"]).alias("recent_user_messages"))
-    x = summaries(messages, by).join(n, by, "left_semi").join(last, by, "left")
+    x = _summaries(messages, by).filter(F.col("_said") >= least).join(last, by, "left")
     return x.select(*by, F.to_json(F.struct("theme", "tasks", "points", "entities", "n_messages", "recent_user_messages")).alias("record"))
