@@ -33,6 +33,8 @@ LEVELS_PER_UNIT = 4
 SLACK = 1e-5
 #: Terms of queries, in rows, up to which they are broadcast; vectors of queries, in numbers, that are held at once.
 BROADCAST_TERMS, HELD_NUMBERS = 500_000, 4_000_000
+#: Items whose postings of a bucket one task writes.
+SLICE_ITEMS = 1_000_000
 
 
 def words(text: str) -> Column:
@@ -52,21 +54,24 @@ class SearchIndex:
 
     def build(self, items: DataFrame, block: int = 1024) -> "SearchIndex":
         """Write the index of items (id, content, attrs...); ids are distinct."""
-        bag = items.select("id", *self.attrs, words("content").alias("_w")).filter(F.size("_w") > 0)
-        bag = bag.select("id", *self.attrs, F.size("_w").alias("len"), F.array_min("_w").alias("_least"), F.explode("_w").alias("term"))
+        # each item's rows stay together from here on: its words are counted without another exchange
+        bag = items.repartition("id").select("id", *self.attrs, words("content").alias("_w")).filter(F.size("_w") > 0)
+        # before the words are parted: expressions beside an explode are evaluated for each of its rows, here over the whole text
+        bag = bag.select("id", *self.attrs, F.size("_w").alias("len"), F.array_min("_w").alias("_least"), "_w").select("id", *self.attrs, "len", "_least", F.explode("_w").alias("term"))
         counts = bag.groupBy("id", *self.attrs, "len", "term", (F.col("term") == F.col("_least")).alias("lead")).agg(F.count(F.lit(1)).alias("tf"))
         counts.write.mode("overwrite").parquet(f"{self.path}/counts")
-        counts = self.spark.read.parquet(f"{self.path}/counts")
+        counts = self.spark.read.schema(counts.schema).parquet(f"{self.path}/counts")
         n, mean = counts.filter("lead").agg(F.count(F.lit(1)), F.avg("len")).first()
         weight = F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("len") / F.lit(mean or 1.0)))
-        x = counts.select("term", "id", *self.attrs, weight.alias("w"))
-        keys = ["term", F.floor(F.col("w") * LEVELS_PER_UNIT).cast("int").alias("level"), F.pmod(F.xxhash64("id"), F.lit(max(1, n // block))).alias("part")]
-        blocks = x.groupBy(*keys).agg(F.max("w").alias("top"), F.collect_list(F.struct("id", "w", *self.attrs)).alias("entries"))
-        blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
-        blocks.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term", F.desc("top")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        slices = 1 + n // SLICE_ITEMS
+        x = counts.select("term", "id", *self.attrs, weight.alias("w"), F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int").alias("bucket"), F.pmod(F.xxhash64("id"), F.lit(max(1, n // block))).alias("part"))
+        # one exchange: a block's postings meet where they are written; buckets of a large corpus are cut in slices of its items
+        x = x.withColumns({"level": F.floor(F.col("w") * LEVELS_PER_UNIT).cast("int"), "slice": F.pmod("part", F.lit(slices))}).repartition(self.buckets * slices, "bucket", "slice")
+        blocks = x.groupBy("bucket", "slice", "term", "level", "part").agg(F.max("w").alias("top"), F.collect_list(F.struct("id", "w", *self.attrs)).alias("entries")).drop("slice")
+        blocks.sortWithinPartitions("bucket", "term", F.desc("top")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
         terms = self._read("postings").groupBy("bucket", "term").agg(F.sum(F.size("entries")).alias("df"), F.max("top").alias("top"), F.max("level").alias("level"))
         terms = terms.withColumn("idf", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        terms.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms")
+        terms.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms")
         return self
 
     def _read(self, table: str) -> DataFrame:
@@ -83,13 +88,22 @@ class SearchIndex:
         most = F.sum(F.col("idf") * F.col("top")).over(Window.partitionBy("query_id"))
         return found.select("query_id", "term", "bucket", "idf", "level", (most - F.col("idf") * F.col("top")).alias("other"))
 
-    def _hits(self, asked: DataFrame, blocks: DataFrame, where: Callable[[Column], Column] | None, least: Column) -> DataFrame:
-        """(query_id, id, score) of the postings that ``least`` (of the entry's part of the score) lets pass."""
+    def _hits(self, asked: DataFrame, blocks: DataFrame, where: Callable[[Column], Column] | None, need: Column) -> DataFrame:
+        """(query_id, id, score) of the postings whose weight is ``need`` (of a term of ``asked``) at least.
+
+        A block that some query needs moves once, to the other blocks of its part of the items. There its postings are
+        summed up for each query, so that pairs of queries and items, far more than postings, never move.
+        """
         few = asked.count() <= BROADCAST_TERMS
-        x = blocks.join(F.broadcast(asked) if few else asked, ["bucket", "term"]).filter(least(F.col("top")))
-        ok = (lambda e: least(e["w"]) & where(e)) if where else (lambda e: least(e["w"]))
-        x = x.select("query_id", "idf", F.explode(F.filter("entries", ok)).alias("e"))
-        return x.groupBy("query_id", F.col("e.id").alias("id")).agg(F.sum(F.col("idf") * F.col("e.w")).alias("score"))
+        near = F.broadcast if few else lambda df: df
+        asked = asked.select("query_id", "bucket", "term", "idf", need.alias("need"))
+        x = blocks.join(near(asked.groupBy("bucket", "term").agg(F.min("need").alias("_least"))), ["bucket", "term"]).filter(F.col("top") >= F.col("_least"))
+        ok = (lambda e: (e["w"] >= F.col("_least")) & where(e)) if where else (lambda e: e["w"] >= F.col("_least"))
+        x = x.select("bucket", "term", "part", "top", F.transform(F.filter("entries", ok), lambda e: F.struct(e["id"].alias("id"), e["w"].alias("w"))).alias("entries"))
+        x = x.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "part")  # few bytes, but many sums: not to be merged into few tasks
+        x = x.join(near(asked), ["bucket", "term"]).filter(F.col("top") >= F.col("need"))
+        x = x.select("query_id", "part", "idf", "need", F.explode("entries").alias("e")).filter(F.col("e.w") >= F.col("need"))
+        return x.groupBy("query_id", "part", F.col("e.id").alias("id")).agg(F.sum(F.col("idf") * F.col("e.w")).alias("score")).drop("part")
 
     def search(self, queries: DataFrame, k: int = 20, where: Callable[[Column], Column] | None = None) -> DataFrame:
         """(query_id, id, score, rank): the k best items of each query (query_id, query); ``where`` tests an entry's attributes."""
@@ -99,10 +113,10 @@ class SearchIndex:
         asked = self.spark.read.schema(asked.schema).parquet(path)
         wanted = [r[0] for r in asked.select("bucket").distinct().collect()]  # as many as there are buckets
         blocks = self._read("postings").filter(F.col("bucket").isin(wanted))
-        first = self._hits(asked.withColumnRenamed("level", "_high"), blocks, where, lambda w: F.col("level") == F.col("_high"))
+        first = self._hits(asked, blocks, where, F.col("level") / LEVELS_PER_UNIT)
         bound = _best(first, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("_bound"))
         bounded = asked.drop("level").join(bound, "query_id", "left").withColumn("_bound", F.coalesce("_bound", F.lit(0.0)) - SLACK)
-        hits = self._hits(bounded, blocks, where, lambda w: F.col("idf") * w + F.col("other") >= F.col("_bound"))
+        hits = self._hits(bounded, blocks, where, (F.col("_bound") - F.col("other")) / F.col("idf"))
         return _best(hits.withColumn("score", F.round("score", 6)), k)
 
 
