@@ -24,13 +24,26 @@ def _turn_stream(spark, d) -> DataFrame:
 
 
 def in_parts(df: DataFrame, part, n: int, tag: str) -> DataFrame:
-    """A stream of the rows in ``n`` batches, by part (0 to n - 1)."""
+    """A stream of the rows in ``n`` batches, by part (0 to n - 1); each part is one file, so this is for small tables."""
     spark, path = df.sparkSession, scratch(df.sparkSession, tag)
     for k in range(n):  # one folder each, so that the files' times are in the parts' order
         df.filter(part == k).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def arriving(df: DataFrame, part, n: int, tag: str):
+    """The rows as a stream, and its parts to come (0 to n - 1): each step of the iterator writes one, in as many tasks as the table has."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, tag)
+    df.limit(0).write.parquet(path)  # the stream's folder must be there
+
+    def arrive():
+        for k in range(n):
+            df.filter(part == k).write.mode("append").parquet(path)
+            yield k
+
+    return spark.readStream.schema(df.schema).parquet(path), arrive()
+
+
 _GATE = f"CASE WHEN eff < {TRIGGER.minimum} THEN 'low' WHEN eff < {TRIGGER.threshold} THEN '' WHEN f.fired >= {TRIGGER.cap} THEN 'cap' WHEN f.last IS NOT NULL AND x.ms - f.last < {TRIGGER.wait_ms} THEN 'wait' ELSE 'fire' END"
 
 
@@ -46,9 +59,10 @@ FROM x JOIN f USING (session_id, turn)"""
 )
 def l7_after_turn_stream(spark, d):
     m = _turn_stream(spark, d)
-    stream = after_turn.after_turn(in_parts(m, F.least(F.floor(F.col("idx") / 2), F.lit(PARTS - 1)), PARTS, "turns"), TRIGGER)
-    out = scratch(spark, "after-turn")
-    after_turn.start(stream, out, scratch(spark, "after-turn-state")).awaitTermination()
+    parts, arrive = arriving(m, F.least(F.floor(F.col("idx") / 2), F.lit(PARTS - 1)), PARTS, "turns")
+    stream, out, state = after_turn.after_turn(parts, TRIGGER), scratch(spark, "after-turn"), scratch(spark, "after-turn-state")
+    for _ in arrive:  # what has come is taken as a batch, with the state of those before
+        after_turn.start(stream, out, state).awaitTermination()
     return spark.read.parquet(out).filter("kind = 'turn'").drop("kind", "batch_id")
 
 

@@ -87,8 +87,8 @@ class AfterTurn(StatefulProcessor):
         usage = [None if pd.isna(u) else int(u) for u in frame["usage"]]
         at = [int(x) for x in frame["at_ms"]]
         new = list(zip(frame["idx"].astype("int64").tolist(), frame["role"].tolist(), frame["tokens"].astype("int64").tolist(), usage, at))
-        counts = tuple(self.counts.get()) if self.counts.exists() else (0, 0, -1, 0)
-        gate = tuple(self.gate.get()) if self.gate.exists() else (0, -1)
+        counts = tuple(self.counts.get() or (0, 0, -1, 0))  # each call is a round trip to the store: none to ask first
+        gate = tuple(self.gate.get() or (0, -1))
         out, counts, gate = after_turn_rows(new, counts, gate, self.trigger)
         self.counts.update(counts)
         self.gate.update(gate)

@@ -105,3 +105,21 @@ def test_cooldown_rows_and_arrays_agree(spark):
     one = {r.s: r.accepted for r in ledger.cooldown(df, ["s"], "at", F.lit(True)).collect()}
     two = sorted(tuple(r) for r in ledger.accepted(df, ["s"], "at", F.lit(True)).select("s", "at").collect())
     assert two == sorted((s, a) for s, x in one.items() for a in x) and np.all(np.diff(one[1]) >= 300_000) and len(one[1]) == 5
+
+
+def test_parts_arrive_as_files_of_many_tasks(spark):
+    from loomspark.plans.stream_queries import arriving
+
+    df = spark.range(0, 400, 1, 4).withColumn("part", F.col("id") % 2)
+    stream, arrive = arriving(df, F.col("part"), 2, "parts-test")
+    seen = []
+    for _ in arrive:
+        path = stream._jdf.queryExecution().analyzed().toString()
+        seen.append(len([f for f in spark.read.schema(df.schema).parquet(_folder(path)).filter("id is not null").select(F.input_file_name()).distinct().collect()]))
+    assert seen == [4, 8] and spark.read.parquet(_folder(path)).count() == 400
+
+
+def _folder(plan: str) -> str:
+    import re
+
+    return re.search(r"file:[^\s,\])]*parts-test-[0-9a-f]+", plan).group(0)
