@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, stash
 
 
 def cooccurrence(mentions: DataFrame, unit: list[str], entity: str = "entity", session: str = "session_id") -> DataFrame:
@@ -49,6 +49,71 @@ def dependency_chain(edges: DataFrame, start: DataFrame, most: int | None = None
     return reached
 
 
+#: Mentions beyond which a session is dealt out by entity and by message while it is walked; smaller ones stay together.
+WIDE = 500_000
+#: Rows up to which a list is sent to all tasks instead of shuffled with what it selects from.
+SENT = 200_000
+#: Steps of the first walk and of later ones, most.
+STEPS, MOST_STEPS = 2, 8
+
+
+def _of(df: DataFrame, few: DataFrame, by: list[str]) -> DataFrame:
+    """The rows whose keys are among a few."""
+    return df.join(F.broadcast(few) if few.count() <= SENT else few, by, "left_semi")
+
+
+def _rows(mentions: DataFrame, seeds: DataFrame, unit: list[str], order: str) -> DataFrame:
+    """Mentions without depth, and the seeds (session_id, entity, depth) as rows without a message."""
+    keep = list(dict.fromkeys([*unit, order]))
+    null = lambda c: F.lit(None).cast(mentions.schema[c].dataType).alias(c)
+    start = seeds.select(*["session_id" if c == "session_id" else null(c) for c in keep], "entity", "depth")
+    return mentions.select(*keep, "entity", F.lit(None).cast("int").alias("depth")).unionByName(start)
+
+
+def _walk(x: DataFrame, unit: list[str], order: str, steps: int) -> DataFrame:
+    """(session_id, place, entity, depth, strength, _n, _pairs, _near, _go): so many steps on from the rows that have a depth.
+
+    A step takes depths from entities to the messages that name them and back, so no
+    pair is made. ``_go``: the session has messages that the next step would reach.
+    ``_pairs`` is twice the number of pairs of which one is named by a single message;
+    others may be met again, and an entity has ``_near`` - 1 different ones at least.
+    The strength is null where that doesn't tell it.
+    """
+    x = x.groupBy(*unit, "entity").agg(F.min(order).alias("_at"), F.min("depth").alias("depth"))
+    of_message, of_entity, of_session = Window.partitionBy(*unit), Window.partitionBy("session_id", "entity"), Window.partitionBy("session_id")
+    real = F.lit(True)  # a missing key joins nothing; the seeds have no message
+    for c in unit:
+        real = real & F.col(c).isNotNull()
+    x = x.withColumns({"depth": F.min("depth").over(of_entity), "_in": F.count(F.when(real, 1)).over(of_entity)})
+    shared = F.col("_in") > 1
+    for k in range(steps):
+        sizes = {} if k else {"_size": F.count(F.lit(1)).over(of_message), "_shared": F.count(F.when(shared, 1)).over(of_message)}
+        x = x.withColumns({"_d": F.when(real, F.min("depth").over(of_message)), **sizes})
+        x = x.withColumn("depth", F.coalesce("depth", F.min(F.col("_d") + 1).over(of_entity)))
+    pairs = F.col("_size") - 1 - F.when(shared, F.col("_shared") - 1).otherwise(0)
+    g = x.groupBy("session_id", "entity").agg(
+        F.min("_at").alias("_at"), F.min("depth").alias("depth"), F.sum(F.when(real, pairs)).alias("_pairs"), F.max(F.when(real & shared, F.col("_shared"))).alias("_near"),
+        F.max(real & F.col("_d").isNull() & F.col("depth").isNotNull()).alias("_go"),
+    )
+    reached = lambda c: F.coalesce(F.sum(F.when(F.col("depth").isNotNull(), c)).over(of_session), F.lit(0))
+    g = g.withColumns({
+        "place": F.row_number().over(of_session.orderBy(F.asc_nulls_last("depth"), F.asc_nulls_last("_at"), "entity")), "_n": F.count(F.lit(1)).over(of_session), "_go": F.max("_go").over(of_session),
+        "_pairs": reached(F.col("_pairs")), "_more": reached(F.col("_near") - 1),
+    })
+    n = 2 * F.col("_n")
+    strength = F.when(F.col("_n") < 2, 0.0).when(F.col("_pairs") + F.col("_more") >= n, 1.0).when(F.col("_more") == 0, F.col("_pairs") / n)
+    return g.filter(~F.col("_go") | F.col("depth").isNotNull()).select("session_id", "place", "entity", "depth", F.round(strength, 6).alias("strength"), "_n", "_pairs", "_near", "_go")
+
+
+def _shared_pairs(mentions: DataFrame, shared: DataFrame, unit: list[str]) -> DataFrame:
+    """(session_id, _hits): the different pairs of a session's shared entities; messages that name the same ones are taken once."""
+    x = _of(mentions.dropna(subset=unit), shared, ["session_id", "entity"])
+    names = x.groupBy(*unit).agg(F.sort_array(F.collect_set("entity")).alias("names")).filter(F.size("names") > 1).select("session_id", "names").distinct()
+    a = names.select("session_id", "names", F.posexplode("names").alias("_i", "a"))
+    pairs = a.select("session_id", "a", F.explode(F.slice("names", F.col("_i") + 2, F.size("names"))).alias("b")).distinct()
+    return pairs.groupBy("session_id").agg(F.count(F.lit(1)).alias("_hits"))
+
+
 def dependency_chains(mentions: DataFrame, unit: list[str], order: str = "idx") -> DataFrame:
     """E5: (session_id, place, entity, depth, strength): the whole chain of each session.
 
@@ -56,19 +121,46 @@ def dependency_chains(mentions: DataFrame, unit: list[str], order: str = "idx")
     first mention; then the session's other entities (depth null). The strength is the
     number of pairs among what was reached to the length of the chain, 1 at most, and 0
     for a session of one entity. A walk meets each pair once, so pairs are its hits.
+
+    Pairs are made for no walk, and counted one by one only where sizes of messages
+    don't tell the strength. Mentions are shuffled by session once; sessions that need
+    more steps go on by themselves.
     """
-    first = mentions.groupBy("session_id", "entity").agg(F.min(order).alias("_at"))
-    x = mentions.select(*unit, "entity").distinct()
-    edges = x.withColumnRenamed("entity", "a").join(x.withColumnRenamed("entity", "b"), unit).filter("a < b").select("session_id", "a", "b").distinct()
-    start = first.groupBy("session_id").agg(F.min_by("entity", F.struct("_at", "entity")).alias("entity"))
-    reached = dependency_chain(edges, start)
-    hits = edges.join(reached.select("session_id", F.col("entity").alias("a")), ["session_id", "a"]).groupBy("session_id").agg(F.count(F.lit(1)).alias("_hits"))
-    chain = first.join(reached, ["session_id", "entity"], "left")
-    n = F.count(F.lit(1)).over(Window.partitionBy("session_id"))
-    place = F.row_number().over(Window.partitionBy("session_id").orderBy(F.asc_nulls_last("depth"), "_at", "entity"))
-    strength = F.when(F.col("_n") < 2, 0.0).otherwise(F.least(F.lit(1.0), F.coalesce("_hits", F.lit(0)) / F.col("_n")))
-    chain = chain.withColumns({"_n": n, "place": place}).join(hits, "session_id", "left")
-    return chain.select("session_id", "place", "entity", "depth", F.round(strength, 6).alias("strength"))
+    keep = list(dict.fromkeys([*unit, order, "entity"]))
+    m = stash(mentions.select(*keep), "mentions")
+    first = F.min_by("entity", F.struct(F.col(order).isNull().alias("_none"), F.col(order).alias("_at"), "entity"))
+    sessions = stash(m.groupBy("session_id").agg(first.alias("entity"), F.count(F.lit(1)).alias("_m")), "sessions")
+    wide = sessions.filter(F.col("_m") > WIDE).select("session_id")
+    some_wide = not wide.isEmpty()
+    seeds = sessions.filter("session_id IS NOT NULL").select("session_id", "entity", F.lit(0).alias("depth"))
+    base, n_base, left, steps, ended = m, None, m, STEPS, []
+    while True:
+        x = _rows(left, seeds, unit, order)
+        parts = [x.join(F.broadcast(wide), "session_id", "left_anti"), x.join(F.broadcast(wide), "session_id", "left_semi")] if some_wide else [x]
+        walked = _walk(parts[0].repartition("session_id"), unit, order, steps)
+        walked = stash(walked.unionByName(_walk(parts[1], unit, order, steps)) if some_wide else walked, "chains")
+        ended.append(walked.filter(~F.col("_go")))
+        seeds = walked.filter("_go").select("session_id", "entity", "depth")
+        going = seeds.select("session_id").distinct()
+        n = going.count()
+        if not n:
+            break
+        left = _of(base, going, ["session_id"])
+        if n_base is None or 2 * n <= n_base:  # the others' mentions need not be read again
+            base, n_base = stash(left, "mentions"), n
+            left = base
+        steps = min(2 * steps, MOST_STEPS)
+    chain = ended[0]
+    for x in ended[1:]:
+        chain = chain.unionByName(x)
+    out = ["session_id", "place", "entity", "depth", "strength"]
+    unsure = chain.filter("strength IS NULL")
+    if unsure.isEmpty():
+        return chain.select(*out)
+    hits = _shared_pairs(m, unsure.filter("depth IS NOT NULL AND _near > 1").select("session_id", "entity"), unit)
+    strength = F.least(F.lit(1.0), (F.col("_pairs") + 2 * F.coalesce("_hits", F.lit(0))) / (2 * F.col("_n")))
+    unsure = unsure.join(hits, "session_id", "left").withColumn("strength", F.round(strength, 6))
+    return chain.filter("strength IS NOT NULL").select(*out).unionByName(unsure.select(*out))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, by: list[str], content: str = "content", score: str = "score") -> DataFrame:

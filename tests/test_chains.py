@@ -1,9 +1,12 @@
 """Dependency chains against a plain walk: any depth, entities outside the walk, strength."""
 
+import os
 import random
 from collections import deque
 
-from loomspark.operators import graph
+import pytest
+
+from loomspark.operators import graph, lineage
 
 
 def plain(rows):
@@ -52,3 +55,41 @@ def test_a_chain_deeper_than_ten_is_whole(spark):
 
 def test_no_mentions(spark):
     assert graph.dependency_chains(spark.createDataFrame([], "session_id long, idx long, entity string"), ["session_id", "idx"]).collect() == []
+
+
+def _crossed(rng, s):
+    """A session whose messages name the same few entities again and again, beside many that stand alone."""
+    few, rows = [f"f{k}" for k in range(7)], [(s, 0, "f0"), (s, 0, "f1")]
+    for i in range(1, rng.randint(2, 12)):
+        rows += [(s, i, e) for e in rng.sample(few, rng.randint(2, 4))]
+    return rows + [(s, 100 + k, f"alone{k:02}") for k in range(rng.choice([0, 20, 60]))]
+
+
+@pytest.mark.parametrize(("wide", "sent"), [(500_000, 200_000), (25, 0), (0, 200_000)])
+def test_pairs_met_again_count_once_however_sessions_are_dealt_out(spark, monkeypatch, wide, sent):
+    monkeypatch.setattr(graph, "WIDE", wide)
+    monkeypatch.setattr(graph, "SENT", sent)
+    rng = random.Random(9)
+    rows = [r for s in range(14) for r in _crossed(rng, s)] + [(50, i, f"n{i + d}") for i in range(4) for d in (0, 1)]
+    want = plain(rows)
+    assert len({r[4] for r in want}) > 4  # strengths below 1 too
+    df = spark.createDataFrame(rows, "session_id long, idx long, entity string")
+    assert sorted((tuple(r) for r in graph.dependency_chains(df, ["session_id", "idx"]).collect()), key=str) == want
+
+
+def test_missing_keys_join_nothing(spark):
+    rows = [(1, None, "a"), (1, None, "b"), (1, 3, "c"), (1, 3, "d"), (None, 1, "x"), (None, 1, "y")]
+    df = spark.createDataFrame(rows, "session_id long, idx long, entity string")
+    got = {(r.session_id, r.entity): (r.place, r.depth, r.strength) for r in graph.dependency_chains(df, ["session_id", "idx"]).collect()}
+    assert got == {(1, "c"): (1, 0, 0.25), (1, "d"): (2, 1, 0.25), (1, "a"): (3, None, 0.25), (1, "b"): (4, None, 0.25), (None, "x"): (1, None, 0.0), (None, "y"): (2, None, 0.0)}
+
+
+def test_what_is_written_grows_with_the_mentions_not_with_their_pairs(spark):
+    """20 sessions of a message with 300 entities have 6,000 mentions and 897,000 pairs."""
+    df = spark.range(6_000).selectExpr("id div 300 AS session_id", "0L AS idx", "concat('name', id % 300) AS entity")
+    top = lineage.shared_dir(spark).removeprefix("file://")
+    written = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(top) for f in files)
+    before = written()
+    out = graph.dependency_chains(df, ["session_id", "idx"]).collect()
+    assert len(out) == 6_000 and {r.strength for r in out} == {1.0} and {r.depth for r in out} == {0, 1}
+    assert written() - before < 100 * 6_000
