@@ -53,6 +53,8 @@ def dependency_chain(edges: DataFrame, start: DataFrame, most: int | None = None
 WIDE = 500_000
 #: Rows up to which a list is sent to all tasks instead of shuffled with what it selects from.
 SENT = 200_000
+#: Mentions that a task walks at a time, most (but for wider sessions), so that it sorts them in memory.
+SHARE = 1_000_000
 #: Steps of the first walk and of later ones, most.
 STEPS, MOST_STEPS = 2, 8
 
@@ -126,27 +128,31 @@ def dependency_chains(mentions: DataFrame, unit: list[str], order: str = "idx")
     don't tell the strength. Mentions are shuffled by session once; sessions that need
     more steps go on by themselves.
     """
-    keep = list(dict.fromkeys([*unit, order, "entity"]))
+    spark, keep = mentions.sparkSession, list(dict.fromkeys([*unit, order, "entity"]))
     m = stash(mentions.select(*keep), "mentions")
     first = F.min_by("entity", F.struct(F.col(order).isNull().alias("_none"), F.col(order).alias("_at"), "entity"))
     sessions = stash(m.groupBy("session_id").agg(first.alias("entity"), F.count(F.lit(1)).alias("_m")), "sessions")
     wide = sessions.filter(F.col("_m") > WIDE).select("session_id")
     some_wide = not wide.isEmpty()
     seeds = sessions.filter("session_id IS NOT NULL").select("session_id", "entity", F.lit(0).alias("depth"))
-    base, n_base, left, steps, ended = m, None, m, STEPS, []
+    named = lambda x: x.agg(F.coalesce(F.sum("_m"), F.lit(0))).first()[0]
+    base, left, steps, ended = m, m, STEPS, []
+    n_base = n = named(sessions)
     while True:
         x = _rows(left, seeds, unit, order)
         parts = [x.join(F.broadcast(wide), "session_id", "left_anti"), x.join(F.broadcast(wide), "session_id", "left_semi")] if some_wide else [x]
-        walked = _walk(parts[0].repartition("session_id"), unit, order, steps)
+        shares = n // SHARE + 1
+        alike = parts[0].repartition(shares, "session_id") if shares > spark.sparkContext.defaultParallelism else parts[0].repartition("session_id")
+        walked = _walk(alike, unit, order, steps)
         walked = stash(walked.unionByName(_walk(parts[1], unit, order, steps)) if some_wide else walked, "chains")
         ended.append(walked.filter(~F.col("_go")))
         seeds = walked.filter("_go").select("session_id", "entity", "depth")
         going = seeds.select("session_id").distinct()
-        n = going.count()
+        n = named(_of(sessions, going, ["session_id"]))
         if not n:
             break
         left = _of(base, going, ["session_id"])
-        if n_base is None or 2 * n <= n_base:  # the others' mentions need not be read again
+        if 2 * n <= n_base:  # the others' mentions need not be read again
             base, n_base = stash(left, "mentions"), n
             left = base
         steps = min(2 * steps, MOST_STEPS)

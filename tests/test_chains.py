@@ -65,10 +65,10 @@ def _crossed(rng, s):
     return rows + [(s, 100 + k, f"alone{k:02}") for k in range(rng.choice([0, 20, 60]))]
 
 
-@pytest.mark.parametrize(("wide", "sent"), [(500_000, 200_000), (25, 0), (0, 200_000)])
-def test_pairs_met_again_count_once_however_sessions_are_dealt_out(spark, monkeypatch, wide, sent):
-    monkeypatch.setattr(graph, "WIDE", wide)
-    monkeypatch.setattr(graph, "SENT", sent)
+@pytest.mark.parametrize(("wide", "sent", "share"), [(500_000, 200_000, 1_000_000), (25, 0, 100), (0, 200_000, 1_000_000)])
+def test_pairs_met_again_count_once_however_sessions_are_dealt_out(spark, monkeypatch, wide, sent, share):
+    for name, value in (("WIDE", wide), ("SENT", sent), ("SHARE", share)):
+        monkeypatch.setattr(graph, name, value)
     rng = random.Random(9)
     rows = [r for s in range(14) for r in _crossed(rng, s)] + [(50, i, f"n{i + d}") for i in range(4) for d in (0, 1)]
     want = plain(rows)
